@@ -86,6 +86,9 @@ CODE_LINES: tuple[str, ...] = (
     "'memcpy(a, b, 64);'",
     "'assert(x > 0);'",
     "'x = atoi(s);'",
+    "'#error expected '';'' before ''return'''",
+    "'int w' || CAST(k % 3 AS STRING) || ' = 0;'",
+    "'r = a / w' || CAST(k % 3 AS STRING) || ';'",
 )
 
 
