@@ -106,11 +106,12 @@ def gold_exclusion(t: Tables) -> DataFrame:
     return S.exclude(keyed, "key", gold).groupBy("doc_id").agg(F.sum("c").alias("kept"))
 
 
-@query("class_balance", """SELECT lang, n, 100.0::DOUBLE * n / sum(n) OVER () AS pct, max(n) OVER () / min(n) OVER () AS imbalance, max(n) OVER () / min(n) OVER () > 10 AS warn
+@query("class_balance", """SELECT lang, n, round(100.0::DOUBLE * n / sum(n) OVER (), 6) AS pct, round(max(n) OVER () / min(n) OVER (), 6) AS imbalance, max(n) OVER () / min(n) OVER () > 10 AS warn
 FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)""")
 def class_balance(t: Tables) -> DataFrame:
     """Language distribution and imbalance."""
-    return S.class_balance(t.documents, "lang")
+    return S.class_balance(t.documents, "lang").withColumns(
+        {"pct": F.round("pct", 6), "imbalance": F.round("imbalance", 6)})
 
 
 @query("top_messages", f"""WITH l AS ({DOC_LINES_SQL}) SELECT line, CAST(count(*) AS BIGINT) AS n FROM (SELECT {STRIP.format('line')} AS line FROM l) WHERE line <> '' GROUP BY 1 ORDER BY n DESC, line LIMIT 20""")
