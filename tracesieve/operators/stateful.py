@@ -57,7 +57,9 @@ def limit_rate(df: DataFrame, keys: Sequence[str], at: str, ident: str, n: int,
     runs = running(marked, keys, F.floor(F.col("at") / F.lit(bucket)), ["at", "ident"],
                    {"run": ("sum", F.col("start").cast("bigint"))})
     starts = runs.where("start").select(*keys, (F.col("run") - 1).alias("run"), F.col("at").alias("__from"))
-    context = runs.where("NOT hot").join(starts, [*keys, "run"]).where(F.col("at") > F.col("__from") - F.lit(width)) \
+    # Everything in the window before a stretch was accepted: an over-full event there would have
+    # made the last row before the stretch hot as well.
+    context = runs.join(starts, [*keys, "run"]).where(F.col("at") > F.col("__from") - F.lit(width)) \
         .select(*keys, (F.col("run") + 1).alias("run"), "at", "ident", F.lit(True).alias("known"))
     todo = runs.where("hot").select(*keys, "run", "at", "ident", F.lit(False).alias("known")).unionByName(context)
     folded = fold_runs(todo, [*keys, "run"], ["at", "ident"], "ident bigint, known boolean, accepted boolean",

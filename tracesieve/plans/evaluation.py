@@ -29,7 +29,7 @@ CASE_COLS = {
     "neutral": "o_totalprice < 350000",
     "baseline_allowed": "o_custkey % 3 <> 0",
     "risk_score": "CAST(floor(o_totalprice / 20000) AS INT)",
-    "total_ms": "floor(o_totalprice) / 1000.0",
+    "total_ms": "CAST(floor(o_totalprice) AS DOUBLE) / CAST(1000 AS DOUBLE)",
     "notes": "'priority ' || o_orderpriority",
     "agent_1": "CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'execution' WHEN 1 THEN 'secret' WHEN 2 THEN 'prompt' ELSE 'weakness' END",
     "agent_2": "CASE WHEN o_custkey % 2 = 0 THEN 'output' ELSE 'patch' END",
