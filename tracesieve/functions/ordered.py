@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracesieve.session import share
+
 CHUNK = "__chunk"
 
 
@@ -56,7 +58,7 @@ def running(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[s
     ``chunk`` must be monotone in ``order``; keys must be non-null. ``specs`` maps an output
     column to ``("sum" | "min" | "max", value)``.
     """
-    base = df.withColumn(CHUNK, chunk)
+    base = share(df.withColumn(CHUNK, chunk))
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = base.withColumns({o: _AGG[a](v).over(w) for o, (a, v) in specs.items()})
     totals = base.groupBy(*keys, CHUNK).agg(*[_AGG[a](v).alias(f"__{o}") for o, (a, v) in specs.items()])
@@ -68,10 +70,39 @@ def running(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[s
         .drop(CHUNK, *[f"__{o}" for o in specs])
 
 
+def running_floored(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str], delta: Column,
+                    lowest: Column, out: str) -> DataFrame:
+    """Running sum that never falls below zero, in one pass.
+
+    Each row moves the level by ``delta`` after dipping by ``lowest`` (<= 0) on the way. Within a
+    chunk the level is ``max(start + sum, floored)``, and chunks compose the same way, so two
+    numbers per chunk are enough. Adds ``out`` (before the row) and ``out_after``.
+    """
+    base = share(df.withColumns({CHUNK: chunk, "__d": delta.cast("bigint"), "__m": lowest.cast("bigint")}))
+
+    def levels(rows: DataFrame, w: Window) -> DataFrame:
+        s = rows.withColumn("__s", F.sum("__d").over(w))
+        s = s.withColumn("__lo", F.min(F.col("__s") - F.col("__d") + F.col("__m")).over(w))
+        return s.withColumn("__f", F.col("__s") - F.least(F.lit(0), F.col("__lo")))
+
+    w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = levels(base, w)
+    tails = local.groupBy(*keys, CHUNK).agg(F.sum("__d").alias("__d"), F.min("__lo").alias("__m"))
+    wt = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, 0)
+    prev = Window.partitionBy(*keys).orderBy(CHUNK)
+    start = levels(tails, wt).select(*keys, CHUNK, F.coalesce(F.lag("__f").over(prev), F.lit(0)).alias("__in"))
+    j = local.join(start, [*keys, CHUNK], "left")
+    # from a start level L the floor bites only where the local walk dips below -L
+    after = F.greatest(F.col("__in") + F.col("__s"), F.col("__s") - F.least(F.lit(0), F.col("__lo")))
+    rows = Window.partitionBy(*keys, CHUNK).orderBy(*order)
+    return j.withColumn(f"{out}_after", after).withColumn(out, F.coalesce(F.lag(f"{out}_after").over(rows), F.col("__in"))) \
+        .drop(CHUNK, "__d", "__m", "__s", "__lo", "__f", "__in")
+
+
 def carry_forward(df: DataFrame, keys: Sequence[str], chunk: Column, order: Sequence[str],
                   specs: dict[str, Column], include_current: bool = False) -> DataFrame:
     """Last non-null value before (or up to) each row: the as-of primitive."""
-    base = df.withColumn(CHUNK, chunk)
+    base = share(df.withColumn(CHUNK, chunk))
     end = 0 if include_current else -1
     w = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
     local = base.withColumns({o: F.last(v, ignorenulls=True).over(w) for o, v in specs.items()})

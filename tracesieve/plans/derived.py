@@ -89,6 +89,24 @@ CODE_LINES: tuple[str, ...] = (
     "'#error expected '';'' before ''return'''",
     "'int w' || CAST(k % 3 AS STRING) || ' = 0;'",
     "'r = a / w' || CAST(k % 3 AS STRING) || ';'",
+    f"'delete d' || {_V} || ';'",
+    f"'free(d' || {_V} || ');'",
+    f"'Node* nd' || {_V} || ' = new Node();'",
+    "'fclose(f);'",
+    f"'int helper' || {_V} || '(int a) {{ return helper' || {_V} || '(a - 1); }}'",
+    f"'unsigned u' || {_V} || ' = 0;'",
+    f"'u' || {_V} || '--;'",
+    f"'if (i < u' || {_V} || ') {{'",
+    "'}'",
+    f"'vector<int> vv' || {_V} || ' = {{1, 2, 3}};'",
+    f"'vv' || {_V} || '[' || CAST(k % 6 AS STRING) || '] = 1;'",
+    f"'return &v' || {_V} || ';'",
+    "'#include \"CON.h\"'",
+    "'while (1) {'",
+    "'}'",
+    "'break;'",
+    "'void show(std::string name) {'",
+    "'}'",
 )
 
 

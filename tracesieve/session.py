@@ -4,6 +4,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -51,3 +52,24 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives executor loss and bounds plan size in iterative jobs."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHARED: list[DataFrame] = []
+
+
+def share(df: DataFrame) -> DataFrame:
+    """Computes an intermediate once although the plan reads it several times.
+
+    Two-pass operators (local result plus per-chunk summary) read their input twice; chained, that
+    would double the work at every step. The copy is lazy, spills to disk, and a lost executor only
+    costs the recomputation of its partitions.
+    """
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _SHARED.append(kept)
+    return kept
+
+
+def release_shared() -> None:
+    """Frees the intermediates of finished jobs; a frame still in use is recomputed on demand."""
+    while _SHARED:
+        _SHARED.pop().unpersist()
