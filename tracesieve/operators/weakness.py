@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.ordered import carry_forward, running, trailing
 from tracesieve.functions.rules import LineRule, scan_lines
+from tracesieve.session import share
 from tracesieve.operators.structure import body_text, chunk, enclosing_scopes, with_function
 
 # fixed values: stateless line rules (type, pattern, severity, column read)
@@ -244,9 +245,9 @@ def resource_leaks(lines: DataFrame) -> DataFrame:
     return _out(held.join(freed, ["file", "kind", "open_line", "open_idx"], "left_anti"), kind[F.col("kind")], "Medium")
 
 
-def function_findings(lines: DataFrame) -> DataFrame:
+def function_findings(lines: DataFrame, fns: DataFrame | None = None) -> DataFrame:
     """Recursion without a base case and addresses of locals that outlive their function."""
-    fns = with_function(lines).where("fn IS NOT NULL").withColumn("body", body_text())
+    fns = (fns if fns is not None else share(with_function(lines))).where("fn IS NOT NULL").withColumn("body", body_text())
     count = lambda c: F.when(F.trim(c).isin("", "void"), 0).otherwise(F.size(F.split(F.regexp_replace(c, r"\([^()]*\)", ""), ",")))
     own = F.concat(F.lit(r"(?<![A-Za-z0-9_:.>-])"), F.col("fn"), F.lit(r"\s*\(([^;{}]*)\)"))
     arg = F.call_function("regexp_extract", F.col("body"), own, F.lit(1))
@@ -264,9 +265,9 @@ def function_findings(lines: DataFrame) -> DataFrame:
     return endless.unionByName(dangling)
 
 
-def sign_mismatch(lines: DataFrame) -> DataFrame:
+def sign_mismatch(lines: DataFrame, fns: DataFrame | None = None) -> DataFrame:
     """Comparisons between a strictly signed and a strictly unsigned variable of the same function."""
-    fns = with_function(lines).withColumn("fl", F.coalesce("fn_line", F.lit(0)))
+    fns = (fns if fns is not None else share(with_function(lines))).withColumn("fl", F.coalesce("fn_line", F.lit(0)))
     where = fns.select("file", "line_no", "fl")
     u = _each(fns, r"\b(?:unsigned(?:\s+(?:int|char|long|short))?|uint\w*|size_t)\s+([A-Za-z_]\w*)").join(where, ["file", "line_no"])
     s = _each(fns, r"\b(?:int|long|short)\s+([A-Za-z_]\w*)").join(where, ["file", "line_no"])
@@ -287,8 +288,9 @@ def sign_mismatch(lines: DataFrame) -> DataFrame:
 
 def all_weaknesses(lines: DataFrame) -> DataFrame:
     """Every static finding as (file, line_no, finding_type, severity)."""
+    fns = share(with_function(lines))
     parts = [line_findings(lines), assert_findings(lines), proximity_findings(lines), uninitialised_uses(lines), null_uses(lines),
-             arithmetic_uses(lines), vector_bounds(lines), resource_leaks(lines), function_findings(lines), sign_mismatch(lines),
+             arithmetic_uses(lines), vector_bounds(lines), resource_leaks(lines), function_findings(lines, fns), sign_mismatch(lines, fns),
              free_misuse(lines).select("file", "line_no", "finding_type", F.lit("High").alias("severity"))]
     out = parts[0]
     for p in parts[1:]:
