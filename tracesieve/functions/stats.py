@@ -22,8 +22,9 @@ def wilson(k: Column, n: Column, z: float = Z_EXACT, empty: tuple[float, float]
     denom = F.lit(1.0) + F.lit(z2) / nn
     centre = (p + F.lit(z2) / (F.lit(2.0) * nn)) / denom
     margin = F.lit(z) * F.sqrt(p * (F.lit(1.0) - p) / nn + F.lit(z2) / (F.lit(4.0) * nn * nn)) / denom
-    low = F.coalesce(F.greatest(F.lit(0.0), centre - margin), F.lit(empty[0]))
-    high = F.coalesce(F.least(F.lit(1.0), centre + margin), F.lit(empty[1]))
+    # least/greatest skip NULL, so the empty case needs its own branch
+    low = F.when(n > 0, F.greatest(F.lit(0.0), centre - margin)).otherwise(F.lit(empty[0]))
+    high = F.when(n > 0, F.least(F.lit(1.0), centre + margin)).otherwise(F.lit(empty[1]))
     return low, high
 
 

@@ -66,7 +66,8 @@ def energy(samples: DataFrame, at: str, ident: str, load_pct: Column, chunk: int
     """
     step = F.floor(F.col(at) / F.lit(chunk))
     prev = carry_forward(samples, [], step, [at, ident], {"__prev": F.col(at)})
-    dt = F.coalesce(F.greatest(F.lit(0.1), F.least(F.lit(5.0), (F.col(at) - F.col("__prev")) / F.lit(1e6))), F.lit(1.0))
+    gap = (F.col(at) - F.col("__prev")) / F.lit(1e6)
+    dt = F.when(gap.isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(5.0), gap)))
     watts = F.lit(IDLE_WATTS) + F.lit(LOAD_WATTS) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), load_pct / 100.0))
     s = prev.withColumns({"power_mw": watts * 1000.0, "step_wh": watts * dt / 3600.0}).drop("__prev")
     out = running(s, [], step, [at, ident], {"__wh": ("sum", F.col("step_wh"))})

@@ -93,7 +93,7 @@ def token_bucket(t: Tables) -> DataFrame:
 
 _ACTIONS = "event_type = 'purchase'"
 ENERGY_SQL = f"""WITH s AS (SELECT event_id, epoch_us(ts) AS us, value FROM events WHERE NOT {_ACTIONS}),
-d AS (SELECT *, coalesce(greatest(0.1::DOUBLE, least(5.0::DOUBLE, (us - lag(us) OVER (ORDER BY us, event_id)) / 1000000.0::DOUBLE)), 1.0::DOUBLE) AS dt, 3.0::DOUBLE + 12.0::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100.0::DOUBLE)) AS w FROM s),
+d AS (SELECT *, CASE WHEN lag(us) OVER (ORDER BY us, event_id) IS NULL THEN 1.0::DOUBLE ELSE greatest(0.1::DOUBLE, least(5.0::DOUBLE, (us - lag(us) OVER (ORDER BY us, event_id)) / 1000000.0::DOUBLE)) END AS dt, 3.0::DOUBLE + 12.0::DOUBLE * greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 100.0::DOUBLE)) AS w FROM s),
 m AS (SELECT event_id, us, w * 1000.0::DOUBLE AS power_mw, w * dt / 3600.0::DOUBLE AS step_wh, sum(w * dt / 3600.0::DOUBLE) OVER (ORDER BY us, event_id) AS wh FROM d),
 act AS (SELECT 'act_' || CAST(user_id % 7 AS VARCHAR) AS label, epoch_us(ts) AS start, epoch_us(ts) + CAST(floor(value * 60000000) AS BIGINT) AS "end" FROM events WHERE {_ACTIONS}),
 u AS (SELECT m.*, a.label, a.start, a."end" FROM m ASOF LEFT JOIN act a ON m.us >= a.start),

@@ -27,7 +27,7 @@ class SlidingLimiter(StatefulProcessor):
         self.key, self.n, self.width = key, n, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.times = handle.getValueState("times", "times array<bigint>", ttlDurationMs=max(1, self.width // 1000) * 4)
+        self.times = handle.getValueState("times", "times array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         kept = list(self.times.get()[0]) if self.times.exists() else []
