@@ -55,9 +55,9 @@ def grouped_split(df: DataFrame, group: str, label: str, ident: str, test_share:
     the train cap get NULL.
     """
     groups = df.select(group).distinct().withColumn("__gh", F.md5(F.col(group).cast("string")))
-    n_groups = groups.agg(F.greatest(F.lit(1), F.floor(F.count("*") * test_share)).alias("__n"))
-    ranked = _hash_rank(groups, [], "__gh", "__gr").crossJoin(F.broadcast(n_groups))  # one row
-    held = ranked.where("__gr <= __n").select(group, F.lit(True).alias("__test"))
+    n_groups = groups.agg(F.greatest(F.lit(1), F.floor(F.count("*") * test_share)))
+    ranked = _hash_rank(groups, [], "__gh", "__gr")
+    held = ranked.where(F.col("__gr") <= n_groups.scalar()).select(group, F.lit(True).alias("__test"))
     marked = df.join(held, group, "left").withColumn("__h", F.md5(F.col(ident).cast("string")))
     pool = marked.where("__test IS NULL")
     sizes = pool.groupBy(label).agg(F.count("*").alias("__n"))

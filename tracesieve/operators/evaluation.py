@@ -21,28 +21,37 @@ def confusion(pairs: DataFrame, labels: Sequence[str]) -> DataFrame:
     return F.broadcast(dim).join(m, "truth", "left").na.fill(0)
 
 
+def _class_counts(pairs: DataFrame) -> DataFrame:
+    """(label, tp, fp, support) of every label that is a truth or a prediction."""
+    zero = F.lit(0).cast("bigint")
+    same = F.col("truth") == F.col("pred")
+    sides = pairs.select(F.explode(F.array(
+        F.struct(F.col("truth").alias("label"), F.when(same, F.col("n")).otherwise(zero).alias("tp"), zero.alias("fp"), F.col("n").alias("support")),
+        F.struct(F.col("pred").alias("label"), zero.alias("tp"), F.when(same, zero).otherwise(F.col("n")).alias("fp"), zero.alias("support")))).alias("s"))
+    return sides.groupBy("s.label").agg(F.sum("s.tp").alias("tp"), F.sum("s.fp").alias("fp"), F.sum("s.support").alias("support"))
+
+
+def _scores() -> tuple[Column, Column, Column]:
+    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("support"))
+    return p, r, f1(p, r)
+
+
 def per_class(pairs: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
     """Precision, recall, F1 and support per label; 0 where undefined."""
-    sides = pairs.select(F.explode(F.array(
-        F.struct(F.col("truth").alias("label"), F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0).alias("tp"),
-                 F.lit(0).cast("bigint").alias("fp"), F.col("n").alias("support")),
-        F.struct(F.col("pred").alias("label"), F.lit(0).cast("bigint").alias("tp"),
-                 F.when(F.col("truth") != F.col("pred"), F.col("n")).otherwise(0).alias("fp"), F.lit(0).cast("bigint").alias("support")))).alias("s"))
-    g = sides.groupBy("s.label").agg(F.sum("s.tp").alias("tp"), F.sum("s.fp").alias("fp"), F.sum("s.support").alias("support"))
+    g = _class_counts(pairs)
     if labels is not None:
         dim = pairs.sparkSession.createDataFrame([(x,) for x in labels], "label string")
         g = F.broadcast(dim).join(g, "label", "left").na.fill(0)
-    p, r = ratio(F.col("tp"), F.col("tp") + F.col("fp")), ratio(F.col("tp"), F.col("support"))
-    return g.select("label", p.alias("precision"), r.alias("recall"), f1(p, r).alias("f1"), "support")
+    p, r, f = _scores()
+    return g.select("label", p.alias("precision"), r.alias("recall"), f.alias("f1"), "support")
 
 
 def summary(pairs: DataFrame) -> DataFrame:
     """Accuracy and macro scores over the labels that occur as truth or prediction."""
-    acc = pairs.agg(ratio(F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"),
-                    F.sum("n").alias("rows"))
-    macro = per_class(pairs).agg(F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
-                                 F.avg("f1").alias("macro_f1"), F.count("*").alias("labels"))
-    return acc.crossJoin(macro)  # two one-row tables
+    p, r, f = _scores()
+    return _class_counts(pairs).agg(
+        ratio(F.sum("tp"), F.sum("support")).alias("accuracy"), F.sum("support").alias("rows"), F.avg(p).alias("macro_precision"),
+        F.avg(r).alias("macro_recall"), F.avg(f).alias("macro_f1"), F.count("*").alias("labels"))
 
 
 def majority(df: DataFrame, key: str, pred: str, pos: str) -> DataFrame:
@@ -68,13 +77,16 @@ def promotion(old: DataFrame, new: DataFrame, old_cls: DataFrame, new_cls: DataF
 
     old/new: one row (accuracy, macro_f1, bench_correct); *_cls: (label, f1).
     """
-    j = old.select(*[F.col(c).alias(f"old_{c}") for c in ("accuracy", "macro_f1", "bench_correct")]).crossJoin(
-        new.select(*[F.col(c).alias(f"new_{c}") for c in ("accuracy", "macro_f1", "bench_correct")]))
     cls = new_cls.select("label", F.col("f1").alias("n")).join(old_cls.select("label", F.col("f1").alias("o")), "label", "full_outer")
     n, o = F.coalesce("n", F.lit(0.0)), F.coalesce("o", F.lit(0.0))
     c = cls.agg(F.coalesce(F.bool_and(F.when(F.col("label").isin(*watched), n >= o)), F.lit(True)).alias("watched_ok"),
                 F.count_if(F.col("label").isin(*labels) & (n > 0)).alias("predicted"))
-    j = j.crossJoin(c)
+    # three one-row tables side by side: stacked, then one aggregate
+    names = ("accuracy", "macro_f1", "bench_correct")
+    stack = (old.select(*[F.col(x).alias(f"old_{x}") for x in names])
+             .unionByName(new.select(*[F.col(x).alias(f"new_{x}") for x in names]), allowMissingColumns=True)
+             .unionByName(c, allowMissingColumns=True))
+    j = stack.agg(*[F.max(x).alias(x) for x in stack.columns])
     checks = {"all_labels": F.col("predicted") == len(labels),
               "scores_hold": (F.col("new_accuracy") >= F.col("old_accuracy")) & (F.col("new_macro_f1") >= F.col("old_macro_f1")),
               "bench_holds": F.col("new_bench_correct") >= F.col("old_bench_correct"), "watched_hold": F.col("watched_ok")}

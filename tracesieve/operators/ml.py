@@ -8,7 +8,7 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesieve.session import share
@@ -45,10 +45,9 @@ def term_table(df: DataFrame, ident: list[str], terms: str, max_terms: int = 10_
     Term counts are combined map-side; the vocabulary is the top of a small ordered table.
     """
     tf = df.select(*ident, F.explode(terms).alias("term")).groupBy(*ident, "term").agg(F.count("*").alias("tf"))
-    n = df.agg(F.count("*").alias("__n"))
+    n = df.agg(F.count("*")).scalar()
     vocab = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(max_terms)
-    vocab = vocab.crossJoin(F.broadcast(n))  # one row
-    return tf, vocab.select("term", "cf", "df", (F.log((F.lit(1.0) + F.col("__n")) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
+    return tf, vocab.select("term", "cf", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
 def tfidf_weights(tf: DataFrame, vocab: DataFrame, ident: list[str]) -> DataFrame:
@@ -60,10 +59,10 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, ident: list[str]) -> DataFram
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Adds ``weight`` = rows / (classes * rows of the class)."""
+    every = Window.partitionBy()  # one row per class by now
     per = df.groupBy(label).agg(F.count("*").alias("__c"))
-    tot = per.agg(F.sum("__c").alias("__n"), F.count("*").alias("__k"))
-    return df.join(per.crossJoin(F.broadcast(tot)), label).withColumn(
-        "weight", F.col("__n") / (F.col("__k") * F.col("__c"))).drop("__c", "__n", "__k")
+    per = per.select(label, (F.sum("__c").over(every) / (F.count("*").over(every) * F.col("__c"))).alias("weight"))
+    return df.join(per, label)
 
 
 def featurise(df: DataFrame, text: str, with_chars: bool = False) -> DataFrame:

@@ -264,8 +264,9 @@ def model_ab_gate(t: Tables) -> DataFrame:
     """Promotion decision of rule set B against rule set A."""
     ev = evaluated(t)
     pa, pb = E.pair_counts(ev, "truth", "pred_a"), E.pair_counts(ev, "truth", "pred_b")
-    bench = lambda p: ev.where("lang = 'en'").agg(F.count_if(F.col("truth") == F.col(p)).alias("bench_correct"))
-    return E.promotion(E.summary(pa).crossJoin(bench("pred_a")), E.summary(pb).crossJoin(bench("pred_b")), E.per_class(pa), E.per_class(pb), L.CATEGORIES, WATCHED)
+    bench = lambda p: ev.where("lang = 'en'").agg(F.count_if(F.col("truth") == F.col(p))).scalar()
+    scored = lambda pairs, p: E.summary(pairs).withColumn("bench_correct", bench(p))
+    return E.promotion(scored(pa, "pred_a"), scored(pb, "pred_b"), E.per_class(pa), E.per_class(pb), L.CATEGORIES, WATCHED)
 
 
 @query("variant_selection", EVAL_SQL + f""", a AS ({_cls_sql('pred_a')}), b AS ({_cls_sql('pred_b')}) SELECT name AS winner FROM (SELECT 'A' AS name, 0 AS place, {_MF('a')} + {_SC('pred_a')} AS s UNION ALL SELECT 'B', 1, {_MF('b')} + {_SC('pred_b')}) ORDER BY s DESC, place LIMIT 1""")

@@ -110,11 +110,11 @@ def metered(t: Tables) -> tuple[DataFrame, DataFrame]:
     return G.running_action(m, actions, "us", "event_id"), actions
 
 
-@query("energy_integral", ENERGY_SQL + "SELECT event_id, round(power_mw, 4) AS power_mw, round(wh * 1000.0::DOUBLE, 2) AS energy_mwh, round(wh * 475.0::DOUBLE, 2) AS co2_mg, action FROM met")
+@query("energy_integral", ENERGY_SQL + "SELECT event_id, round(power_mw, 4) AS power_mw, round(wh * 1000.0::DOUBLE, 4) AS energy_mwh, round(wh * 475.0::DOUBLE, 6) AS co2_mg, action FROM met")
 def energy_integral(t: Tables) -> DataFrame:
     """Running session energy with the action of each sample."""
     m, _ = metered(t)
-    return m.select("event_id", F.round("power_mw", 4).alias("power_mw"), F.round("energy_mwh", 2).alias("energy_mwh"), F.round("co2_mg", 2).alias("co2_mg"), "action")
+    return m.select("event_id", F.round("power_mw", 4).alias("power_mw"), F.round("energy_mwh", 4).alias("energy_mwh"), F.round("co2_mg", 6).alias("co2_mg"), "action")
 
 
 @query("action_energy", ENERGY_SQL.rstrip() + """, p AS (SELECT action, action_start, sum(step_wh) * 1000.0::DOUBLE AS mwh, arg_max(power_mw, us) AS mw FROM met WHERE action <> 'idle' GROUP BY 1, 2),

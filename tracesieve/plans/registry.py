@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracesieve.session import spread
+
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,13 +19,16 @@ class Tables:
     NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
              "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+    HEAVY = ("documents", "pages", "conversations", "lineitem", "orders")
+
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder.rstrip("/")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name not in self.NAMES:
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df) if name in self.HEAVY else df
 
     @cached_property
     def timed_events(self) -> DataFrame:

@@ -54,6 +54,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Gives text-heavy work one task per core when the input has fewer splits than cores.
+
+    A small file with one row group is a single split. With more splits than cores, as on any large
+    table, the input is returned unchanged and nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _SHARED: list[DataFrame] = []
 
 

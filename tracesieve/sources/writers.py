@@ -55,8 +55,6 @@ def write_telemetry(samples: DataFrame, actions: DataFrame, path: str) -> None:
 
 def write_metrics(parts: dict[str, DataFrame], path: str) -> None:
     """One nested JSON document from named one-row tables."""
-    doc = None
-    for name, df in parts.items():
-        s = df.select(F.struct(*df.columns).alias(name))
-        doc = s if doc is None else doc.crossJoin(s)  # one row each
+    spark = next(iter(parts.values())).sparkSession
+    doc = spark.range(1).select(*[df.select(F.struct(*df.columns)).scalar().alias(name) for name, df in parts.items()])
     doc.write.mode("overwrite").json(path)
