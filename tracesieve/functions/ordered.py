@@ -133,30 +133,28 @@ def trailing(df: DataFrame, keys: Sequence[str], at: str, width: int,
     return out.where("__own = __b").drop("__own", "__b")
 
 
-def fold_runs(df: DataFrame, run_keys: Sequence[str], order: Sequence[str], schema: str,
-              make_step: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]]) -> DataFrame:
-    """Sequential fold over each run of rows, streamed: state is reset when the run key changes.
+def fold_runs(df: DataFrame, run_keys: Sequence[str], order: Sequence[str], inputs: Sequence[str], keep: Sequence[str],
+              result: str, make_step: Callable[[], Callable[..., bool]]) -> DataFrame:
+    """Sequential fold over each run of rows; ``step(*inputs)`` gives the flag ``result``.
 
-    Rows are hash-partitioned by run and sorted, then flow through in Arrow batches; only the
-    fold's own state is held, never a whole run.
+    Rows are hash-partitioned by run and sorted, then stream through in Arrow batches. Only the
+    fold's own state is held, never a whole run, and it restarts where the run key changes.
     """
     keys = list(run_keys)
+    schema = ", ".join(f"{c} {dict(df.dtypes)[c]}" for c in keep) + f", {result} boolean"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, step = None, None
+        last, step = None, None
         for pdf in batches:
             if pdf.empty:
                 continue
-            change = (pdf[keys] != pdf[keys].shift()).any(axis=1).to_numpy()
-            starts = [i for i, c in enumerate(change) if c or i == 0]
-            parts = []
-            for a, b in zip(starts, [*starts[1:], len(pdf)]):
-                piece = pdf.iloc[a:b]
-                k = tuple(piece.iloc[0][keys])
-                if k != current:
-                    current, step = k, make_step()
-                parts.append(step(piece))
-            yield pd.concat(parts, ignore_index=True)
+            rows = list(zip(*[pdf[k].tolist() for k in keys]))
+            flags = []
+            for key, args in zip(rows, zip(*[pdf[c].tolist() for c in inputs])):
+                if key != last:
+                    last, step = key, make_step()
+                flags.append(step(*args))
+            yield pdf[list(keep)].assign(**{result: flags})
 
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 

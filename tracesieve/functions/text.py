@@ -170,6 +170,27 @@ ANY_SECRET = "(?:" + "|".join(p.replace("(?i)", "(?i:", 1) + ")" if p.startswith
                               for _, p, _ in SECRET_KINDS) + ")"
 
 
+# Literals without which no secret pattern can match, as written and lower-cased.
+SECRET_LITERALS = ("AIza", "gsk_", "sk-", "ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_", "AKIA", "xox", "PRIVATE KEY", "eyJ")
+SECRET_WORDS = ("api_key", "apikey", "secret", "token", "passwd", "password", "credential")
+
+
+def has_any(c: Column, literals: tuple[str, ...]) -> Column:
+    cond = F.lit(False)
+    for x in literals:
+        cond = cond | c.contains(x)
+    return cond
+
+
+def secret_hint(c: Column) -> Column:
+    """Cheap superset of the secret patterns: plain substring tests, run before any regex."""
+    return has_any(c, SECRET_LITERALS) | has_any(F.lower(c), SECRET_WORDS)
+
+
+def holds_secret(c: Column) -> Column:
+    return secret_hint(c) & c.rlike(ANY_SECRET)
+
+
 def mask_secrets(c: Column) -> Column:
     for kind, pattern, _ in SECRET_KINDS:
         c = F.regexp_replace(c, pattern, f"[REDACTED:{kind}]")

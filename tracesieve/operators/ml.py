@@ -26,7 +26,8 @@ def ngrams(arr: Column, sizes: Sequence[int] = (1, 2, 3)) -> Column:
     def of(n: int) -> Column:
         if n == 1:
             return arr
-        made = F.transform(F.sequence(F.lit(1), F.size(arr) - (n - 1)), lambda i: F.array_join(F.slice(arr, i, F.lit(n)), " "))
+        # element access is constant time; slicing would copy the whole array for every n-gram
+        made = F.transform(F.sequence(F.lit(0), F.size(arr) - n), lambda i: F.concat_ws(" ", *[F.get(arr, i + k) for k in range(n)]))
         return F.when(F.size(arr) >= n, made).otherwise(F.array().cast("array<string>"))
     return F.concat(*[of(n) for n in sizes])
 
@@ -44,7 +45,7 @@ def term_table(df: DataFrame, ident: list[str], terms: str, max_terms: int = 10_
 
     Term counts are combined map-side; the vocabulary is the top of a small ordered table.
     """
-    tf = df.select(*ident, F.explode(terms).alias("term")).groupBy(*ident, "term").agg(F.count("*").alias("tf"))
+    tf = df.select(*ident, F.explode_outer(terms).alias("term")).where("term IS NOT NULL").groupBy(*ident, "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*")).scalar()
     vocab = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(max_terms)
     return tf, vocab.select("term", "cf", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))

@@ -170,7 +170,7 @@ def hidden_characters(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
 # ---------------------------------------------------------------------------------------------
 def secret_findings(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One finding per (line, secret kind)."""
-    lines = T.explode_lines(df.where(F.col(text).rlike(T.ANY_SECRET)), text, *keep).where(F.col("line").rlike(T.ANY_SECRET))
+    lines = T.explode_lines(df.where(T.secret_hint(F.col(text))), text, *keep).where(T.holds_secret(F.col("line")))
     hits = F.array_compact(F.array(*[
         F.when(F.col("line").rlike(p), F.struct(F.lit(k).alias("kind"), F.lit(s).alias("severity")))
         for k, p, s in T.SECRET_KINDS]))

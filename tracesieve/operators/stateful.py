@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +19,11 @@ def _limiter_step(n: int, width: int):
     """Fold of the sliding-log limiter: at most ``n`` accepted events in ``(t - width, t]``."""
     accepted: deque[int] = deque(maxlen=n)
 
-    def step(piece: pd.DataFrame) -> pd.DataFrame:
-        flags = []
-        for at, known in zip(piece["at"].to_numpy(), piece["known"].to_numpy()):
-            ok = bool(known) or len(accepted) < n or accepted[0] <= at - width
-            if ok:
-                accepted.append(int(at))
-            flags.append(ok)
-        return piece.assign(accepted=flags)[["ident", "known", "accepted"]]
+    def step(at: int, known: bool) -> bool:
+        ok = known or len(accepted) < n or accepted[0] <= at - width
+        if ok:
+            accepted.append(at)
+        return ok
 
     return step
 
@@ -62,7 +58,7 @@ def limit_rate(df: DataFrame, keys: Sequence[str], at: str, ident: str, n: int,
     context = runs.join(starts, [*keys, "run"]).where(F.col("at") > F.col("__from") - F.lit(width)) \
         .select(*keys, (F.col("run") + 1).alias("run"), "at", "ident", F.lit(True).alias("known"))
     todo = runs.where("hot").select(*keys, "run", "at", "ident", F.lit(False).alias("known")).unionByName(context)
-    folded = fold_runs(todo, [*keys, "run"], ["at", "ident"], "ident bigint, known boolean, accepted boolean",
+    folded = fold_runs(todo, [*keys, "run"], ["at", "ident"], ["at", "known"], ["ident", "known"], "accepted",
                        lambda: _limiter_step(n, width)).where("NOT known").select("ident", "accepted")
     verdict = runs.where("NOT hot").select("ident", F.lit(True).alias("accepted")).unionByName(folded)
     return df.join(verdict.withColumnRenamed("ident", ident), ident)
@@ -83,19 +79,17 @@ def suppress_repeats(df: DataFrame, keys: Sequence[str], at: str, ident: str, wi
 
 
 def _bucket_step(capacity: float, per_us: float, reserved: float):
-    state = {"tokens": capacity, "last": None}
-
-    def step(piece: pd.DataFrame) -> pd.DataFrame:
-        flags = []
-        for at, urgent in zip(piece["at"].to_numpy(), piece["urgent"].to_numpy()):
-            if state["last"] is not None:
-                state["tokens"] = min(capacity, state["tokens"] + (int(at) - state["last"]) * per_us)
-            state["last"] = int(at)
-            ok = state["tokens"] >= 1.0 and (bool(urgent) or state["tokens"] > reserved)
-            if ok:
-                state["tokens"] -= 1.0
-            flags.append(ok)
-        return piece.assign(accepted=flags)[["ident", "accepted"]]
+    tokens, last = capacity, None
+
+    def step(at: int, urgent: bool) -> bool:
+        nonlocal tokens, last
+        if last is not None:
+            tokens = min(capacity, tokens + (at - last) * per_us)
+        last = at
+        ok = tokens >= 1.0 and (urgent or tokens > reserved)
+        if ok:
+            tokens -= 1.0
+        return ok
 
     return step
 
@@ -115,6 +109,6 @@ def token_bucket(df: DataFrame, keys: Sequence[str], at: str, ident: str, urgent
     prev = carry_forward(base, keys, step, ["at", "ident"], {"__prev": F.col("at")})
     cut = F.coalesce(F.col("at") - F.col("__prev") >= F.lit(60_000_000), F.lit(True))
     pieces = running(prev, keys, step, ["at", "ident"], {"run": ("sum", cut.cast("bigint"))}).drop("__prev")
-    got = fold_runs(pieces, [*keys, "run"], ["at", "ident"], "ident bigint, accepted boolean",
+    got = fold_runs(pieces, [*keys, "run"], ["at", "ident"], ["at", "urgent"], ["ident"], "accepted",
                     lambda: _bucket_step(capacity, per_us, reserved))
     return df.join(got.withColumnRenamed("ident", ident), ident)

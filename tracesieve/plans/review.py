@@ -29,9 +29,10 @@ _RANK_NAME = "CASE {0} WHEN 0 THEN 'Critical' WHEN 1 THEN 'High' WHEN 2 THEN 'Me
 
 
 def doc_findings(t: Tables) -> DataFrame:
-    """Line findings of documents; texts without any hit never reach the explode."""
-    pre = "|".join(f"(?:{r.pattern})" if not r.pattern.startswith("(?i)") else f"(?i:{r.pattern[4:]})" for r in DOC_RULES)
-    lines = T.explode_lines(t.documents.where(F.col("text").rlike(pre)), "text", "doc_id", "source")
+    """Line findings of documents; texts and lines without a telling literal never reach a regex."""
+    def hint(c):
+        return T.secret_hint(c) | c.contains("@") | T.has_any(F.lower(c), ("licen", "all rights reserved", "copyright"))
+    lines = T.explode_lines(t.documents.where(hint(F.col("text"))), "text", "doc_id", "source").where(hint(F.col("line")))
     return scan_lines(lines, DOC_RULES, ["doc_id", "source", "line_no", "line"])
 
 
@@ -369,8 +370,8 @@ for _k, _p, _s in T.SECRET_KINDS:
 @query("masked_secrets", f"WITH l AS ({DOC_LINES_SQL}) SELECT doc_id, line_no, {_MASKED} AS masked FROM l WHERE regexp_matches(line, {q(T.ANY_SECRET)})")
 def masked_secrets(t: Tables) -> DataFrame:
     """Secret lines of documents with the secret replaced by its kind."""
-    lines = T.explode_lines(t.documents.where(F.col("text").rlike(T.ANY_SECRET)), "text", "doc_id")
-    return lines.where(F.col("line").rlike(T.ANY_SECRET)).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), T.mask_secrets(F.col("line")).alias("masked"))
+    lines = T.explode_lines(t.documents.where(T.secret_hint(F.col("text"))), "text", "doc_id")
+    return lines.where(T.holds_secret(F.col("line"))).select("doc_id", F.col("line_no").cast("bigint").alias("line_no"), T.mask_secrets(F.col("line")).alias("masked"))
 
 
 _KV = r"(?i)\b([A-Za-z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)[A-Za-z0-9_]*\s*=\s*)"

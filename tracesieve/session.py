@@ -29,9 +29,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    tune(spark)
     return spark
 
 
+def tune(spark: SparkSession) -> None:
+    """Runtime settings of the operators, for sessions built elsewhere too.
+
+    The excluded rule adds a filter "array not empty" below every explode and thereby evaluates the
+    exploded expression (tokenising, splitting, scanning) a second time, inlined.
+    """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate")
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a scratch folder
     only where that is unset (single-machine tests)."""
