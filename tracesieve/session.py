@@ -2,7 +2,9 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,15 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate")
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Gives Python workers this package, wherever the driver was started; once per application."""
+    context = spark.sparkContext
+    if not getattr(context, "_tracesieve_shipped", False):
+        root = Path(__file__).resolve().parent.parent
+        context.addPyFile(shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/tracesieve_package", "zip", root, "tracesieve"))
+        context._tracesieve_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a scratch folder
     only where that is unset (single-machine tests)."""
