@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracesieve.llm import bpe, packing, token_counts
+from tracesieve.llm import bpe, near_dedup, packing, token_counts
 from tracesieve.llm.frames import read
 
 
@@ -24,7 +24,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SimHash fingerprint and its group of near duplicates."""
+    return near_dedup.near_groups(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_token_counts, op5_best_fit_packing)
+    f.__name__: f for f in (op2_byte_bpe, op3_token_counts, op5_best_fit_packing, op10_simhash_dedup)
 }
 ORACLES: dict[str, str] = {}
