@@ -5,8 +5,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracesieve.llm import bpe, near_dedup, packing, token_counts
+from tracesieve.llm import bpe, near_dedup, packing, quality_rules, token_counts
 from tracesieve.llm.frames import read
+from tracesieve.llm.rules_sql import quality_rules_sql
+
+
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word counts, base rules and the verdict of the certified rules for every document."""
+    return quality_rules.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +36,6 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_byte_bpe, op3_token_counts, op5_best_fit_packing, op10_simhash_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_token_counts, op5_best_fit_packing, op10_simhash_dedup)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules_sql()}
