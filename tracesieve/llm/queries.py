@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracesieve.llm import bpe, near_dedup, packing, quality_classifier, quality_rules, token_counts
+from tracesieve.llm import bpe, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_counts
 from tracesieve.llm.frames import read
 from tracesieve.llm.rules_sql import quality_rules_sql
 
@@ -25,6 +25,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document."""
+    return secret_scan.report(read(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces with their place in sequences of 1024 tokens."""
     return packing.pack(read(spark, sf_dir, "documents"))
@@ -41,6 +46,6 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_token_counts, op5_best_fit_packing, op9_quality_classifier, op10_simhash_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secret_scan, op5_best_fit_packing, op9_quality_classifier, op10_simhash_dedup)
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules_sql()}
