@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracesieve.llm import bpe, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_counts
+from tracesieve.llm import bpe, fingerprints, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_counts
 from tracesieve.llm.frames import read
 from tracesieve.llm.rules_sql import quality_rules_sql
 
@@ -35,6 +35,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.compare_neighbours(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score and prediction for every document."""
     return quality_classifier.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -46,6 +51,6 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secret_scan, op5_best_fit_packing, op9_quality_classifier, op10_simhash_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secret_scan, op5_best_fit_packing, op6_document_fingerprints, op9_quality_classifier, op10_simhash_dedup)
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules_sql()}
