@@ -5,7 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracesieve.llm import bpe, fingerprints, near_dedup, packing, quality_classifier, quality_rules, secret_scan, token_counts
+from tracesieve.llm import (bpe, fingerprints, masked_lm, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan,
+                             token_counts)
 from tracesieve.llm.frames import read
 from tracesieve.llm.rules_sql import quality_rules_sql
 
@@ -40,6 +41,16 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_neighbours(read(spark, sf_dir, "documents"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of personal data in every document."""
+    return pii.report(read(spark, sf_dir, "documents"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked pseudo-likelihood of every document under a model of all documents."""
+    return masked_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score and prediction for every document."""
     return quality_classifier.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -51,6 +62,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secret_scan, op5_best_fit_packing, op6_document_fingerprints, op9_quality_classifier, op10_simhash_dedup)
+    f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secret_scan, op5_best_fit_packing, op6_document_fingerprints, op7_pii,
+                           op8_lm_scoring, op9_quality_classifier, op10_simhash_dedup)
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules_sql()}
