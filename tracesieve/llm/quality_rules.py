@@ -108,6 +108,8 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 def certified_cutoffs(measured: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """(stratum, one column per rule): the strictest certified cutoff, null where none is. ``labels`` has (doc_id, quality).
 
+    ``measured`` should be stored: a filter on it would otherwise be pushed below the measures and repeat them in place of their columns.
+
     A document with several labels is good if all say so. Only counts per stratum, rule and cutoff leave the tasks.
     """
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
@@ -147,7 +149,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", key: str =
 
     A row is judged where its text is, so texts are never shuffled and null or repeated keys need no care.
     """
-    cutoffs = certified_cutoffs(measure(docs, text, key, stratum), labels.select("doc_id", "quality"), alpha, delta)
+    cutoffs = certified_cutoffs(cut_lineage(measure(docs, text, key, stratum)), labels.select("doc_id", "quality"), alpha, delta)
     measured = with_measures(docs, text, stratum).select(*(F.col(c).alias(f"__doc_{c}") for c in docs.columns), "__m.*")
     return _verdict(measured, cutoffs, "stratum").where("kept").select(*(F.col(f"__doc_{c}").alias(c) for c in docs.columns))
 
@@ -158,4 +160,5 @@ def _verdict(measured: DataFrame, cutoffs: DataFrame, stratum: str) -> DataFrame
     if cutoffs.count() <= BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
     fired = reduce(or_, (F.coalesce(share(r) > F.col(r), F.lit(False)) for r in RULES))
-    return measured.join(cutoffs, stratum, "left").withColumn("kept", ~base_failed() & ~fired)
+    # one expression over both sides of the join: a conjunction's first half would be pushed below the measures and repeat them
+    return measured.join(cutoffs, stratum, "left").withColumn("kept", F.when(base_failed(), F.lit(False)).otherwise(~fired))
