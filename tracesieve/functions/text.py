@@ -56,17 +56,17 @@ def dataset_form(c: Column) -> Column:
 
 
 # Classifier normal form. Tokens that stay visible between quotes.
-KEPT_TOKENS: tuple[str, ...] = tuple("""
-int float double char bool void auto long short unsigned signed const static return class struct
-private protected public virtual namespace template new delete nullptr true false if else for while
-do switch case default break continue goto operator sizeof typedef typename using constexpr enum union
-friend inline explicit mutable this throw try catch main argc argv std
-cout cin cerr endl ostream istream printf scanf fprintf string getline vector map set unordered_map
-unordered_set list queue stack deque array pair tuple optional sort find max min reverse count
-fill copy abs sqrt pow ceil floor unique_ptr shared_ptr make_unique make_shared assert INT_MAX INT_MIN
-size_t NULL
-; } { ) ( ] [ : , >> << = + - * / % == != < > <= >= && || ! & | ^ ~ ++ -- += -= *= /= -> . ::
-""".split())
+KEPT_TOKENS: tuple[str, ...] = (
+    "int", "float", "double", "char", "bool", "void", "auto", "long", "short", "unsigned", "signed", "const", "static", "return", "class", "struct",
+    "private", "protected", "public", "virtual", "namespace", "template", "new", "delete", "nullptr", "true", "false", "if", "else", "for", "while",
+    "do", "switch", "case", "default", "break", "continue", "goto", "operator", "sizeof", "typedef", "typename", "using", "constexpr", "enum", "union",
+    "friend", "inline", "explicit", "mutable", "this", "throw", "try", "catch", "main", "argc", "argv", "std",
+    "cout", "cin", "cerr", "endl", "ostream", "istream", "printf", "scanf", "fprintf", "string", "getline", "vector", "map", "set", "unordered_map",
+    "unordered_set", "list", "queue", "stack", "deque", "array", "pair", "tuple", "optional", "sort", "find", "max", "min", "reverse", "count",
+    "fill", "copy", "abs", "sqrt", "pow", "ceil", "floor", "unique_ptr", "shared_ptr", "make_unique", "make_shared", "assert", "INT_MAX", "INT_MIN",
+    "size_t", "NULL",
+    ";", "}", "{", ")", "(", "]", "[", ":", ",", ">>", "<<", "=", "+", "-", "*", "/", "%", "==", "!=", "<", ">", "<=", ">=", "&&", "||", "!", "&", "|", "^", "~", "++", "--", "+=", "-=", "*=", "/=", "->", ".", "::",
+)
 KEPT_FRAGMENTS = ("vector", "string", "map", "set", "pair", "tuple", "ostream", "istream")
 LOCATION_PREFIX = r"^(?:[A-Za-z]:)?[^:\r\n]+:\d+(?::\d+)?: (?:fatal )?(?:error|warning|note):\s*"
 QUOTED = r"['`]([^'`\n]+)['`]"
@@ -239,8 +239,8 @@ KEY_VALUE = (r"(?i)\b([A-Za-z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)[A-Za-z0-
 KEY_FORMATS = (r"AIza[0-9A-Za-z_\-]{20,}", r"gsk_[0-9A-Za-z_\-]{20,}", r"sk-[0-9A-Za-z_\-]{20,}", r"ghp_[0-9A-Za-z]{20,}")
 
 
-def redact(c: Column, limit: int | None = 80) -> Column:
-    """Evidence text: secrets masked, control characters blanked, capped at ``limit``."""
+def redact(c: Column, limit: int | None = None) -> Column:
+    """Evidence text: secrets masked, control characters blanked; whole unless a display cap is asked for."""
     t = mask_secrets(F.coalesce(c, F.lit("")))
     t = F.regexp_replace(t, KEY_VALUE, "$1$2[REDACTED]$2")
     for p in KEY_FORMATS:
@@ -277,8 +277,8 @@ def finding_slug(c: Column) -> Column:
 # Comment and literal stripping for C-family source.
 _CODE_TOKEN = (r"(?s)(//[^\n]*+"
                r"|/\*.*?(?:\*/|\z)"
-               r"|(?:u8|[uUL])?R\x22([^\s()\\]{0,16})\(.*?(?:\)\2\x22|\z)"
-               r"|\x22(?:[^\x22\\\n]|\\[^\n])*+(?:\x22|\\(?=\n|\z)|(?=\n|\z))"
+               r'|(?:u8|[uUL])?R"([^\s()\\]{0,16})\(.*?(?:\)\2"|\z)'
+               r'|"(?:[^"\\\n]|\\[^\n])*+(?:"|\\(?=\n|\z)|(?=\n|\z))'
                r"|'(?:[^'\\\n]|\\[^\n])*+(?:'|\\(?=\n|\z)|(?=\n|\z))"
                r"|[^/\x22'RuUL]++|.)")
 
@@ -293,7 +293,7 @@ def strip_code(c: Column) -> Column:
 
     def keep(t: Column) -> Column:
         return (F.when(t.startswith("//"), F.lit(""))
-                .when(t.startswith("/*") | t.rlike("^(?:u8|[uUL])?R\x22"), F.regexp_replace(t, "[^\n]", ""))
+                .when(t.startswith("/*") | t.rlike('^(?:u8|[uUL])?R"'), F.regexp_replace(t, "[^\n]", ""))
                 .when(t.rlike("^[\x22']"), F.lit(""))
                 .otherwise(t))
 

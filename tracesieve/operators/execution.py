@@ -20,11 +20,11 @@ PROCESS = (r"\b(?:system|popen|execlp|execle|execl|execvpe|execve|execvp|execv|f
 ASM = r"\b(?:__asm__|__asm|_asm|asm)\b"
 DYNAMIC = r"\b(?:dlopen|dlsym|LoadLibrary[A-Za-z0-9_]*|GetProcAddress)\s*\("
 NETWORK_CALL = r"\b(?:socket|getaddrinfo|gethostbyname|inet_addr|WSAStartup|curl_easy_init)\s*\("
-NETWORK_INCLUDE = r"#\s*include\s*[<\x22](?:sys/socket\.h|netinet/in\.h|arpa/inet\.h|winsock2\.h|curl/curl\.h)[>\x22]"
+NETWORK_INCLUDE = r'#\s*include\s*[<"](?:sys/socket\.h|netinet/in\.h|arpa/inet\.h|winsock2\.h|curl/curl\.h)[>"]'
 FILE_OPEN = r"\b(?:fopen|freopen|open|ifstream|ofstream|fstream)\b|(?:::|\b)filesystem::"
 DESTRUCTIVE = r"\b(?:remove|unlink|rmdir|rename|remove_all)\s*\("
 ENVIRONMENT = r"\b(?:getenv|_dupenv_s|GetEnvironmentVariable[A-Za-z0-9_]*)\s*\("
-LITERAL = r"\x22((?:[^\x22\\]|\\.)*+)\x22"
+LITERAL = r'"((?:[^"\\]|\\.)*+)"'
 STARTUP = r"__attribute__\s*\(\s*\(\s*constructor\s*\)\s*\)|#\s*pragma\s+.*?\b(?:startup|init_seg)\b"
 ALIAS = r"^\s*#\s*define\s+([A-Za-z_]\w*)\s+([A-Za-z_]\w*)"
 PASTE = r"^\s*#\s*define\s+[A-Za-z_]\w*(?:\([^)]*\))?\s+(.*##.*)$"
@@ -123,7 +123,7 @@ def size_findings(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 def special_includes(lines: DataFrame) -> DataFrame:
     """Includes of device nodes, virtual files and network shares."""
-    target = F.trim(F.regexp_extract("raw", r"#\s*include\s*[<\x22]([^>\x22]+)[>\x22]", 1))
+    target = F.trim(F.regexp_extract("raw", r'#\s*include\s*[<"]([^>"]+)[>"]', 1))
     norm = F.replace(target, F.lit("\\"), F.lit("/"))
     base = F.upper(F.regexp_extract(F.regexp_extract(norm, r"[^/]*$", 0), r"^[^.]*", 0))
     bad = norm.rlike("^/(?:dev|proc|sys)/") | norm.startswith("//") | base.isin(*DEVICES) | F.upper(target).isin(*DEVICES)

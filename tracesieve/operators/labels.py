@@ -248,10 +248,12 @@ OVERRIDE_TAIL: tuple[tuple[str, float, tuple[str, ...]], ...] = (
                                  "no return statement in function returning non-void",
                                  "control reaches end of non-void function")),
 )
-STANDARD_SYMBOLS = tuple("""cout cin cerr endl string vector map set unordered_map unordered_set list queue stack
-deque array pair tuple sort find max min reverse count fill copy abs sqrt pow ceil floor unique_ptr shared_ptr
-make_unique make_shared strlen strcpy strcmp strcat memset memcpy memmove printf scanf fprintf puts fopen fclose
-sprintf snprintf INT_MAX INT_MIN size_t""".split())
+STANDARD_SYMBOLS = (
+    "cout", "cin", "cerr", "endl", "string", "vector", "map", "set", "unordered_map", "unordered_set", "list", "queue", "stack",
+    "deque", "array", "pair", "tuple", "sort", "find", "max", "min", "reverse", "count", "fill", "copy", "abs", "sqrt", "pow",
+    "ceil", "floor", "unique_ptr", "shared_ptr", "make_unique", "make_shared", "strlen", "strcpy", "strcmp", "strcat", "memset",
+    "memcpy", "memmove", "printf", "scanf", "fprintf", "puts", "fopen", "fclose", "sprintf", "snprintf", "INT_MAX", "INT_MIN",
+    "size_t")
 QUOTED_STANDARD = ("cout", "cin", "vector", "string", "endl", "sort", "printf", "strlen")
 FIRST_SYMBOL = r"['\x{2018}]([a-zA-Z_]\w*)['\x{2019}]"
 

@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: the keyword list, in lookup order
-KEYWORDS = tuple("""int float double char bool void return if else while for do switch case break continue class struct public private
-protected new delete true false const static namespace include template virtual""".split())
+KEYWORDS = (
+    "int", "float", "double", "char", "bool", "void", "return", "if", "else", "while", "for", "do", "switch", "case", "break",
+    "continue", "class", "struct", "public", "private", "protected", "new", "delete", "true", "false", "const", "static",
+    "namespace", "include", "template", "virtual")
 
 
 def nearest_word(tokens: DataFrame, token: str, words: Sequence[str] = KEYWORDS, edits: int = 2, shortest: int = 3) -> DataFrame:

@@ -40,14 +40,16 @@ def char_ngrams(low: Column, sizes: Sequence[int] = (3, 4, 5)) -> Column:
     return F.concat(*[of(n) for n in sizes])
 
 
-def term_table(df: DataFrame, ident: list[str], terms: str, max_terms: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Relational TF-IDF: (ident, term, tf) and (term, cf, df, idf) of the most frequent terms.
+def term_table(df: DataFrame, ident: list[str], terms: str, max_terms: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Relational TF-IDF: (ident, term, tf) and (term, cf, df, idf) of all terms, or of the ``max_terms`` most frequent.
 
-    Term counts are combined map-side; the vocabulary is the top of a small ordered table.
+    Term counts are combined map-side.
     """
     tf = df.select(*ident, F.explode_outer(terms).alias("term")).where("term IS NOT NULL").groupBy(*ident, "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*")).scalar()
-    vocab = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).orderBy(F.desc("cf"), "term").limit(max_terms)
+    vocab = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
+    if max_terms is not None:
+        vocab = vocab.orderBy(F.desc("cf"), "term").limit(max_terms)
     return tf, vocab.select("term", "cf", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
@@ -79,7 +81,7 @@ def featurise(df: DataFrame, text: str, with_chars: bool = False) -> DataFrame:
     return out.withColumn("terms", F.concat(ngrams(F.col("__tok")), char_ngrams(F.col("__low")))).drop("__tok", "__low")
 
 
-def train(df: DataFrame, text: str, label: str, c: float = 3.0, max_terms: int = 10_000, max_iter: int = 100,
+def train(df: DataFrame, text: str, label: str, max_terms: int, c: float = 3.0, max_iter: int = 100,
           with_chars: bool = False) -> PipelineModel:
     """TF-IDF plus multinomial logistic regression with balanced class weights.
 
@@ -87,7 +89,7 @@ def train(df: DataFrame, text: str, label: str, c: float = 3.0, max_terms: int =
     ``max_terms`` entries. Term frequency is linear, which equals the damped form on short messages.
     """
     rows = share(class_weights(featurise(df, text, with_chars), label).select(label, "terms", "weight"))
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_terms if not with_chars else 1 << 18, **({"maxDF": 0.95} if with_chars else {})).fit(rows)
+    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_terms, **({"maxDF": 0.95} if with_chars else {})).fit(rows)
     idf = IDF(inputCol="tf", outputCol="unused").fit(counts.transform(rows)).idf
     scale = ElementwiseProduct(inputCol="tf", outputCol="scaled", scalingVec=Vectors.dense(idf.toArray() + 1.0))
     norm = Normalizer(inputCol="scaled", outputCol="features", p=2.0)

@@ -16,17 +16,21 @@ from tracesieve.operators.weakness import LINE_RULES
 from tracesieve.session import share
 
 # fixed values: standard headers a patch may add
-STANDARD_HEADERS = tuple("""algorithm any array atomic barrier bit bitset charconv chrono codecvt compare complex concepts coroutine deque
-exception execution expected format forward_list fstream functional future generator initializer_list iomanip ios iosfwd iostream istream
-iterator latch limits list locale map mdspan memory memory_resource mutex new numbers numeric optional ostream print queue random ranges
-ratio regex scoped_allocator semaphore set shared_mutex source_location span spanstream sstream stack stacktrace stdexcept stop_token
-streambuf string string_view syncstream system_error tuple type_traits typeindex typeinfo unordered_map unordered_set utility valarray
-variant vector version cassert cctype cerrno cfenv cfloat cinttypes ciso646 climits clocale cmath csetjmp csignal cstdarg cstdbool cstddef
-cstdint cstdio cstdlib cstring ctgmath ctime cuchar cwchar cwctype assert.h ctype.h errno.h fenv.h float.h inttypes.h iso646.h limits.h
-locale.h math.h setjmp.h signal.h stdarg.h stdbool.h stddef.h stdint.h stdio.h stdlib.h string.h tgmath.h time.h uchar.h wchar.h
-wctype.h""".split())
+STANDARD_HEADERS = (
+    "algorithm", "any", "array", "atomic", "barrier", "bit", "bitset", "charconv", "chrono", "codecvt", "compare", "complex",
+    "concepts", "coroutine", "deque", "exception", "execution", "expected", "format", "forward_list", "fstream", "functional",
+    "future", "generator", "initializer_list", "iomanip", "ios", "iosfwd", "iostream", "istream", "iterator", "latch", "limits",
+    "list", "locale", "map", "mdspan", "memory", "memory_resource", "mutex", "new", "numbers", "numeric", "optional", "ostream",
+    "print", "queue", "random", "ranges", "ratio", "regex", "scoped_allocator", "semaphore", "set", "shared_mutex",
+    "source_location", "span", "spanstream", "sstream", "stack", "stacktrace", "stdexcept", "stop_token", "streambuf", "string",
+    "string_view", "syncstream", "system_error", "tuple", "type_traits", "typeindex", "typeinfo", "unordered_map", "unordered_set",
+    "utility", "valarray", "variant", "vector", "version", "cassert", "cctype", "cerrno", "cfenv", "cfloat", "cinttypes", "ciso646",
+    "climits", "clocale", "cmath", "csetjmp", "csignal", "cstdarg", "cstdbool", "cstddef", "cstdint", "cstdio", "cstdlib",
+    "cstring", "ctgmath", "ctime", "cuchar", "cwchar", "cwctype", "assert.h", "ctype.h", "errno.h", "fenv.h", "float.h",
+    "inttypes.h", "iso646.h", "limits.h", "locale.h", "math.h", "setjmp.h", "signal.h", "stdarg.h", "stdbool.h", "stddef.h",
+    "stdint.h", "stdio.h", "stdlib.h", "string.h", "tgmath.h", "time.h", "uchar.h", "wchar.h", "wctype.h")
 WATCHED_HEADERS = ("filesystem", "thread")
-INCLUDE = r"(?m)^\s*#\s*include\s*[<\x22]([^>\x22\r\n]+)[>\x22]"
+INCLUDE = r'(?m)^\s*#\s*include\s*[<"]([^>"\r\n]+)[>"]'
 SUPPRESS = (r"(?i)(?:#\s*pragma\s+GCC\s+diagnostic\s+ignored|#\s*pragma\s+warning\s*\(\s*disable|#\s*define\s+NDEBUG"
             r"|__attribute__\s*\(\s*\(\s*no_sanitize|//\s*NOLINT|-w\b)")
 GUARD = (r"(?i)(?:assert\s*\(|static_assert\s*\(|if\s*\(.*?\)\s*(?:return|exit|abort|throw|break|continue)\b|if\s*\(.*?(?:!=|==)\s*nullptr\)"
@@ -184,7 +188,7 @@ def patch_audit(pairs: DataFrame, pid: str) -> DataFrame:
 # fixed values: what the undefended system refused, as (reason, pattern)
 SANITISER: tuple[tuple[str, str], ...] = (
     ("sanitizer:system", r"system\s*\("), ("sanitizer:popen", r"popen\s*\("), ("sanitizer:exec", r"exec\s*\("), ("sanitizer:fork", r"fork\s*\("),
-    ("sanitizer:asm", "__asm__|shellcode"), ("sanitizer:sys-include", r"#include\s*[<\x22]\s*sys/"))
+    ("sanitizer:asm", "__asm__|shellcode"), ("sanitizer:sys-include", r'#include\s*[<"]\s*sys/'))
 MAIN = r"\b(?:int|void)?\s*main\s*\("
 
 

@@ -117,5 +117,5 @@ def call_graph(lines: DataFrame) -> DataFrame:
 
 def modules(lines: DataFrame) -> DataFrame:
     """Distinct included headers per file."""
-    inc = F.regexp_extract("raw", r"^\s*#include\s+[<\x22]([^>\x22]+)[>\x22]", 1)
+    inc = F.regexp_extract("raw", r'^\s*#include\s+[<"]([^>"]+)[>"]', 1)
     return lines.select("file", inc.alias("module")).where("module <> ''").distinct()

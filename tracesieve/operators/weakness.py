@@ -14,7 +14,7 @@ LINE_RULES: tuple[LineRule, ...] = (
     LineRule("Division by Zero", r"/\s*0\b", "High"),
     LineRule("Buffer Overflow", r"\bgets\s*\(", "Critical"),
     LineRule("Unsafe String Function", r"\b(?:strcpy|strcat|sprintf)\s*\(", "High"),
-    LineRule("Unbounded Input", r"^(?:(?!//).)*\b(?:scanf\s*\(|sscanf\s*\([^,]+,|fscanf\s*\([^,]+,)\s*\x22(?![^\x22]*%\d+s)[^\x22]*%\s*s", "High", on="raw"),
+    LineRule("Unbounded Input", r'^(?:(?!//).)*\b(?:scanf\s*\(|sscanf\s*\([^,]+,|fscanf\s*\([^,]+,)\s*"(?![^"]*%\d+s)[^"]*%\s*s', "High", on="raw"),
     LineRule("Format String Vulnerability", r"\b(?:printf|fprintf)\s*\(\s*(?:[^,()]+,)?\s*[A-Za-z_]\w*\s*\)\s*;", "High", on="raw"),
     LineRule("Insecure Temporary File", r"\b(?:tmpnam|tmpnam_s|mktemp|tempnam)\s*\(", "High"),
     LineRule("Unchecked Type Conversion", r"\b(?:atoi|atol|atoll|atof)\s*\(", "Medium"),

@@ -149,13 +149,12 @@ def diagnostic_order(t: Tables) -> DataFrame:
 
 
 # ---- normal forms and labels over the distinct messages -------------------------------------
-MSG_SQL = PARSED_SQL.rstrip() + ", msgs AS (SELECT DISTINCT message FROM parsed WHERE severity <> 'linker')\n"
+MSG_SQL = PARSED_SQL.rstrip() + ", msgs AS (SELECT DISTINCT message FROM parsed)\n"
 
 
 def messages(t: Tables) -> DataFrame:
     """Distinct messages: everything below is a function of the text, so dedupe comes first."""
-    return D.parse_lines(D.mark_blocks(log_lines(t.lineitem), ["file"], line_chunk()).where("block IS NULL"),
-                         ["file"], D.FULL).select("message").distinct()
+    return parsed(t).select("message").distinct()
 
 
 def _dataset_sql(c: str) -> str:
@@ -210,8 +209,7 @@ _NAMED = f"(CASE WHEN regexp_matches({_TK}, '^[aeiouAEIOU]') THEN 'an ''' ELSE '
 _CTX = STRIP.format(_rx(_E, 3))
 
 
-@query("readable_messages", MSG_SQL.rstrip() + f""", n AS (SELECT message, {STRIP.format('message')} AS m FROM msgs)
-SELECT message, CASE WHEN m = '' THEN ''
+READABLE_SQL = f"""CASE WHEN m = '' THEN ''
  WHEN {_rx(_E)} AND {_rx(_E, 2)} <> '' AND {_CTX} <> '' THEN 'The compiler expected ' || {_NAMED} || ' ' || {_rx(_E, 2)} || ' ' || {_CTX} || '.'
  WHEN {_rx(_E)} AND {_CTX} <> '' THEN 'The compiler expected ' || {_NAMED} || ' (' || {_CTX} || ').'
  WHEN {_rx(_E)} THEN 'The compiler expected ' || {_NAMED} || '.'
@@ -222,7 +220,10 @@ SELECT message, CASE WHEN m = '' THEN ''
  WHEN {_rx("^(redeclaration|redefinition) of '(.+?)'")} THEN '''' || {_rx("^(redeclaration|redefinition) of '(.+?)'", 2)} || ''' has already been ' || CASE lower({_rx("^(redeclaration|redefinition) of '(.+?)'", 1)}) WHEN 'redeclaration' THEN 'declared again' ELSE 'defined again' END || ' in this scope.'
  WHEN {_rx("^'(.+?)' has not been declared")} THEN '''' || {_rx("^'(.+?)' has not been declared", 1)} || ''' is referenced but has not been declared.'
  WHEN {_rx("return.*type|cannot.*return")} THEN 'The return value does not match the function''s declared return type.'
- ELSE upper(m[1]) || m[2:] || CASE WHEN m LIKE '%.' THEN '' ELSE '.' END END AS sentence FROM n""")
+ ELSE upper(m[1]) || m[2:] || CASE WHEN m LIKE '%.' THEN '' ELSE '.' END END"""
+
+
+@query("readable_messages", MSG_SQL.rstrip() + f""", n AS (SELECT message, {STRIP.format('message')} AS m FROM msgs) SELECT message, {READABLE_SQL} AS sentence FROM n""")
 def readable_messages(t: Tables) -> DataFrame:
     """Friendly sentence of each message."""
     return messages(t).withColumn("sentence", T.readable(F.col("message")))
@@ -363,7 +364,7 @@ def failure_reasons(t: Tables) -> DataFrame:
     return messages(t).withColumn("reason", L.failure_reason(F.col("message")))
 
 
-@query("explained_messages", MSG_SQL.rstrip() + f""", l AS (SELECT message, {VERIFIED_SQL} AS category, {_dataset_sql('message')} AS what FROM msgs),
+@query("explained_messages", MSG_SQL.rstrip() + f""", l AS (SELECT message, {VERIFIED_SQL} AS category, {READABLE_SQL} AS what FROM (SELECT message, {STRIP.format('message')} AS m FROM msgs)),
 e(category, why, how, suggestion) AS (VALUES {", ".join("(" + ", ".join(q(x) for x in r) + ")" for r in X.EXPLANATIONS)})
 SELECT message, l.category, suggestion, 'What happened:' || chr(10) || ' ' || what || chr(10) || chr(10) || 'Why it happened:' || chr(10) || ' ' || why
   || chr(10) || chr(10) || 'How to fix it:' || chr(10) || ' ' || how AS explanation
@@ -371,7 +372,7 @@ FROM l LEFT JOIN e ON e.category = l.category""")
 def explained_messages(t: Tables) -> DataFrame:
     """Messages with their What / Why / How text."""
     m = messages(t).withColumn("category", L.verified_label(F.col("message")))
-    return X.explain(m, "category", T.dataset_form(F.col("message")))
+    return X.explain(m, "category", T.readable(F.col("message")))
 
 
 @query("glossary_lookup", MSG_SQL + f"""SELECT message, {case_sql([(any_sql(M, [s.lower().strip(chr(39) + chr(34))]), s) for s, _ in X.GLOSSARY], None)} AS template,

@@ -13,7 +13,7 @@ from tracesieve.session import share
 _TOK = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')"
 _NG = " UNION ALL ".join(f"SELECT conv_id, turn, unnest(list_transform(range(1, len(tk) - {n - 2}), lambda i: array_to_string(tk[i:i + {n - 1}], ' '))) AS term FROM tk WHERE len(tk) >= {n}" for n in (1, 2, 3))
 TF_SQL = f"""WITH tk AS (SELECT conv_id, turn, {_TOK} AS tk FROM conversations), g AS ({_NG}), tf AS (SELECT conv_id, turn, term, count(*) AS tf FROM g GROUP BY 1, 2, 3),
-vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df, ln((1.0::DOUBLE + (SELECT count(*) FROM conversations)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM tf GROUP BY 1 ORDER BY cf DESC, term LIMIT 10000)
+vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df, ln((1.0::DOUBLE + (SELECT count(*) FROM conversations)) / (1.0::DOUBLE + count(*))) + 1.0::DOUBLE AS idf FROM tf GROUP BY 1)
 """
 
 
@@ -42,7 +42,7 @@ def text_classifier(t: Tables) -> DataFrame:
     """Category model trained on half of the distinct messages by hash and applied to all of them."""
     m = messages(t).select("message", L.phrase_label(F.col("message")).alias("category"))
     m = share(m.withColumn("part", F.substring(F.md5("message"), 1, 1)))
-    model = M.train(m.where("part < '8'"), "message", "category", c=3.0, max_iter=50)
+    model = M.train(m.where("part < '8'"), "message", "category", c=3.0, max_terms=10_000, max_iter=50)
     p = M.rules_then_model(M.predict(model, m, "message"), "message", L.override(F.col("message")))
     return p.select("message", "category", "predicted", F.round("confidence", 4).alias("confidence"), "combined")
 
@@ -51,5 +51,5 @@ def text_classifier(t: Tables) -> DataFrame:
 def document_classifier(t: Tables) -> DataFrame:
     """Quality model over whole labelled documents and its predictions."""
     d = share(t.documents.join(t.labels, "doc_id").select("doc_id", "text", F.when(F.col("quality") == 1, "good").otherwise("bad").alias("truth")))
-    model = M.train(d, "text", "truth", c=1.0, max_iter=30)
+    model = M.train(d, "text", "truth", c=1.0, max_terms=10_000, max_iter=30)
     return M.predict(model, d, "text").select("doc_id", "truth", "predicted", F.round("confidence", 4).alias("confidence"))
