@@ -80,7 +80,7 @@ def test_headers(spark, lines_of):
     s = lines_of(top='#include "a.h"\n#include "big.h"', a='#include "b.h"\nsystem("x");', b='popen("y");\n#include "a.h"', big='system("z");')
     inc = s.where(F.col("raw").startswith("#include")).select("file", "line_no", F.regexp_extract("raw", '"(\\w+)', 1).alias("header"))
     sizes = spark.createDataFrame([("a", 10), ("b", 10), ("big", 300 * 1024)], "file string, bytes bigint")
-    got = found(EX.header_findings(inc, EX.execution_findings(s), sizes).where("file = 'top'"), "line_no", "header", "category")
+    got = found(EX.header_findings(inc, EX.execution_findings(s), sizes, max_bytes=256 * 1024).where("file = 'top'"), "line_no", "header", "category")
     assert got == [(1, "a", "process_execution"), (1, "b", "process_execution")]
 
 

@@ -79,30 +79,37 @@ def alias_calls(lines: DataFrame) -> DataFrame:
         .select("file", "line_no", F.lit("process_execution").alias("category"), F.lit("High").alias("severity"))
 
 
-# fixed values: header scan limits
-HEADER_DEPTH, HEADER_COUNT, HEADER_BYTES = 3, 20, 256 * 1024
+def include_closure(edges: DataFrame) -> DataFrame:
+    """(file, header, hops): every file reached over include edges (file, header), with the least number of edges.
 
-
-def header_findings(includes: DataFrame, findings: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Findings of local headers, reported at the including line of the top file.
-
-    includes: (file, line_no, header); findings: (file, ...) of every file; sizes: (file, bytes).
-    Three equi-joins follow the include edges; each header counts once per top file, at its first
-    place, and a top file follows at most ``HEADER_COUNT`` headers in that order.
+    Paths double in each round, so rounds grow with the logarithm of the longest chain; cycles close by themselves, as a pair is kept once.
+    """
+    now, size = cut_lineage(edges.select("file", "header").distinct().withColumn("hops", F.lit(1))), None
+    while True:
+        on = now.select(F.col("file").alias("header"), F.col("header").alias("next"), F.col("hops").alias("more"))
+        longer = now.join(on, "header").select("file", F.col("next").alias("header"), (F.col("hops") + F.col("more")).alias("hops"))
+        now = cut_lineage(now.unionByName(longer).groupBy("file", "header").agg(F.min("hops").alias("hops")))
+        seen = now.agg(F.count("*"), F.sum("hops")).first()
+        if seen == size:
+            return now
+        size = seen
+
+
+def header_findings(includes: DataFrame, findings: DataFrame, sizes: DataFrame, max_bytes: int | None = None,
+                    max_depth: int | None = None) -> DataFrame:
+    """Findings of local headers, reported at the first line of the top file that leads to them.
+
+    includes: (file, line_no, header); findings: (file, ...) of every file; sizes: (file, bytes) of the files that exist. All headers
+    are followed to any depth unless limits are asked for; each counts once per top file.
     """
-    from tracesieve.functions.ordered import first_per_key, top_n_per_key
-    small = sizes.where(F.col("bytes") <= HEADER_BYTES).select(F.col("file").alias("header"))
-    edges = includes.join(small, "header").select("file", "line_no", "header")
-    level = edges.select(F.col("file").alias("top"), F.col("line_no").alias("at"), "header", F.lit(1).alias("depth"), F.array("line_no").alias("path"))
-    reached = level
-    for depth in range(2, HEADER_DEPTH + 1):
-        level = level.join(edges.select(F.col("file").alias("header"), F.col("line_no").alias("l"), F.col("header").alias("next")), "header") \
-            .select("top", "at", F.col("next").alias("header"), F.lit(depth).alias("depth"), F.array_append("path", F.col("l")).alias("path"))
-        reached = reached.unionByName(level)
-    once = first_per_key(reached.where("top <> header"), ["top", "header"], [F.col("path")])
-    kept = top_n_per_key(once, ["top"], [F.col("path")], HEADER_COUNT)
-    f = findings.withColumnRenamed("file", "header").drop("line_no")
-    return kept.join(f, "header").select(F.col("top").alias("file"), F.col("at").alias("line_no"), "header", "category", "severity")
+    there = (sizes if max_bytes is None else sizes.where(F.col("bytes") <= max_bytes)).select(F.col("file").alias("header"))
+    first = includes.join(there, "header").groupBy("file", "header").agg(F.min("line_no").alias("line_no"))
+    beyond = include_closure(first.select("file", "header")).withColumnRenamed("file", "via").withColumnRenamed("header", "reached")
+    if max_depth is not None:
+        beyond = beyond.where(F.col("hops") < max_depth)
+    far = first.join(beyond, first["header"] == beyond["via"]).select("file", F.col("reached").alias("header"), "line_no")
+    reached = first.select("file", "header", "line_no").unionByName(far).where("file <> header").groupBy("file", "header").agg(F.min("line_no").alias("line_no"))
+    return reached.join(findings.withColumnRenamed("file", "header").drop("line_no"), "header").select("file", "line_no", "header", "category", "severity")
 
 
 # ---------------------------------------------------------------------------------------------
@@ -195,17 +202,17 @@ def endless_loops(lines: DataFrame) -> DataFrame:
 
 
 DEFINE = r"^\s*#\s*define\s+([A-Za-z_]\w*)(?:\(([^)]*)\))?\s*(.*)$"
-MACRO_DEPTH = 20
 GROWTH_LIMIT, DEEP, WIDE = 1_000_000.0, 8, 4
 
 
-def macro_bombs(lines: DataFrame) -> DataFrame:
+def macro_bombs(lines: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Files whose macro definitions expand explosively: (file, growth, depth, fanout, bomb).
 
     Expansion is followed on weighted reference edges, one join per level: each step carries one
     row per (start macro, macro reached) with the number of expansion paths, never the paths
     themselves. Growth is kept as a logarithm, because a product over paths is a weighted sum.
-    Lineage is cut every few levels; the loop ends when no edge is left or at depth 20.
+    Lineage is cut at every level; the loop ends when no edge is left. Expansion that has not ended after
+    as many steps as the file has macros runs in a cycle and is followed no further. ``max_depth`` ends it earlier.
     """
     m = lines.where(F.col("raw").rlike(DEFINE)).select(
         "file", "line_no", F.regexp_extract("raw", DEFINE, 1).alias("name"), F.regexp_extract("raw", DEFINE, 2).alias("params"),
@@ -222,9 +229,11 @@ def macro_bombs(lines: DataFrame) -> DataFrame:
     fan = edges.groupBy("file", "name").agg(F.sum("w").alias("fan")).groupBy("file").agg(F.max("fan").alias("fanout"))
     total = macros.select("file", F.col("name").alias("start"), F.log("mult").alias("lg"), F.lit(1).alias("depth"))
     front = macros.select("file", F.col("name").alias("start"), F.col("name").alias("at"), F.lit(1.0).alias("paths"))
+    longest = cut_lineage(macros.groupBy("file").agg(F.count("*").alias("macros")))
     step = 1
-    while step < MACRO_DEPTH:
+    while max_depth is None or step < max_depth:
         step += 1
+        front = front.join(longest.where(F.col("macros") >= step), "file", "left_semi")
         front = (front.join(edges.select("file", F.col("name").alias("at"), "ref", "w", "lm"), ["file", "at"])
                  .where("ref <> start").groupBy("file", "start", F.col("ref").alias("at"), "lm").agg(F.sum(F.col("paths") * F.col("w")).alias("paths")))
         front = cut_lineage(front)

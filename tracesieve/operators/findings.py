@@ -144,6 +144,13 @@ def decide(merged: DataFrame, purpose: str) -> DataFrame:
     return merged.withColumn("action", F.when(blocks, "block").when(warns, "warn").otherwise("allow"))
 
 
+def worth_logging(decided: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, findings, blocked) of the inputs that are logged: those with an attack or a block among their findings."""
+    g = decided.groupBy(*keys).agg(F.count("*").alias("findings"), F.bool_or(F.col("action") == "block").alias("blocked"),
+                                   F.bool_or(F.col("origin") == "attack").alias("__attack"))
+    return g.where("__attack OR blocked").drop("__attack")
+
+
 def verdicts(inputs: DataFrame, decided: DataFrame, keys: list[str]) -> DataFrame:
     """One row per input and purpose: score, label, action. Inputs without findings are Clean."""
     agg = decided.groupBy(*keys).agg(

@@ -230,7 +230,21 @@ _EXEC = [
 ]
 
 
-@query("execution_risks", CODE + " UNION ALL ".join(f"SELECT file, line_no, '{c}' AS category, {s} AS severity FROM src WHERE {w}" for c, s, w in _EXEC))
+_EXEC_SQL = " UNION ALL ".join(f"SELECT file, line_no, '{c}' AS category, {s} AS severity FROM src WHERE {w}" for c, s, w in _EXEC)
+
+
+@query("policy_toggles", CODE + f"""SELECT permitted, category, CASE WHEN permitted AND {in_sql('category', list(V.TOGGLES.values()))} THEN 'Low' ELSE severity END AS severity,
+  CASE WHEN permitted AND {in_sql('category', list(V.TOGGLES.values()))} THEN 'warn' ELSE 'block' END AS action, count(*) AS n
+FROM ({_EXEC_SQL}), (VALUES (true), (false)) p(permitted) GROUP BY ALL""")
+def policy_toggles(t: Tables) -> DataFrame:
+    """Execution findings under a site policy that permits system calls, assembly and system headers, and under one that doesn't."""
+    f = EX.execution_findings(src(t)).withColumn("action", F.lit("block"))
+    both = (V.apply_toggles(f, **dict.fromkeys(V.TOGGLES, True)).withColumn("permitted", F.lit(True))
+            .unionByName(V.apply_toggles(f).withColumn("permitted", F.lit(False))))
+    return both.groupBy("permitted", "category", "severity", "action").agg(F.count("*").alias("n"))
+
+
+@query("execution_risks", CODE + _EXEC_SQL)
 def execution_risks(t: Tables) -> DataFrame:
     """Process, network, file, environment and include risks per line."""
     return EX.execution_findings(src(t))
@@ -279,14 +293,21 @@ def macro_bombs(t: Tables) -> DataFrame:
     return EX.macro_bombs(src(t))
 
 
-@query("header_findings")
+_HEADERS_SQL = CODE.rstrip() + f""", inc AS (SELECT file, line_no, file + 10 AS header FROM src WHERE starts_with(raw, '#include <')),
+exf AS ({_EXEC_SQL}), ed AS (SELECT DISTINCT file, header FROM inc WHERE header IN (SELECT file FROM src)),
+rch AS (SELECT first_file, min(first_line) AS first_line, header FROM (WITH RECURSIVE r AS (
+    SELECT file AS first_file, min(line_no) AS first_line, header FROM inc WHERE header IN (SELECT file FROM src) GROUP BY file, header
+    UNION SELECT r.first_file, r.first_line, ed.header FROM r JOIN ed ON ed.file = r.header) SELECT * FROM r) AS x WHERE first_file <> header GROUP BY first_file, header)
+SELECT first_file AS file, first_line AS line_no, rch.header, category, severity FROM rch JOIN exf ON exf.file = rch.header"""
+
+
+@query("header_findings", _HEADERS_SQL)
 def header_findings(t: Tables) -> DataFrame:
-    """Execution risks of included files, reported at the including line."""
+    """Execution risks of all files that a file includes, directly or through others, reported at its including line."""
     s = src(t)
-    # every file includes the next supplier's file of the same line number at its first two include lines
+    # every file includes the file ten suppliers on at each of its include lines
     inc = s.where(F.col("raw").startswith("#include <")).select("file", "line_no", (F.col("file") + 10).alias("header"))
-    sizes = s.groupBy("file").agg(F.sum(F.length("raw")).alias("bytes"))
-    return EX.header_findings(inc, EX.execution_findings(s), sizes)
+    return EX.header_findings(inc, EX.execution_findings(s), s.groupBy("file").agg(F.sum(F.length("raw")).alias("bytes")))
 
 
 @query("quality_hints")

@@ -10,7 +10,7 @@ from tracesieve.operators import evaluation as E
 from tracesieve.operators import labels as L
 from tracesieve.plans.dataset import DOC_LINES_SQL
 from tracesieve.plans.registry import Tables, query
-from tracesieve.plans.sqltext import RISK, any_sql, q
+from tracesieve.plans.sqltext import RISK, any_sql, in_sql, q
 
 AGENTS = ["execution", "resource", "output", "request", "secret", "integrity", "prompt", "patch", "weakness"]
 
@@ -207,9 +207,9 @@ def repair_totals(t: Tables) -> DataFrame:
 
 # ---- classifier evaluation -------------------------------------------------------------------
 # Truth: a nine-class label from the label table; predictions: two rule sets over document text.
-_TRUTH = "CASE WHEN toxic = 1 THEN 'type_error' WHEN quality = 0 THEN 'syntax_error' WHEN n_chars % 3 = 0 THEN 'name_resolution' WHEN n_chars % 3 = 1 THEN 'linker_error' ELSE 'other' END"
-_PRED_A = "CASE WHEN text LIKE '%&&&%' THEN 'syntax_error' WHEN n_chars % 3 = 0 AND length(text) > 400 THEN 'name_resolution' WHEN n_chars % 3 = 1 THEN 'linker_error' WHEN text LIKE '%the the%' THEN 'unused_variable' ELSE 'other' END"
-_PRED_B = "CASE WHEN text LIKE '%###%' THEN 'syntax_error' WHEN n_chars % 3 = 0 THEN 'name_resolution' WHEN n_chars % 3 = 1 AND n_chars % 2 = 0 THEN 'linker_error' WHEN length(text) < 300 THEN 'type_error' ELSE 'other' END"
+_TRUTH = "CASE WHEN n_chars % 11 = 0 THEN 'access_error' WHEN n_chars % 13 = 0 THEN 'return_type_error' WHEN toxic = 1 THEN 'type_error' WHEN quality = 0 THEN 'syntax_error' WHEN n_chars % 3 = 0 THEN 'name_resolution' WHEN n_chars % 3 = 1 THEN 'linker_error' ELSE 'other' END"
+_PRED_A = "CASE WHEN n_chars % 22 = 0 THEN 'access_error' WHEN n_chars % 39 = 0 THEN 'return_type_error' WHEN text LIKE '%&&&%' THEN 'syntax_error' WHEN n_chars % 3 = 0 AND length(text) > 400 THEN 'name_resolution' WHEN n_chars % 3 = 1 THEN 'linker_error' WHEN text LIKE '%the the%' THEN 'unused_variable' ELSE 'other' END"
+_PRED_B = "CASE WHEN n_chars % 11 = 0 AND length(text) > 600 THEN 'access_error' WHEN n_chars % 26 = 0 THEN 'return_type_error' WHEN text LIKE '%###%' THEN 'syntax_error' WHEN n_chars % 3 = 0 THEN 'name_resolution' WHEN n_chars % 3 = 1 AND n_chars % 2 = 0 THEN 'linker_error' WHEN length(text) < 300 THEN 'type_error' ELSE 'other' END"
 EVAL_SQL = f"WITH ev AS (SELECT d.doc_id, lang, {_TRUTH} AS truth, {_PRED_A} AS pred_a, {_PRED_B} AS pred_b FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
 
 
@@ -258,7 +258,8 @@ _MF = lambda c: f"(SELECT avg({_F}) FROM {c})"
 
 @query("model_ab_gate", EVAL_SQL + f""", a AS ({_cls_sql('pred_a')}), b AS ({_cls_sql('pred_b')}), g AS (SELECT
  (SELECT count(*) FROM b WHERE label IN ({", ".join(q(c) for c in L.CATEGORIES)}) AND ({_F}) > 0) = 9 AS all_labels, {_SC('pred_b')} >= {_SC('pred_a')} AND {_MF('b')} >= {_MF('a')} AS scores_hold,
- (SELECT count(*) FILTER (truth = pred_b) FROM ev WHERE lang = 'en') >= (SELECT count(*) FILTER (truth = pred_a) FROM ev WHERE lang = 'en') AS bench_holds, true AS watched_hold)
+ (SELECT count(*) FILTER (truth = pred_b) FROM ev WHERE lang = 'en') >= (SELECT count(*) FILTER (truth = pred_a) FROM ev WHERE lang = 'en') AS bench_holds,
+ (SELECT coalesce(bool_and(coalesce(n, 0) >= coalesce(o, 0)), true) FROM (SELECT label, {_F} AS n FROM b) FULL JOIN (SELECT label, {_F} AS o FROM a) USING (label) WHERE {in_sql('label', WATCHED)}) AS watched_hold)
 SELECT *, all_labels AND scores_hold AND bench_holds AND watched_hold AS promote FROM g""")
 def model_ab_gate(t: Tables) -> DataFrame:
     """Promotion decision of rule set B against rule set A."""

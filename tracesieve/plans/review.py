@@ -223,20 +223,16 @@ def agent_activity(t: Tables) -> DataFrame:
     return V.agent_activity(decided(t), [f.name for f in R.REGISTRY])
 
 
-@query("log_admission", FINDINGS_SQL.rstrip() + """ SELECT conv_id, turn, purpose, count(*) AS findings, bool_or(blocks) AS blocked FROM dec GROUP BY 1, 2, 3""")
+# findings of the output guard are weaknesses of a page, not attacks
+_WEAK = ("display_injection", "terminal_escape", "spoofed_status", "hidden_unicode")
+
+
+@query("log_admission", FINDINGS_SQL.rstrip() + f""" SELECT conv_id, turn, purpose, count(*) AS findings, bool_or(blocks) AS blocked FROM dec GROUP BY 1, 2, 3
+HAVING bool_or(NOT {in_sql('category', _WEAK)}) OR bool_or(blocks)""")
 def log_admission(t: Tables) -> DataFrame:
-    """Verdicts worth logging: with findings, and an attack or a block among them."""
-    d = decided(t).groupBy("conv_id", "turn", "purpose").agg(
-        F.count("*").alias("findings"), F.bool_or(F.col("action") == "block").alias("blocked"),
-        F.bool_or(F.col("origin") == "attack").alias("attack"))
-    return d.where("findings > 0 AND (attack OR blocked)").drop("attack")
-
-
-@query("policy_toggles", DOC_FINDINGS_SQL + "SELECT category, CASE WHEN category = 'hardcoded_secret' THEN severity ELSE severity END AS severity, 'warn' AS action, count(*) AS n FROM doc_findings GROUP BY 1, 2")
-def policy_toggles(t: Tables) -> DataFrame:
-    """Findings after site policy; permitted categories drop to Low warnings."""
-    f = doc_findings(t).withColumn("action", F.lit("warn"))
-    return V.apply_toggles(f, allow_system_calls=True, allow_assembly=True).groupBy("category", "severity", "action").agg(F.count("*").alias("n"))
+    """Verdicts worth logging: an attack or a block among their findings."""
+    d = decided(t).withColumn("origin", F.when(F.col("category").isin(*_WEAK), "vulnerability").otherwise("attack"))
+    return V.worth_logging(d, ["conv_id", "turn", "purpose"])
 
 
 _FAM_ROUTE = {
