@@ -15,7 +15,9 @@ from tracesieve.plans.registry import Tables, query
 from tracesieve.plans.sqltext import in_sql, q
 from tracesieve.session import share
 
-CODE = CODE_SQL.join(["WITH ", ""]) + r""", src AS (SELECT file, line_no, k, raw, regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '"[^"]*"', '', 'g'), '''[^'']*''', '', 'g'), '/\*.*?\*/', '', 'g'), '//.*$', '') AS code FROM code)
+#: A single line without literals and comments.
+STRIPPED = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '"[^"]*"', '', 'g'), '''[^'']*''', '', 'g'), '/\*.*?\*/', '', 'g'), '//.*$', '')"""
+CODE = CODE_SQL.join(["WITH ", ""]) + f""", src AS MATERIALIZED (SELECT file, line_no, k, raw, {STRIPPED} AS code FROM code)
 """
 DEPTH = CODE.rstrip() + r""",
 br AS (SELECT file, line_no, i AS idx, CASE WHEN b[i] = '{' THEN 1 ELSE -1 END AS delta FROM (SELECT file, line_no, b, unnest(range(1, length(b) + 1)) AS i FROM (SELECT file, line_no, regexp_replace(code, '[^{}]', '', 'g') AS b FROM src))),
@@ -86,7 +88,8 @@ def line_weaknesses(t: Tables) -> DataFrame:
     return W.line_findings(src(t))
 
 
-@query("assert_weaknesses", CODE + r"SELECT file, line_no, 'Disabled Safety Check' AS finding_type, 'Low' AS severity FROM src WHERE regexp_matches(code, '\bassert\s*\(') AND file NOT IN (SELECT file FROM src WHERE contains(raw, 'NDEBUG'))")
+@query("assert_weaknesses", CODE + r"""SELECT file, line_no, 'Disabled Safety Check' AS finding_type, 'Low' AS severity FROM src
+WHERE regexp_matches(code, '\bassert\s*\(') AND file IN (SELECT file FROM src GROUP BY file HAVING NOT bool_or(contains(raw, 'NDEBUG')))""")
 def assert_weaknesses(t: Tables) -> DataFrame:
     """assert() as a safety boundary."""
     return W.assert_findings(src(t))
@@ -215,7 +218,7 @@ _LITS = r"""regexp_extract_all(raw, '"((?:\\.|[^"\\])*)"', 1)"""
 _OUT = f"len(list_filter({_LITS}, lambda x: {_ABS})) > 0"
 _SECRET = f"len(list_filter({_LITS}, lambda x: regexp_matches(lower(x), '\\.env|id_rsa|passwd|shadow|\\.ssh|\\.aws|credentials'))) > 0"
 _NC = "NOT starts_with(trim(raw), '//')"
-_EXEC = [
+EXEC_RULES = [
     ("obfuscation", "'High'", f"{_NC} AND {in_sql(f'regexp_extract(raw, {q(EX.ALIAS)}, 2)', EX.DANGEROUS_NAMES)}"),
     ("process_execution", "'High'", f"regexp_matches(code, {q(EX.PROCESS)})"),
     ("inline_assembly", "'High'", f"regexp_matches(code, {q(EX.ASM)})"),
@@ -230,7 +233,7 @@ _EXEC = [
 ]
 
 
-_EXEC_SQL = " UNION ALL ".join(f"SELECT file, line_no, '{c}' AS category, {s} AS severity FROM src WHERE {w}" for c, s, w in _EXEC)
+_EXEC_SQL = " UNION ALL ".join(f"SELECT file, line_no, '{c}' AS category, {s} AS severity FROM src WHERE {w}" for c, s, w in EXEC_RULES)
 
 
 @query("policy_toggles", CODE + f"""SELECT permitted, category, CASE WHEN permitted AND {in_sql('category', list(V.TOGGLES.values()))} THEN 'Low' ELSE severity END AS severity,

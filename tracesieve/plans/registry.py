@@ -7,7 +7,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracesieve.session import spread
+from tracesieve.session import dealt
 
 QUERIES: dict[str, Callable[["Tables"], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +28,7 @@ class Tables:
         if name not in self.NAMES:
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name in self.HEAVY else df
+        return dealt(df) if name in self.HEAVY else df
 
     @cached_property
     def timed_events(self) -> DataFrame:

@@ -25,7 +25,7 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
          .config("spark.sql.execution.arrow.pyspark.enabled", "true")
          .config("spark.ui.showConsoleProgress", "false"))
     if master:
-        b = (b.master(master).config("spark.ui.enabled", "false")
+        b = (b.master(master).config(INPUT_TASKS, str(shuffle_partitions or 8)).config("spark.ui.enabled", "false")
              .config("spark.driver.memory", os.environ.get("TRACESIEVE_DRIVER_MEMORY", "8g")))
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -35,14 +35,19 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return spark
 
 
+_GENERATE_FILTERS = "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate"
+
+
 def tune(spark: SparkSession) -> None:
     """Runtime settings of the operators, for sessions built elsewhere too.
 
     The excluded rule adds a filter "array not empty" below every explode and thereby evaluates the
-    exploded expression (tokenising, splitting, scanning) a second time, inlined.
+    exploded expression (tokenising, splitting, scanning) a second time, inlined. Rules that a user excluded stay excluded.
     """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.optimizer.excludedRules", "org.apache.spark.sql.catalyst.optimizer.InferFiltersFromGenerate")
+    rules = [r for r in spark.conf.get("spark.sql.optimizer.excludedRules", "").split(",") if r]
+    if _GENERATE_FILTERS not in rules:
+        spark.conf.set("spark.sql.optimizer.excludedRules", ",".join([*rules, _GENERATE_FILTERS]))
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -76,14 +81,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Gives text-heavy work one task per core when the input has fewer splits than cores.
+#: Session setting: inputs of text-heavy queries with fewer splits than this are dealt out to so many tasks. Unset on clusters.
+INPUT_TASKS = "spark.tracesieve.inputTasks"
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """The input as it is, unless the session asks for a least number of tasks.
 
-    A small file with one row group is a single split. With more splits than cores, as on any large
-    table, the input is returned unchanged and nothing is shuffled.
+    A file with one row group is one split, whatever the machine. Only who runs such files (tests, the bench) sets
+    `INPUT_TASKS`; without it no plan depends on sizes or cores.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    tasks = df.sparkSession.conf.get(INPUT_TASKS, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 _SHARED: list[DataFrame] = []
