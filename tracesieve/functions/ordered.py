@@ -123,7 +123,7 @@ def trailing(df: DataFrame, keys: Sequence[str], at: str, width: int,
     Rows are placed in fixed buckets of the order column; a row within ``width`` of the next
     bucket is also sent there as context, so each (key, bucket) is computed on its own.
     """
-    bucket = bucket or width * 60
+    bucket = bucket or width * 4  # a busy key is split as finely as a quarter of context rows allows
     own = F.floor(F.col(at) / F.lit(bucket)).cast("bigint")
     nearly = F.col(at) > (own + 1) * F.lit(bucket) - F.lit(width)
     spread = df.withColumn("__own", own).withColumn(

@@ -58,7 +58,7 @@ LOAD_WATTS = 12.0
 GRAMS_PER_KWH = 475.0
 
 
-def energy(samples: DataFrame, at: str, ident: str, load_pct: Column, chunk: int = 86_400_000_000) -> DataFrame:
+def energy(samples: DataFrame, at: str, ident: str, load_pct: Column, chunk: int = 3_600_000_000) -> DataFrame:
     """Power, step energy and running session energy per sample, in time order.
 
     ``at`` in microseconds. The gap to the sample before is clamped to [0.1, 5] seconds; the first
@@ -74,7 +74,7 @@ def energy(samples: DataFrame, at: str, ident: str, load_pct: Column, chunk: int
     return out.withColumns({"energy_mwh": F.col("__wh") * 1000.0, "co2_mg": F.col("__wh") * GRAMS_PER_KWH}).drop("__wh")
 
 
-def running_action(samples: DataFrame, actions: DataFrame, at: str, ident: str, chunk: int = 86_400_000_000) -> DataFrame:
+def running_action(samples: DataFrame, actions: DataFrame, at: str, ident: str, chunk: int = 3_600_000_000) -> DataFrame:
     """Adds the action running at each sample, else 'idle'.
 
     actions: (label, start, end). The latest start not after the sample decides, so the interval

@@ -38,7 +38,7 @@ def limit_rate(df: DataFrame, keys: Sequence[str], at: str, ident: str, n: int,
     that orders ties.
     """
     keys = list(keys)
-    bucket = max(bucket or width * 60, width * 4)
+    bucket = max(bucket or width * 8, width * 4)  # short buckets: a busy key is split, at the price of the halo's rows
     halo = 3 * width
     own = F.floor(F.col("at") / F.lit(bucket)).cast("bigint")
     base = df.select(*keys, F.col(at).alias("at"), F.col(ident).alias("ident")).withColumn("__own", own)

@@ -34,7 +34,12 @@ def src(t: Tables) -> DataFrame:
     return share(ST.strip_lines(code_lines(t.lineitem)))
 
 
-@query("stripped_code")
+# raw strings aside, which no document holds: comments shrink to their line breaks, literals vanish
+_TOKEN_SQL = r"""(?s)//[^\n]*|/\*.*?(?:\*/|\z)|"(?:[^"\\\n]|\\[^\n])*["\\]?|'(?:[^'\\\n]|\\[^\n])*['\\]?|[^/"']+|/"""
+
+
+@query("stripped_code", f"""SELECT doc_id, md5(c) AS code_md5, length(c) AS chars, len(string_split(c, chr(10))) AS lines FROM (SELECT doc_id, array_to_string(list_transform(regexp_extract_all(text, {q(_TOKEN_SQL)}),
+  lambda x: CASE WHEN starts_with(x, '//') OR x[1] IN ('"', '''') THEN '' WHEN starts_with(x, '/*') THEN regexp_replace(x, '[^\n]', '', 'g') ELSE x END), '') AS c FROM documents)""")
 def stripped_code(t: Tables) -> DataFrame:
     """Whole document texts without comments and literals; line count is preserved."""
     c = strip_code(F.col("text"))
