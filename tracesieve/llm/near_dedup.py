@@ -193,7 +193,7 @@ def residual_links(buckets: DataFrame, link: int = LINK) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words: int = WORDS, link: int = LINK) -> DataFrame:
-    """(key, fingerprint, component_id, links): groups of documents linked by fingerprints ``link`` or fewer bits apart.
+    """(key, fingerprint, component_id, copies): groups of documents linked by fingerprints ``link`` or fewer bits apart.
 
     component_id is the smallest key reachable (itself included), fingerprint 16 hex digits, copies the number of documents with the same
     fingerprint. Texts without a word have fingerprint zero and are linked like any other. Null keys are kept and name no group unless
