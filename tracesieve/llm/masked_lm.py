@@ -8,7 +8,8 @@ and a document's score is the sum of the logarithms. Tokens are lower-cased word
 a hash of their ending. Word counts run over all documents. The network is trained in numpy, where the documents are: each task starts from
 the same weights, takes steps on positions of all of its documents, and the tasks' weights are averaged by their numbers of positions
 (block by block over a shuffle); ``ROUNDS`` such rounds follow each other, each on other positions. What is counted and
-trained on grows with the corpus; what comes to the driver (a vocabulary, one set of weights) doesn't.
+trained on grows with the corpus; what comes to the driver (a vocabulary, one set of weights) doesn't. Texts are split into tokens once; the ids, two
+bytes a word, are stored in the shared checkpoint folder for the rounds and the scores.
 """
 from __future__ import annotations
 
@@ -21,8 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.llm.frames import BATCH_ROWS, arrow_schema, whole_text
+from tracesieve.llm.frames import BATCH_ROWS, arrow_schema, map_rows, whole_text
 from tracesieve.llm.pretokens import Memo
+from tracesieve.session import cut_lineage
 
 CLUSTERS, CLUSTER = 32, 32
 TOKENS = CLUSTERS * CLUSTER
@@ -36,7 +38,7 @@ ROUNDS, STRIDE, BATCH, RATE, SEED = 2, 16, 512, 0.08, 5
 #: Weights travel in so many blocks, so averaging is spread over tasks.
 BLOCKS = 256
 #: Tokens that are scored at once.
-CHUNK = 1 << 16
+CHUNK = 1 << 13
 
 
 class Weights(NamedTuple):
@@ -68,11 +70,12 @@ class Vocabulary:
     """Token ids: a frequent word's rank, else a bucket by the word's last letters. Clusters hold neighbours in rank."""
 
     def __init__(self, words: list[str]) -> None:
-        known = {w: i for i, w in enumerate(words[:WORDS])}
-        self.memo = Memo(lambda w: known.get(w, WORDS + zlib.crc32(w[-2:].encode("utf-8")) % (TOKENS - WORDS)))
+        self.known = {w: i for i, w in enumerate(words[:WORDS])}
+        self.endings = Memo(lambda e: WORDS + zlib.crc32(e.encode("utf-8")) % (TOKENS - WORDS))
 
     def ids(self, text: str) -> list[int]:
-        return list(map(self.memo.__getitem__, text.lower().split()))
+        find, endings = self.known.get, self.endings
+        return [endings[w[-2:]] if (i := find(w)) is None else i for w in text.lower().split()]
 
 
 def frequent_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> list[str]:
@@ -82,16 +85,23 @@ def frequent_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> l
     return [r["word"] for r in top.collect()]
 
 
-def stream_of(documents: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def stream_of(documents: list[np.ndarray | list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """Documents' ids one after the other with SIDE pads between, and the positions of the tokens."""
-    pad, flat = [PAD] * SIDE, [PAD] * SIDE
-    for ids in documents:
-        flat += ids
-        flat += pad
-    ids = np.array(flat, np.int32)
+    pad = np.full(SIDE, PAD, np.int32)
+    ids = np.concatenate([pad, *(x for d in documents for x in (np.asarray(d, np.int32), pad))])
     return ids, np.flatnonzero(ids != PAD)
 
 
+def encode(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(key, ids): every whole text as packed unsigned 16-bit token ids, two bytes a word."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def make():
+        vocabulary = Vocabulary(shared.value)
+        return lambda k, t: (k, np.array(vocabulary.ids(t), "<u2").tobytes())
+    return map_rows(docs.select(F.col(key).cast("long").alias(key), whole_text(text)), make, f"{key} long, ids binary")
+
+
 def _hidden(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     x = w.b + w.E[0][ids[at + OFFSETS[0]]]
     for k, o in enumerate(OFFSETS[1:], 1):
@@ -104,6 +114,13 @@ def _log_softmax(x: np.ndarray) -> np.ndarray:
     return x - np.log(np.exp(x).sum(1, keepdims=True))
 
 
+def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log softmax of one column per row."""
+    top = x.max(1)
+    picked = x[np.arange(len(x)), at] - top
+    return picked - np.log(np.exp(x - top[:, None]).sum(1))
+
+
 def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """log P of the tokens at the positions, each given what is around it."""
     out = np.empty(len(at))
@@ -111,13 +128,13 @@ def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray
         part = at[s:s + CHUNK]
         h, target = _hidden(w, ids, part), ids[part]
         cluster = target // CLUSTER
-        out[s:s + CHUNK] = _log_softmax(h @ w.A + w.a)[np.arange(len(part)), cluster]
+        out[s:s + CHUNK] = _log_softmax_at(h @ w.A + w.a, cluster)
         order = np.argsort(cluster, kind="stable")
         edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
         for k in range(CLUSTERS):
             rows = order[edges[k]:edges[k + 1]]
             if len(rows):
-                out[s + rows] += _log_softmax(h[rows] @ w.B[k] + w.c[k])[np.arange(len(rows)), target[rows] - k * CLUSTER]
+                out[s + rows] += _log_softmax_at(h[rows] @ w.B[k] + w.c[k], target[rows] - k * CLUSTER)
     return out
 
 
@@ -152,25 +169,30 @@ def train(w: Weights, ids: np.ndarray, at: np.ndarray, memory: Weights) -> None:
             v -= RATE * g / (np.sqrt(m) + 1e-6)
 
 
-def _documents(batch: pa.RecordBatch, column: int, vocabulary: Vocabulary) -> list[list[int]]:
-    return [vocabulary.ids(t) for t in batch.column(column).to_pylist()]
+def _documents(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u2") for x in column.to_pylist()]
 
 
 def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, seed: int = SEED) -> tuple[list[str], Weights]:
     """Vocabulary and weights learned from all documents. Without any token the first weights stay."""
-    spark = docs.sparkSession
+    words = frequent_words(docs, text)
+    return words, learn(cut_lineage(encode(docs.withColumn("__key", F.lit(0)), words, text, "__key")), rounds, seed)
+
+
+def learn(encoded: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> Weights:
+    """Weights after ``rounds`` of training in the tasks and averaging over them. ``encoded`` has a column ids and should be stored."""
+    spark = encoded.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    words, weights = frequent_words(docs, text), first_weights(seed)
-    texts = docs.select(whole_text(text).alias("text"))
+    weights, texts = first_weights(seed), encoded.select("ids")
     shape = "block long, positions double, weights binary"
     for turn in range(rounds):
-        shared = spark.sparkContext.broadcast((words, weights))
+        shared = spark.sparkContext.broadcast(weights.flat())
 
-        def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            vocabulary, w = Vocabulary(shared.value[0]), unflat(shared.value[1].flat())
+        def train_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            w = unflat(shared.value)
             memory, seen = Weights(*(np.full_like(v, 1e-4) for v in w)), 0
             for batch in batches:
-                documents = _documents(batch, 0, vocabulary)
+                documents = _documents(batch.column(0))
                 ids, at = stream_of(documents)
                 nth = np.concatenate([np.arange(len(d)) for d in documents]) if documents else at
                 at = at[nth % STRIDE == turn]
@@ -190,15 +212,15 @@ def fit(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, seed: int = S
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array(list(count.values()), pa.float64()),
                                                   pa.array([v.tobytes() for v in sums.values()], pa.binary())], schema=arrow_schema(shape))
 
-        mine = texts.mapInArrow(learn, shape)
-        # sums within a task's input first, then by block: no task holds more than its blocks' sums
+        mine = texts.mapInArrow(train_task, shape)
+        # a task adds up what it gets as it comes and holds no more than its blocks' sums
         means = mine.repartition("block").mapInArrow(total, shape).collect()
         if not means:
             break
         means.sort(key=lambda r: r["block"])
         weights = unflat(np.concatenate([np.frombuffer(r["weights"], np.float64) / r["positions"] for r in means]))
         shared.unpersist()
-    return words, weights
+    return weights
 
 
 def _blocks(flat: np.ndarray, positions: int, shape: str) -> pa.RecordBatch:
@@ -214,13 +236,17 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fitted: tupl
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    shared = spark.sparkContext.broadcast(fitted or fit(docs, text))
+    words = fitted[0] if fitted else frequent_words(docs, text)
+    encoded = encode(docs, words, text, key)
+    if not fitted:
+        encoded = cut_lineage(encoded)
+    shared = spark.sparkContext.broadcast((fitted[1] if fitted else learn(encoded)).flat())
     shape = f"{key} long, n_tokens long, log_prob double, mean_log_prob double, perplexity double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, w = Vocabulary(shared.value[0]), shared.value[1]
+        w = unflat(shared.value)
         for batch in batches:
-            documents = _documents(batch, 1, vocabulary)
+            documents = _documents(batch.column(1))
             ids, at = stream_of(documents)
             sums = np.r_[0.0, np.cumsum(log_probabilities(w, ids, at))]
             n = np.array([len(d) for d in documents], np.int64)
@@ -231,4 +257,4 @@ def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fitted: tupl
                 batch.column(0), pa.array(n), pa.array(logs, pa.float64()), pa.array(mean, pa.float64()),
                 pa.array([None if m is None else float(np.exp(min(-m, 700.0))) for m in mean], pa.float64())], schema=arrow_schema(shape))
 
-    return docs.select(F.col(key).cast("long").alias(key), whole_text(text)).mapInArrow(run, shape)
+    return encoded.mapInArrow(run, shape)
