@@ -149,7 +149,7 @@ def train(w: Weights, ids: np.ndarray, at: np.ndarray, memory: Weights) -> None:
         top = np.exp(_log_softmax(h @ w.A + w.a))
         top[rows, cluster] -= 1
         dh = top @ w.A.T
-        grads = Weights(np.zeros_like(w.E), None, h.T @ top, top.sum(0), np.zeros_like(w.B), np.zeros_like(w.c))
+        grads = Weights(None, None, h.T @ top, top.sum(0), np.zeros_like(w.B), np.zeros_like(w.c))
         order = np.argsort(cluster, kind="stable")
         edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
         for k in range(CLUSTERS):
@@ -161,12 +161,19 @@ def train(w: Weights, ids: np.ndarray, at: np.ndarray, memory: Weights) -> None:
                 dh[r] += low @ w.B[k].T
         dx = dh * (1 - h * h)
         grads = grads._replace(b=dx.sum(0))
-        for k, o in enumerate(OFFSETS):
-            np.add.at(grads.E[k], ids[part + o], dx)
-        for v, g, m in zip(w, grads, memory):
+        for v, g, m in zip(w[1:], grads[1:], memory[1:]):
             g /= n
             m += g * g
             v -= RATE * g / (np.sqrt(m) + 1e-6)
+        for k, o in enumerate(OFFSETS):  # only the rows of tokens that occur
+            near = ids[part + o]
+            order = np.argsort(near)
+            near = near[order]
+            first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+            rows, g = near[first], np.add.reduceat(dx[order], first) / n
+            m = memory.E[k][rows] + g * g
+            memory.E[k][rows] = m
+            w.E[k][rows] -= RATE * g / (np.sqrt(m) + 1e-6)
 
 
 def _documents(column: pa.Array) -> list[np.ndarray]:
