@@ -80,9 +80,13 @@ def max_entropy(s: Column, alphabet: str, width: int) -> Column:
     def clogc(c: Column) -> Column:
         return F.when(c > 1, c * F.log2(c.cast("double"))).otherwise(F.lit(0.0))
 
-    def step(a: Column, i: Column) -> Column:
-        into = F.instr(F.lit(alphabet), F.substring(s, i, F.lit(1))) - 1
-        out = F.when(i > width, F.instr(F.lit(alphabet), F.substring(s, i - width, F.lit(1))) - 1).otherwise(F.lit(-1))
+    def index(ch: Column) -> Column:
+        return F.instr(F.lit(alphabet), ch) - 1
+
+    def step(a: Column, ch: Column) -> Column:
+        full = F.char_length(a["window"]) >= width
+        into = index(ch)
+        out = F.when(full, index(F.substring(a["window"], 1, 1))).otherwise(F.lit(-1))
         more = F.when(into >= 0, F.get(a["counts"], into)).otherwise(F.lit(0))
         less = F.when(out >= 0, F.get(a["counts"], out)).otherwise(F.lit(0))
         total = F.when(into == out, a["sum"]).otherwise(
@@ -90,11 +94,11 @@ def max_entropy(s: Column, alphabet: str, width: int) -> Column:
             - F.when(out >= 0, clogc(less) - clogc(less - 1)).otherwise(F.lit(0.0)))
         return F.struct(
             F.transform(a["counts"], lambda c, k: c + (k == into).cast("int") - (k == out).cast("int")).alias("counts"), total.alias("sum"),
-            F.when(i >= width, F.greatest(a["best"], F.lit(math.log2(width)) - total / width)).otherwise(a["best"]).alias("best"))
-    start = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.char_length(s)), start, step, lambda a: a["best"])
-
-
+            F.concat(F.when(full, F.substring(a["window"], 2, width)).otherwise(a["window"]), ch).alias("window"),
+            F.when(F.char_length(a["window"]) >= width - 1, F.greatest(a["best"], F.lit(math.log2(width)) - total / width)).otherwise(a["best"]).alias("best"))
+    start = F.struct(F.array_repeat(F.lit(0), n).alias("counts"), F.lit(0.0).alias("sum"), F.lit("").alias("window"), F.lit(0.0).alias("best"))
+    # the window's characters ride along in the state: looking them up in the string would walk it from its start each time
+    return F.aggregate(F.filter(F.split(s, ""), lambda ch: ch != ""), start, step, lambda a: a["best"])
 
 
 def is_random(match: Column) -> Column:
