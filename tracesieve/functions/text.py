@@ -239,8 +239,8 @@ KEY_VALUE = (r"(?i)\b([A-Za-z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD|PASSWD)[A-Za-z0-
 KEY_FORMATS = (r"AIza[0-9A-Za-z_\-]{20,}", r"gsk_[0-9A-Za-z_\-]{20,}", r"sk-[0-9A-Za-z_\-]{20,}", r"ghp_[0-9A-Za-z]{20,}")
 
 
-def redact(c: Column, limit: int | None = None) -> Column:
-    """Evidence text: secrets masked, control characters blanked; whole unless a display cap is asked for."""
+def redact(c: Column, limit: int | None = 80) -> Column:
+    """Evidence text: secrets masked, control characters blanked. ``limit`` is the display cap; findings carry the whole (None)."""
     t = mask_secrets(F.coalesce(c, F.lit("")))
     t = F.regexp_replace(t, KEY_VALUE, "$1$2[REDACTED]$2")
     for p in KEY_FORMATS:

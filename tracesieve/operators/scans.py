@@ -112,7 +112,7 @@ def prompt_findings(df: DataFrame, text: str, kind: str, purpose: str, keep: lis
     return hits.select(
         *keep, F.lit("prompt").alias("agent"), F.lit("attack").alias("origin"), table[F.col("rule")].alias("category"),
         F.when(strong, "High").otherwise("Medium").alias("severity"), "line",
-        T.redact(F.coalesce(line, F.col(text))).alias("evidence"),
+        T.redact(F.coalesce(line, F.col(text)), None).alias("evidence"),
         F.when(strong, "block").otherwise("warn").alias("action"),
         F.when(strong, one_purpose("ai_send")).otherwise(empty_set()).alias("blocks_on"))
 
@@ -146,7 +146,7 @@ def output_findings(df: DataFrame, text: str, kind: str, keep: list[str]) -> Dat
 
     hits = F.array_compact(F.array(
         F.when(scheme | tag, f("display_injection", F.when(scheme, F.lit("High")).otherwise(F.lit("Medium")),
-                               T.redact(F.when(scheme, F.regexp_extract(t, SCHEME, 0)).otherwise(F.regexp_extract(t, TAG, 0))))),
+                               T.redact(F.when(scheme, F.regexp_extract(t, SCHEME, 0)).otherwise(F.regexp_extract(t, TAG, 0)), None))),
         F.when(t.rlike(TERMINAL), f("terminal_escape", F.lit("Medium"), F.lit("terminal escape sequence"))),
         F.when(t.rlike(SPOOFED), f("spoofed_status", F.lit("Medium"), F.regexp_extract(t, SPOOFED, 0))),
         F.when(t.rlike(T.HIDDEN), f("hidden_unicode", F.lit("Medium"),
@@ -177,7 +177,7 @@ def secret_findings(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
     return lines.select(*keep, F.col("line_no").alias("line"), "line", F.explode(hits).alias("h")) \
         .toDF(*keep, "line", "__text", "h") \
         .select(*keep, F.lit("secret").alias("agent"), F.lit("attack").alias("origin"), F.lit("hardcoded_secret").alias("category"),
-                "h.severity", "line", T.redact(F.col("__text")).alias("evidence"),
+                "h.severity", "line", T.redact(F.col("__text"), None).alias("evidence"),
                 F.when(F.col("h.severity") == "High", "block").otherwise("warn").alias("action"),
                 F.lit(None).cast("array<string>").alias("blocks_on"), F.col("h.kind").alias("kind"))
 

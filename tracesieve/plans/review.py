@@ -38,7 +38,7 @@ def doc_findings(t: Tables) -> DataFrame:
 
 def merged_docs(t: Tables) -> DataFrame:
     f = doc_findings(t).select("doc_id", "source", F.col("line_no").alias("line"), "category", "severity", "origin",
-                               F.col("rule").alias("agent"), T.redact(F.col("line")).alias("evidence"), F.lit("warn").alias("action"),
+                               F.col("rule").alias("agent"), T.redact(F.col("line"), None).alias("evidence"), F.lit("warn").alias("action"),
                                F.lit(None).cast("array<string>").alias("blocks_on"))
     return V.merge_findings(f, ["doc_id", "source"], ["agent"])
 
