@@ -51,6 +51,15 @@ def test_training_learns_context():
     assert before < -6 and masked_lm.log_probabilities(w, ids, at).mean() > -3
 
 
+def test_every_position_is_a_target(shipped):
+    """The words that stand at places 2 to 15 of every document are learned as well."""
+    words = "a b c d e f g h i j k l m n o p".split()
+    texts = shipped.createDataFrame([(i, " ".join(words)) for i in range(1500)], "doc_id long, text string").coalesce(1)
+    found, w = masked_lm.fit(texts)
+    ids, at = masked_lm.stream_of([masked_lm.Vocabulary(found).ids(" ".join(words))])
+    assert masked_lm.log_probabilities(w, ids, at)[2:].mean() > -3
+
+
 def test_gradients():
     rng = np.random.default_rng(3)
     bags = [rng.normal(size=(n, quality_classifier.FEATURES)) * 0.3 for n in (1, 4, 2)]

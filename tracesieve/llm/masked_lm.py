@@ -7,8 +7,8 @@ Every token is predicted from the ``SIDE`` tokens on either side of it:
 and a document's score is the sum of the logarithms. Tokens are lower-cased words: the most frequent of the corpus by themselves, all others by
 a hash of their ending. Word counts run over all documents. The network is trained in numpy, where the documents are: each task starts from
 the same weights, takes steps on positions of all of its documents, and the tasks' weights are averaged by their numbers of positions
-(block by block over a shuffle); ``ROUNDS`` such rounds follow each other, each on other positions. What is counted and
-trained on grows with the corpus; what comes to the driver (a vocabulary, one set of weights) doesn't. Texts are split into tokens once; the ids, two
+(block by block over a shuffle); ``ROUNDS`` such rounds follow each other, each on other positions, all of them over the rounds. What is
+counted and trained on grows with the corpus; what comes to the driver (a vocabulary, one set of weights) doesn't. Texts are split into tokens once; the ids, two
 bytes a word, are stored in the shared checkpoint folder for the rounds and the scores.
 """
 from __future__ import annotations
@@ -33,8 +33,10 @@ PAD = TOKENS
 SIDE = 2
 OFFSETS = tuple(o for o in range(-SIDE, SIDE + 1) if o)
 WIDTH = 24
-#: Rounds of averaging; a position is trained on in one of ``STRIDE`` rounds' turns, so ``ROUNDS`` / ``STRIDE`` of all positions are.
-ROUNDS, STRIDE, BATCH, RATE, SEED = 2, 16, 512, 0.08, 5
+#: Rounds of averaging. Each position is trained on in one of them: round r takes those whose place in the document modulo the rounds is r.
+ROUNDS, BATCH, RATE, SEED = 2, 512, 0.08, 5
+#: Rows of one cluster that a product takes together.
+LANES = 16
 #: Weights travel in so many blocks, so averaging is spread over tasks.
 BLOCKS = 256
 #: Tokens that are scored at once.
@@ -109,9 +111,10 @@ def _hidden(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.tanh(x)
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+def _softmax(x: np.ndarray) -> np.ndarray:
+    x = np.exp(x - x.max(1, keepdims=True))
+    x /= x.sum(1, keepdims=True)
+    return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -139,41 +142,52 @@ def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray
 
 
 def train(w: Weights, ids: np.ndarray, at: np.ndarray, memory: Weights) -> None:
-    """One pass of Adagrad over the positions, in place; ``memory`` holds the sums of squared gradients."""
+    """One pass of Adagrad over the positions, in place; ``memory`` holds the sums of squared gradients.
+
+    A batch is sorted by cluster and laid out in lanes of ``LANES`` rows of one cluster, so one product serves all clusters.
+    """
+    table, sums = w.E.reshape(-1, WIDTH), memory.E.reshape(-1, WIDTH)
+
+    def step(v: np.ndarray, m: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
+        new = m[rows] + g * g
+        m[rows] = new
+        v[rows] -= RATE * g / (np.sqrt(new) + 1e-6)
+
     for s in range(0, len(at), BATCH):
         part = at[s:s + BATCH]
-        n, target = len(part), ids[part]
+        part = part[np.argsort((ids[part] // CLUSTER).astype(np.uint16), kind="stable")]
+        n, rows = len(part), np.arange(len(part))
+        cluster, inside = np.divmod(ids[part], CLUSTER)
         h = _hidden(w, ids, part)
-        cluster, inside = np.divmod(target, CLUSTER)
-        rows = np.arange(n)
-        top = np.exp(_log_softmax(h @ w.A + w.a))
+        top = _softmax(h @ w.A + w.a)
         top[rows, cluster] -= 1
-        dh = top @ w.A.T
-        grads = Weights(None, None, h.T @ top, top.sum(0), np.zeros_like(w.B), np.zeros_like(w.c))
-        order = np.argsort(cluster, kind="stable")
-        edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        for k in range(CLUSTERS):
-            r = order[edges[k]:edges[k + 1]]
-            if len(r):
-                low = np.exp(_log_softmax(h[r] @ w.B[k] + w.c[k]))
-                low[np.arange(len(r)), inside[r]] -= 1
-                grads.B[k], grads.c[k] = h[r].T @ low, low.sum(0)
-                dh[r] += low @ w.B[k].T
-        dx = dh * (1 - h * h)
-        grads = grads._replace(b=dx.sum(0))
-        for v, g, m in zip(w[1:], grads[1:], memory[1:]):
-            g /= n
-            m += g * g
-            v -= RATE * g / (np.sqrt(m) + 1e-6)
-        for k, o in enumerate(OFFSETS):  # only the rows of tokens that occur
-            near = ids[part + o]
-            order = np.argsort(near)
-            near = near[order]
-            first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
-            rows, g = near[first], np.add.reduceat(dx[order], first) / n
-            m = memory.E[k][rows] + g * g
-            memory.E[k][rows] = m
-            w.E[k][rows] -= RATE * g / (np.sqrt(m) + 1e-6)
+        count = np.bincount(cluster, minlength=CLUSTERS)
+        lanes = -(-count // LANES)
+        of_lane, present = np.repeat(np.arange(CLUSTERS), lanes), np.flatnonzero(count)
+        slot = rows + ((np.cumsum(lanes) - lanes) * LANES - (np.cumsum(count) - count))[cluster]
+        H = np.zeros((len(of_lane) * LANES, WIDTH), np.float32)
+        H[slot] = h
+        H, B = H.reshape(-1, LANES, WIDTH), w.B[of_lane]
+        p = _softmax((H @ B).reshape(-1, CLUSTER)[slot] + w.c[cluster])
+        p[rows, inside] -= 1
+        low = np.zeros((len(of_lane) * LANES, CLUSTER), np.float32)
+        low[slot] = p
+        low = low.reshape(-1, LANES, CLUSTER)
+        first = (np.cumsum(lanes) - lanes)[present]
+        dh = top @ w.A.T + (low @ B.transpose(0, 2, 1)).reshape(-1, WIDTH)[slot]
+        dx = dh * (1 - h * h) / n
+        every = slice(None)
+        step(w.b, memory.b, every, dx.sum(0))
+        step(w.A, memory.A, every, h.T @ top / n)
+        step(w.a, memory.a, every, top.sum(0) / n)
+        step(w.B, memory.B, present, np.add.reduceat(H.transpose(0, 2, 1) @ low, first) / n)
+        step(w.c, memory.c, present, np.add.reduceat(low.sum(1), first) / n)
+        # only the rows of tokens that occur, of all offsets at once
+        near = np.concatenate([ids[part + o] + k * (TOKENS + 1) for k, o in enumerate(OFFSETS)]).astype(np.uint16)
+        order = np.argsort(near, kind="stable")
+        near = near[order]
+        first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
+        step(table, sums, near[first], np.add.reduceat(dx[order % n], first))
 
 
 def _documents(column: pa.Array) -> list[np.ndarray]:
@@ -202,7 +216,7 @@ def learn(encoded: DataFrame, rounds: int = ROUNDS, seed: int = SEED) -> Weights
                 documents = _documents(batch.column(0))
                 ids, at = stream_of(documents)
                 nth = np.concatenate([np.arange(len(d)) for d in documents]) if documents else at
-                at = at[nth % STRIDE == turn]
+                at = at[nth % rounds == turn]
                 train(w, ids, at, memory)
                 seen += len(at)
             if seen:
