@@ -5,7 +5,8 @@ Every token is predicted from the ``SIDE`` tokens on either side of it:
     h = tanh( sum_o E_o[t(i + o)] + b ),    P(t) = P(cluster of t | h) P(t | its cluster, h)
 
 and a document's score is the sum of the logarithms. Tokens are lower-cased words: the most frequent of the corpus by themselves, all others by
-a hash of their ending. Word counts run over all documents. The network is trained in numpy, where the documents are: each task starts from
+a hash of their ending. Such a word's probability is that of its bucket times its share of the bucket's words in the whole corpus, so it is that
+of the word and not of the bucket. Word counts run over all documents. The network is trained in numpy, where the documents are: each task starts from
 the same weights, takes steps on positions of all of its documents, and the tasks' weights are averaged by their numbers of positions
 (block by block over a shuffle); ``ROUNDS`` such rounds follow each other, each on other positions, all of them over the rounds. What is
 counted and trained on grows with the corpus; what comes to the driver (a vocabulary, one set of weights) doesn't. Texts are split into tokens once; the ids, two
@@ -39,6 +40,10 @@ ROUNDS, BATCH, RATE, SEED = 2, 512, 0.08, 5
 LANES = 16
 #: Weights travel in so many blocks, so averaging is spread over tasks.
 BLOCKS = 256
+#: Words of at least one in so many of all words have their counts sent to the tasks; the counts of all rarer ones are joined.
+COMMON = 100_000
+#: What Python's ``str.split`` takes for white space.
+SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Tokens that are scored at once.
 CHUNK = 1 << 13
 
@@ -76,15 +81,44 @@ class Vocabulary:
         self.endings = Memo(lambda e: WORDS + zlib.crc32(e.encode("utf-8")) % (TOKENS - WORDS))
 
     def ids(self, text: str) -> list[int]:
+        return self.of(text.lower().split())
+
+    def of(self, words: list[str]) -> list[int]:
         find, endings = self.known.get, self.endings
-        return [endings[w[-2:]] if (i := find(w)) is None else i for w in text.lower().split()]
+        return [endings[w[-2:]] if (i := find(w)) is None else i for w in words]
+
+
+def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(word, count): the lower-cased words of all documents. Counts are summed in the tasks before the shuffle."""
+    each = docs.select(F.explode(F.split(F.lower(whole_text(text)), SPACE)).alias("word")).where("word <> ''")
+    return each.groupBy("word").count()
+
+
+def most_frequent(counts: DataFrame, words: int = WORDS) -> list[str]:
+    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(words).collect()]
 
 
 def frequent_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> list[str]:
-    """The ``words`` most frequent lower-cased words of all documents, ties by the word. Counts are summed in the tasks before the shuffle."""
-    each = docs.select(F.explode(F.split(F.lower(whole_text(text)), "\\s+")).alias("word")).where("word <> ''")
-    top = each.groupBy("word").count().orderBy(F.desc("count"), "word").limit(words)
-    return [r["word"] for r in top.collect()]
+    """The ``words`` most frequent lower-cased words of all documents, ties by the word."""
+    return most_frequent(word_counts(docs, text), words)
+
+
+def bucket_totals(counts: DataFrame, words: list[str]) -> np.ndarray:
+    """Logarithm of the number of words in each token's bucket over the whole corpus; 0 for tokens that are words."""
+    out = np.zeros(TOKENS)
+    if len(words) < WORDS:
+        return out  # every word is a token
+    known = counts.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    bucket = (F.crc32(F.encode(F.right("word", F.lit(2)), "utf-8")) % (TOKENS - WORDS)).alias("bucket")
+    for r in counts.join(F.broadcast(known), "word", "left_anti").groupBy(bucket).agg(F.sum("count").alias("n")).collect():
+        out[WORDS + r["bucket"]] = np.log(r["n"])
+    return out
+
+
+def common_logs(counts: DataFrame) -> dict[str, float]:
+    """Logarithms of the counts of the words that are at least one in ``COMMON`` of all: no more than that many."""
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    return {r["word"]: float(np.log(r["count"])) for r in counts.where(F.col("count") >= total / COMMON).collect()}
 
 
 def stream_of(documents: list[np.ndarray | list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -94,14 +128,28 @@ def stream_of(documents: list[np.ndarray | list[int]]) -> tuple[np.ndarray, np.n
     return ids, np.flatnonzero(ids != PAD)
 
 
-def encode(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, ids): every whole text as packed unsigned 16-bit token ids, two bytes a word."""
-    shared = docs.sparkSession.sparkContext.broadcast(words)
+def encode(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", common: dict[str, float] | None = None) -> DataFrame:
+    """(key, ids): every whole text as packed unsigned 16-bit token ids, two bytes a word.
+
+    With ``common`` also (logs, rare): of the words that aren't tokens, the sum of the logarithms that are given, and the others.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((words, common))
 
     def make():
-        vocabulary = Vocabulary(shared.value)
-        return lambda k, t: (k, np.array(vocabulary.ids(t), "<u2").tobytes())
-    return map_rows(docs.select(F.col(key).cast("long").alias(key), whole_text(text)), make, f"{key} long, ids binary")
+        known, given = shared.value
+        vocabulary = Vocabulary(known)
+        if given is None:
+            return lambda k, t: (k, np.array(vocabulary.ids(t), "<u2").tobytes())
+
+        def row(k, t):
+            found = t.lower().split()
+            ids = vocabulary.of(found)
+            others = [w for w, i in zip(found, ids) if i >= WORDS]
+            logs = [given.get(w) for w in others]
+            return k, np.array(ids, "<u2").tobytes(), sum(x for x in logs if x is not None), [w for w, x in zip(others, logs) if x is None]
+        return row
+    shape = f"{key} long, ids binary" + ("" if common is None else ", logs double, rare array<string>")
+    return map_rows(docs.select(F.col(key).cast("long").alias(key), whole_text(text)), make, shape)
 
 
 def _hidden(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -250,32 +298,48 @@ def _blocks(flat: np.ndarray, positions: int, shape: str) -> pa.RecordBatch:
                                        pa.array([p.tobytes() for p in parts], pa.binary())], schema=arrow_schema(shape))
 
 
-def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fitted: tuple[list[str], Weights] | None = None) -> DataFrame:
+def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fitted: tuple[list[str], Weights] | None = None,
+          counts: DataFrame | None = None) -> DataFrame:
     """(key, n_tokens, log_prob, mean_log_prob, perplexity) of every whole text, by a model of the same documents unless one is given.
 
-    Null, empty and blank texts have no tokens: log_prob 0, mean_log_prob and perplexity null. Repeated rows repeat; null keys stay.
+    A given model knows no words besides its tokens and scores the buckets of all others, unless ``counts`` (word, count) come with it; words that
+    these don't have count as seen once. Null, empty and blank texts have no tokens: log_prob 0, mean_log_prob and perplexity null. Repeated rows
+    repeat; null keys stay.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    words = fitted[0] if fitted else frequent_words(docs, text)
-    encoded = encode(docs, words, text, key)
     if not fitted:
+        counts = word_counts(docs, text)
+    if counts is not None:
+        counts = cut_lineage(counts)
+    words = fitted[0] if fitted else most_frequent(counts)
+    totals = bucket_totals(counts, words) if counts is not None else np.zeros(TOKENS)
+    encoded = encode(docs, words, text, key, common_logs(counts) if counts is not None else None)
+    if counts is not None:
         encoded = cut_lineage(encoded)
-    shared = spark.sparkContext.broadcast((fitted[1] if fitted else learn(encoded)).flat())
-    shape = f"{key} long, n_tokens long, log_prob double, mean_log_prob double, perplexity double"
+    else:
+        encoded = encoded.withColumn("logs", F.lit(0.0))
+    # numbers of stored rows stay the same however often they are read
+    encoded = encoded.withColumn("row", F.monotonically_increasing_id())
+    shared = spark.sparkContext.broadcast(((fitted[1] if fitted else learn(encoded)).flat(), totals))
+    shape = f"row long, {key} long, n_tokens long, log_prob double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w = unflat(shared.value)
+        w, less = unflat(shared.value[0]), shared.value[1]
         for batch in batches:
-            documents = _documents(batch.column(1))
+            documents = _documents(batch.column(2))
             ids, at = stream_of(documents)
-            sums = np.r_[0.0, np.cumsum(log_probabilities(w, ids, at))]
+            sums = np.r_[0.0, np.cumsum(log_probabilities(w, ids, at) - less[ids[at]])]
             n = np.array([len(d) for d in documents], np.int64)
             ends = np.cumsum(n)
-            logs = [float(sums[e] - sums[e - k]) for e, k in zip(ends, n)]
-            mean = [x / k if k else None for x, k in zip(logs, n.tolist())]
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array(n), pa.array(logs, pa.float64()), pa.array(mean, pa.float64()),
-                pa.array([None if m is None else float(np.exp(min(-m, 700.0))) for m in mean], pa.float64())], schema=arrow_schema(shape))
-
-    return encoded.mapInArrow(run, shape)
+            logs = sums[ends] - sums[ends - n] + batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(logs, pa.float64())], schema=arrow_schema(shape))
+
+    scored = encoded.select("row", key, "ids", "logs").mapInArrow(run, shape)
+    if counts is not None:
+        # a word that is seen once adds the logarithm of 1
+        rare = encoded.select("row", F.explode("rare").alias("word")).join(counts.where("count > 1"), "word")
+        more = rare.groupBy("row").agg(F.sum(F.log("count")).alias("more"))
+        scored = scored.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
+    return scored.select(key, "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.when(mean.isNotNull(), F.exp(F.least(-mean, F.lit(700.0)))).alias("perplexity"))
