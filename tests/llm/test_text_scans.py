@@ -174,6 +174,17 @@ def test_candidates_are_judged():
     assert hits / (hits + misses) > 0.8 and wrong / max(1, hits + wrong) < 0.06
 
 
+def test_spelled_addresses():
+    """Spaced signs and upper case are proposed and found; the word at by itself isn't an address."""
+    m = pii.model()
+    for mail in ("jane.doe @ mail . com", "jane.doe(AT)mail.org", "jane_doe [AT] mail [DOT] net", "jane.doe AT mail DOT com", "jane.doe at mail dot com",
+                 "jane.doe at mail.com"):
+        text = f"write to {mail} about it"
+        assert (0, 9, 9 + len(mail)) in pii.candidates(text), mail
+        assert mail.endswith("mail.com") or pii.joined(pii.find(text, m)) == f"email:9:{9 + len(mail)}", mail
+    assert pii.find("we met at noon. they look at the dot matrix, dot by dot", m) == []
+
+
 def test_redaction(docs, rows):
     got = {r.doc_id: r for r in pii.redacted(docs).collect()}
     assert got[14].text == "mail [EMAIL] or x@y, [PHONE], [CARD], [IP] and 300.1.1.1" and got[14].n_chars == len(got[14].text)

@@ -35,7 +35,9 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_SPELLED = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?(?:@|\(at\)|\[at\]|\bat\b)\s?[A-Za-z0-9-]{1,64}(?:\s?(?:\.|\(dot\)|\[dot\]|\bdot\b)\s?[A-Za-z0-9-]{2,64})+")
+_AT = re.compile(r"@|\(at\)|\[at\]|\bat\b", re.I)
+_SPELLED_NAME = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?\Z")
+_SPELLED_HOST = re.compile(r"\s?[A-Za-z0-9-]{1,64}(?:\s?(?:\.|\(dot\)|\[dot\]|\bdot\b)\s?[A-Za-z0-9-]{2,64})+", re.I)
 _GENERATORS = {
     "ip": [re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
            re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?=\.?(?:[^0-9.]|\Z))")],
@@ -47,7 +49,6 @@ _GENERATORS = {
     "iban": [re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")],
 }
 _ANY = re.compile(r"[0-9@]")
-_DOT = re.compile(r"\bdot\b")
 
 #: Words before a candidate that speak for a kind, and those that speak against personal data.
 CUES = {
@@ -113,11 +114,20 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Addresses with "@" or "at" in any form and case, spaced or not, found from these like `_emails`; they may overlap."""
+    for sign in _AT.finditer(text):
+        # the host first: few words "at" are followed by one
+        if host := _SPELLED_HOST.match(text, sign.end()):
+            begin = max(0, sign.start() - 65)
+            if name := _SPELLED_NAME.search(text[begin:sign.start()]):
+                yield begin + name.start(), host.end()
+
+
 def candidates(text: str) -> list[Span]:
     """Generous proposals; they overlap each other and the fixed kinds."""
     out: set[Span] = set()
-    if _DOT.search(text) or "(at)" in text or "[at]" in text:
-        out.update((0, *m.span()) for m in _SPELLED.finditer(text))
+    out.update((0, *s) for s in _spelled(text))
     if _ANY.search(text):
         for kind, patterns in _GENERATORS.items():
             for p in patterns:
@@ -144,7 +154,8 @@ def features(text: str, span: Span) -> list[float]:
             s.startswith(("+", "00")), "(" in s, s.count("-") + s.count("."), s.count(" "), len(set(d)),
             any(w in CUES[name] for w in words), any(w in AGAINST for w in words), before[-1:] in "#$€£=/_", before[-1:].isalnum(),
             after[:1].isalnum() or after[:1] in "%°/_", d[:1] in "3456", len(re.findall(r"\.", s)), bool(re.match(r"(19|20)[0-9]{2}", d)),
-            "dot" in s or "(at)" in s or "[at]" in s, len(groups[-1]) if groups else 0]
+            any(x in s.lower() for x in ("dot", "(at)", "[at]")), len(groups[-1]) if groups else 0,
+            "@" in s, bool(re.search(r"\w\.\s", s))]
 
 
 class Tree(NamedTuple):
@@ -247,7 +258,8 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
            f"{rng.randint(1990, 2030)}-{rng.randint(2000, 2040)}", f"{num(1)}.{num(2)}.{num(1)}.{num(4)}", f"{num(2)} {num(3)} {num(3)}", f"{num(3)} {num(2)}",
            f"{num(4)}{sep}{num(4)}", f"{num(2)}-{num(3)}-{num(5)}-{num(1)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(1)}-{num(2)}",
            f"{rng.randint(0, 23):02d}.{rng.randint(0, 59):02d}.{rng.randint(0, 59):02d}", f"{rng.choice(['AB', 'XK'])}{num(2)}{num(16)}", f"000-{num(2)}-{num(4)}",
-           f"look at it dot by dot", f"{rng.choice(_FILLER)} at the dot matrix", f"0.{num(9)}", f"{num(1)} {num(3)} {num(3)} {num(3)}"]
+           f"{rng.choice(_FILLER)} at {rng.choice(_FILLER)}. {rng.choice(_FILLER)}", f"{rng.choice(_FILLER)} at {rng.choice(_FILLER)} . {rng.choice(_FILLER)}",
+           f"{rng.choice(_FILLER)} at {host}.com", f"{num(1)} @ {num(2)}. {rng.choice(_FILLER)}", f"look at it dot by dot", f"{rng.choice(_FILLER)} at the dot matrix", f"0.{num(9)}", f"{num(1)} {num(3)} {num(3)} {num(3)}"]
     kind = rng.choice([*good, *good, "none", "none", "none", "none", "none", "none"])
     lead = words(rng.randint(0, 8))
     if kind == "none":
