@@ -172,6 +172,13 @@ def test_one_of_each(docs, rows):
     assert got == Counter({k: 1 for k, c in groups if k is not None and k == c}) + Counter(k for k, _ in rows if k is None)
 
 
+def test_repeated_ids_with_different_texts(shipped):
+    """A repeated id is two documents if the texts differ: one stays although the other is a copy of a smaller id, or both stay."""
+    a, b, c = (" ".join(f"{w}{j * j}" for j in range(80)) for w in ("first", "second", "third"))
+    table = shipped.createDataFrame([(1, a), (2, a), (2, b), (3, b), (4, c), (4, "some other text of its own"), (4, c)], "doc_id long, text string")
+    assert sorted(tuple(r) for r in near_dedup.one_of_each(table).collect()) == sorted([(1, a), (2, b), (4, c), (4, "some other text of its own")])
+
+
 def test_dense_cluster_of_distinct_fingerprints(shipped, monkeypatch):
     """A large ball of near copies, a chain and strangers: the same classes as by all pairs, through hubs, tiles and pivots."""
     rng, prints = random.Random(1), set()

@@ -18,8 +18,9 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracesieve.llm.components import components
@@ -199,6 +200,12 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
     fingerprint. Texts without a word have fingerprint zero and are linked like any other. Null keys are kept and name no group unless
     it has no other key (then component_id is null). Repeated rows are repeated. An empty table gives no rows.
     """
+    return (_grouped(docs, text, key, words, link)
+            .select(F.col("doc_id").alias(key), as_hex(F.col("fp")).alias("fingerprint"), "component_id", "copies"))
+
+
+def _grouped(docs: DataFrame, text: str, key: str, words: int = WORDS, link: int = LINK) -> DataFrame:
+    """(doc_id, fp, root, component_id, copies): rows of `near_groups`, the group also by its root, as groups may share a component_id."""
     prints = cut_lineage(fingerprints(docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")), words=words))
     nodes = cut_lineage(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     masks = block_masks(nodes.count(), link)
@@ -210,16 +217,24 @@ def near_groups(docs: DataFrame, text: str = "text", key: str = "doc_id", words:
              .select("fp", F.coalesce("top", "root").alias("root")))
     named = nodes.join(final, "fp")
     groups = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = named.join(groups, "root").select("fp", "copies", "component_id")
-    return prints.join(named, "fp").select(F.col("doc_id").alias(key), as_hex(F.col("fp")).alias("fingerprint"), "component_id", "copies")
+    named = named.join(groups, "root").select("fp", "root", "copies", "component_id")
+    return prints.join(named, "fp").select("doc_id", "fp", "root", "component_id", "copies")
 
 
 def one_of_each(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents without their near copies: of each group the row with the smallest key stays, whole and with all its columns.
 
-    Rows with a null key can't be told apart and all stay. Of repeated rows with the kept key one stays.
+    Rows with a null key can't be told apart and all stay. Rows that share a key are judged by their own texts: of those in one group that have the
+    kept key the least text stays.
     """
-    groups = near_groups(docs, text, key)
-    leads = groups.where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__lead")).distinct()
-    kept = docs.join(leads, F.col(key) == F.col("__lead")).drop("__lead").dropDuplicates([key])
+    leads = (_grouped(docs, text, key).where(F.col("doc_id") == F.col("component_id"))
+             .select(F.col("doc_id").alias("__lead"), F.col("fp").alias("__of"), F.col("root").alias("__root")).distinct())
+
+    def prints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([h - (1 << 64) if (h := simhash(t)) >> 63 else h for t in texts], dtype="int64")
+    first = Window.partitionBy(key, "__root").orderBy(F.col(text), F.xxhash64(*docs.columns))
+    kept = (docs.where(F.col(key).isNotNull()).withColumn("__fp", F.pandas_udf(prints, "long")(whole_text(text)))
+            .join(leads, (F.col(key).cast("long") == F.col("__lead")) & (F.col("__fp") == F.col("__of")))
+            .withColumn("__nth", F.row_number().over(first)).where("__nth = 1").select(*docs.columns))
     return kept.union(docs.where(F.col(key).isNull()))
