@@ -6,7 +6,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tracesieve.llm import (bpe, filter_audit, fingerprints, masked_lm, near_dedup, packing, pii, quality_classifier, quality_rules, secret_scan,
-                             token_counts, whitening)
+                             token_counts, toxicity, whitening)
 from tracesieve.llm.audit_sql import filter_audit_sql
 from tracesieve.llm.frames import read
 from tracesieve.llm.rules_sql import quality_rules_sql
@@ -72,8 +72,13 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(read(spark, sf_dir, "embeddings"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score, prediction and nearest labelled examples of every document."""
+    return toxicity.rate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_byte_bpe, op3_token_counts, op4_secret_scan, op5_best_fit_packing, op6_document_fingerprints, op7_pii,
-                           op8_lm_scoring, op9_quality_classifier, op10_simhash_dedup, op11_filter_audit, op12_embedding_whitening)
+                           op8_lm_scoring, op9_quality_classifier, op10_simhash_dedup, op11_filter_audit, op12_embedding_whitening, op13_toxicity)
 }
 ORACLES: dict[str, str] = {"op1_quality_rules": quality_rules_sql(), "op11_filter_audit": filter_audit_sql()}
