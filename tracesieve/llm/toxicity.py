@@ -7,8 +7,8 @@ Bonferroni's correction). Document frequencies count every document of the table
 
 The examples are kept in a block-max inverted index: example numbers run in blocks of ``BLOCK``, and every term knows its largest weight in
 each block. A query adds these up to a bound per block, opens blocks from the highest bound on, and stops where the bound falls below the k-th
-similarity found, so the neighbours are those of a full comparison. They vote with weights that grow as their distance falls; a prior
-stands for weak or missing evidence, and a logistic curve fitted on the examples, each judged by the others, turns votes into probabilities.
+similarity found, so the neighbours are those of a full comparison. Examples with equal vectors are one neighbour, whose vote is split as
+they are. Votes weigh more the shorter the distance; a prior stands for weak or missing evidence, and a logistic curve fitted on the examples, each judged by the others, turns votes into probabilities.
 """
 from __future__ import annotations
 
@@ -29,7 +29,7 @@ from tracesieve.llm.quality_classifier import held_out
 from tracesieve.session import cut_lineage
 
 #: Bounds of the fit: toxic and clean labelled documents (those with the lowest hash of their id) and terms.
-TOXIC_EXAMPLES, CLEAN_EXAMPLES, TERMS = 4_096, 8_192, 8_192
+TOXIC_EXAMPLES, CLEAN_EXAMPLES, TERMS = 4_096, 8_192, 1_024
 STEMS, LEVELS = (4, 5, 6), (1, 2, 3, 5)
 LEAST_DOCS, ERROR_RATE = 5, 1e-6
 NEIGHBOURS, BLOCK = 16, 64
@@ -93,47 +93,70 @@ class Encoder:
 
 
 class BlockMaxIndex:
-    """Inverted index of unit vectors with the largest weight of every term in every block of examples.
+    """Inverted index of unit vectors with the largest weight of every term in every block of entries.
 
-    Examples are numbered so that like ones (by their heaviest term) share blocks, which keeps block bounds low.
+    Examples with equal vectors are one entry: its key is the least id, its counts are how many of them are clean and toxic. Entries are
+    numbered so that like ones (by their heaviest term) share blocks, which keeps block bounds low.
     """
 
     def __init__(self, keys: list[int], labels: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], terms: int) -> None:
-        heaviest = [(int(t[w.argmax()]), -float(w.max())) if len(t) else None for t, w in vectors]
-        order = sorted((i for i in range(len(keys)) if heaviest[i]), key=lambda i: (heaviest[i], keys[i]))
-        self.keys, self.labels = np.array([keys[i] for i in order], np.int64), np.array([labels[i] for i in order], np.int64)
-        self.number = {int(k): n for n, k in enumerate(self.keys)}
-        self.blocks = -(-len(order) // BLOCK)
-        sizes = [len(vectors[i][0]) for i in order]
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        example = np.repeat(np.arange(len(order)), sizes)
-        by_term = np.argsort(term, kind="stable")  # within a term examples ascend
-        self.example, self.weight = example[by_term], weight[by_term]
-        cell = term[by_term] * self.blocks + self.example // BLOCK
+        groups: dict[bytes, list[int]] = {}
+        for i in sorted(range(len(keys)), key=keys.__getitem__):
+            if len(vectors[i][0]):
+                groups.setdefault(vectors[i][0].tobytes() + vectors[i][1].tobytes(), []).append(i)
+
+        def place(members: list[int]) -> tuple:
+            t, w = vectors[members[0]]
+            return int(t[w.argmax()]), -float(w.max()), keys[members[0]]
+        entries = sorted(groups.values(), key=place)
+        self.keys = np.array([keys[e[0]] for e in entries], np.int64)
+        self.second = {keys[e[0]]: keys[e[1]] for e in entries if len(e) > 1}
+        self.counts = np.array([[sum(labels[i] == y for i in e) for y in (0, 1)] for e in entries], float).reshape(-1, 2)
+        self.entry = {keys[i]: (n, labels[i]) for n, e in enumerate(entries) for i in e}
+        self.blocks = -(-len(entries) // BLOCK)
+        kept = [vectors[e[0]] for e in entries]
+        term = np.concatenate([t for t, _ in kept]) if kept else np.zeros(0, np.int64)
+        weight = np.concatenate([w for _, w in kept]) if kept else np.zeros(0)
+        number = np.repeat(np.arange(len(kept)), [len(t) for t, _ in kept])
+        by_term = np.argsort(term, kind="stable")  # within a term entries ascend
+        self.number, self.weight = number[by_term], weight[by_term]
+        cell = term[by_term] * self.blocks + self.number // BLOCK
         self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
         self.largest = np.zeros((terms, self.blocks))
         np.maximum.at(self.largest.reshape(-1), cell, self.weight)
 
+    def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers, similarities) of all entries of some blocks that share a term with the query."""
+        cells = (terms[:, None] * self.blocks + blocks).ravel()
+        first, sizes = self.start[cells], self.start[cells + 1] - self.start[cells]
+        at = np.arange(sizes.sum()) + np.repeat(first - (np.cumsum(sizes) - sizes), sizes)
+        places = np.repeat(np.tile(np.arange(len(blocks)) * BLOCK, len(terms)), sizes) + self.number[at] % BLOCK
+        score = np.bincount(places, np.repeat(np.repeat(weights, len(blocks)), sizes) * self.weight[at], len(blocks) * BLOCK)
+        hit = np.flatnonzero(score)
+        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, score[hit]
+
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int = NEIGHBOURS, leave_out: int | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-        """(numbers, similarities) of the k examples of highest cosine above zero, the smaller key first on ties, and how many blocks were opened."""
-        skip = self.number.get(leave_out, -1) if leave_out is not None else -1
-        numbers, found, opened = np.zeros(0, np.int64), np.zeros(0), 0
+        """(numbers, similarities) of the k entries of highest cosine above zero, the smaller key first on ties, and how many blocks were opened.
+
+        An entry of which only ``leave_out`` is an example is passed over. Blocks are opened in rounds of growing size.
+        """
+        numbers, found, opened, step = np.zeros(0, np.int64), np.zeros(0), 0, 2
         if not len(terms) or not self.blocks:
             return numbers, found, 0
+        own = self.entry.get(leave_out)
+        skip = own[0] if own and self.counts[own[0]].sum() == 1 else -1
         bounds = weights @ self.largest[terms]
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or (len(found) == k and bounds[b] < found[-1] - 1e-12):
+        order = np.argsort(-bounds, kind="stable")
+        order = order[bounds[order] > 0]
+        while opened < len(order):
+            todo = order[opened:opened + step]
+            if len(found) == k:
+                todo = todo[bounds[todo] >= found[-1] - 1e-12]
+            if not len(todo):
                 break
-            score = np.zeros(BLOCK)
-            for t, w in zip(terms[self.largest[terms, b] > 0].tolist(), weights[self.largest[terms, b] > 0].tolist()):
-                at = slice(self.start[t * self.blocks + b], self.start[t * self.blocks + b + 1])
-                score[self.example[at] - b * BLOCK] += w * self.weight[at]
-            opened += 1
-            if 0 <= skip - b * BLOCK < BLOCK:
-                score[skip - b * BLOCK] = 0
-            hit = np.flatnonzero(score)
-            numbers, found = np.append(numbers, hit + b * BLOCK), np.append(found, score[hit])
+            more, scores = self.scores(terms, weights, todo)
+            opened, step = opened + len(todo), 2 * step
+            numbers, found = np.append(numbers, more[more != skip]), np.append(found, scores[more != skip])
             best = np.lexsort((self.keys[numbers], -np.round(found, 12)))[:k]
             numbers, found = numbers[best], found[best]
         return numbers, found, opened
@@ -150,12 +173,26 @@ class Model(NamedTuple):
     stands_for: tuple[float, float]
     curve: tuple[float, float] = (1.0, 0.0)
 
-    def votes(self, numbers: np.ndarray, similarities: np.ndarray) -> float:
-        """Log odds of the votes and the prior. A vote weighs one less the cosine distance, times what its example stands for."""
-        weight = similarities * np.where(self.index.labels[numbers] == 1, self.stands_for[1], self.stands_for[0])
-        toxic, clean = weight[self.index.labels[numbers] == 1].sum(), weight[self.index.labels[numbers] == 0].sum()
+    def toxic_shares(self, numbers: np.ndarray, leave_out: int | None = None) -> np.ndarray:
+        """Share of toxic among the labelled documents that each entry stands for; the left-out example doesn't count."""
+        counts = self.index.counts[numbers]
+        own = self.index.entry.get(leave_out)
+        if own:
+            counts[numbers == own[0], own[1]] -= 1
+        counts = counts * np.array(self.stands_for)
+        return counts[:, 1] / counts.sum(1)
+
+    def votes(self, shares: np.ndarray, similarities: np.ndarray) -> float:
+        """Log odds of the votes and the prior. A vote weighs one less the cosine distance and is split as the entry's examples are."""
+        toxic, clean = float(similarities @ shares), float(similarities @ (1 - shares))
         return math.log((toxic + PRIOR * self.prior) / (clean + PRIOR * (1 - self.prior)))
 
+    def judge(self, encoder: Encoder, text: str, key: int | None) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+        """(log odds, entries, similarities, toxic shares) of a text; the example ``key`` is left out."""
+        numbers, similarities, _ = self.index.nearest(*encoder.vector(text, self.idf), leave_out=key)
+        shares = self.toxic_shares(numbers, key)
+        return self.votes(shares, similarities), numbers, similarities, shares
+
     def probability(self, log_odds: float) -> float:
         a, b = self.curve
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, a * log_odds + b))))
@@ -266,16 +303,16 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     def judge() -> Callable[..., tuple]:
         encoder = Encoder(vocabulary)
-        return lambda k, y, t: (k, y, model.votes(*index.nearest(*encoder.vector(t, idf), leave_out=k)[:2]))
+        return lambda k, y, t: (k, y, model.judge(encoder, t, k)[0])
     judged = sorted(map_rows(examples.select("id", "label", "text"), judge, "id long, label int, odds double").collect(), key=lambda r: r["id"])
     y = np.array([r["label"] for r in judged], float)
     curve = fit_curve(np.array([r["odds"] for r in judged]), y, np.where(y == 1, model.stands_for[1], model.stands_for[0])) if judged else model.curve
     return model._replace(curve=curve)
 
 
-def evidence(index: BlockMaxIndex, numbers: Iterable[int], similarities: Iterable[float]) -> str:
-    """Neighbours as ``id:label:similarity``, the nearest first."""
-    return ",".join(f"{index.keys[n]}:{index.labels[n]}:{s:.6f}" for n, s in zip(numbers, similarities))
+def evidence(index: BlockMaxIndex, key: int | None, numbers: Iterable[int], similarities: Iterable[float], shares: Iterable[float]) -> str:
+    """Neighbours as ``id:toxic share:similarity``, the nearest first; the id is the least of the other examples with that vector."""
+    return ",".join(f"{index.second[k] if k == key else k}:{share:.3g}:{s:.6f}" for k, share, s in zip(index.keys[numbers].tolist(), shares, similarities))
 
 
 def rate(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
@@ -295,9 +332,9 @@ def rate(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc
         def row(k, t, held):
             if m is None:
                 return k, held, 0.0, int(threshold <= 0), ""
-            numbers, similarities, _ = m.index.nearest(*encoder.vector(t, m.idf), leave_out=k)
-            score = m.probability(m.votes(numbers, similarities))
-            return k, held, score, int(score >= threshold), evidence(m.index, numbers, similarities)
+            odds, *found = m.judge(encoder, t, k)
+            score = m.probability(odds)
+            return k, held, score, int(score >= threshold), evidence(m.index, k, *found)
         return row
     return map_rows(docs.select(F.col(key).cast("long").alias(key), whole_text(text).alias("text"), held_out(F.col(key)).alias("held_out")), make,
                     f"{key} long, held_out boolean, score double, predicted int, evidence string")
