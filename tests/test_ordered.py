@@ -1,10 +1,12 @@
 import random
+import re
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from tracesieve.functions import ordered as O
 from tracesieve.functions.stats import Z_SHORT, wilson
+from tracesieve.operators import eventlog as G
 from tracesieve.operators import stateful as H
 from tracesieve.operators.dataset import assert_no_leakage, cap_per_class
 
@@ -82,7 +84,7 @@ def test_percentiles_and_trailing(spark):
     vals = np.round(rnd.gamma(1.0, 5.0, 999), 2)
     df = spark.createDataFrame([(int(i % 2), float(v)) for i, v in enumerate(vals)], "k int, v double")
     hist = df.groupBy("k", "v").agg(F.count("*").alias("n"))
-    got = {r.k: (r.a, r.b) for r in O.exact_percentiles(hist, ["k"], "v", "n", {"a": 0.5, "b": 0.95}, bins=7).collect()}
+    got = {r.k: (r.a, r.b) for r in O.exact_percentiles(hist, ["k"], "v", "n", {"a": 0.5, "b": 0.95}, ranges=7).collect()}
     for k in (0, 1):
         mine = vals[k::2]
         assert np.allclose(got[k], (np.percentile(mine, 50), np.percentile(mine, 95)))
@@ -92,6 +94,55 @@ def test_percentiles_and_trailing(spark):
     assert t == {i: sum(1 for _, k2, u2 in rows if k2 == k and u - 20 < u2 <= u) for i, k, u in rows}
 
 
+def test_ranges_are_balanced(spark):
+    """One outlier, a hot key and a burst: no range holds more than twice the median, and the numbers ascend with the order."""
+    rnd = random.Random(21)
+    values = [rnd.random() for _ in range(7999)] + [1e12]
+    rows = [(0 if rnd.random() < 1 / 3 else rnd.randrange(1, 40), v, i) for i, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "k bigint, v double, i bigint").repartition(5)
+    for by in (["v"], ["k", "v"], ["k", "i"]):
+        got = [(tuple(r[c] for c in by), r[O.RANGE]) for r in O.by_ranges(df, by, 16).collect()]
+        sizes = sorted(np.bincount([n for _, n in got], minlength=16))
+        assert len(sizes) == 16 and sizes[-1] <= 2 * np.median(sizes)
+        assert [n for _, n in sorted(got)] == sorted(n for _, n in got)
+    hot = {n for r in O.by_ranges(df, ["k", "v"], 16).where("k = 0").collect() for n in [r[O.RANGE]]}
+    assert len(hot) >= 5
+
+
+def test_percentiles_with_an_outlier(spark):
+    rnd = np.random.default_rng(4)
+    vals = np.append(np.round(rnd.random(3000), 3), 1e12)
+    hist = spark.createDataFrame([("x", float(v)) for v in vals], "k string, v double").groupBy("k", "v").agg(F.count("*").alias("n"))
+    r = O.exact_percentiles(hist, ["k"], "v", "n", {"a": 0.5, "b": 0.99, "c": 1.0}, ranges=11).first()
+    assert np.allclose((r.a, r.b, r.c), [np.percentile(vals, p) for p in (50, 99, 100)])
+
+
+def test_ranked_equals_row_number(spark):
+    rnd = random.Random(6)
+    rows = [(None if rnd.random() < 0.1 else 0 if rnd.random() < 0.5 else rnd.randrange(5), rnd.randrange(1000), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "k bigint, v bigint, i bigint").repartition(6)
+    want, seen = {}, {}
+    for k, v, i in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2])):
+        seen[k] = want[i] = seen.get(k, 0) + 1
+    assert {r.i: r.place for r in O.ranked(df, ["k"], ["v", "i"], "place").collect()} == want
+    whole = {r.i: r.place for r in O.ranked(df, [], [F.desc("v"), "i"], "place").collect()}
+    assert whole == {i: n for n, (_, i) in enumerate(sorted((-v, i) for _, v, i in rows), 1)}
+    assert O.ranked(df.where("i < 0"), ["k"], ["v"], "place").collect() == []
+    plan = O.ranked(df, ["k"], ["v", "i"], "place")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and not any(re.search(r"\bk#", x) for x in plan.splitlines() if "Window [" in x)
+
+
+def test_energy_of_a_burst(spark):
+    """All samples within one minute are still several ranges, with the sums of one pass."""
+    rows = [(i, 1_000_000 * 60 + i * 7_000, float(i % 100)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "event_id bigint, us bigint, pct double")
+    got = {r.event_id: r.energy_mwh for r in G.energy(df, "us", "event_id", F.col("pct"), ranges=8).collect()}
+    total = 0.0
+    for i, _, pct in rows:
+        total += (3.0 + 12.0 * pct / 100) * (1.0 if i == 0 else 0.1) / 3600
+        assert abs(got[i] - total * 1000) < 1e-6
+
+
 def test_wilson_golden(spark):
     def iv(k, n, **kw):
         lo, hi = wilson(F.lit(k), F.lit(n), **kw)

@@ -15,6 +15,38 @@ from pyspark.sql import functions as F
 from tracesieve.session import share
 
 CHUNK = "__chunk"
+#: Column of `by_ranges`.
+RANGE = "__range"
+
+
+def by_ranges(df: DataFrame, by: Sequence[str | Column], ranges: int | None = None) -> DataFrame:
+    """Adds ``RANGE``, the number of the range of ``by`` that a row lies in; numbers ascend with ``by``.
+
+    The edges are quantiles that Spark samples from the rows, so ranges hold about equally many rows whatever their values: an outlier or
+    a burst moves edges, and a hot key is spread over several ranges. Without ``ranges`` their number follows the size of the
+    data. Numbers are those of one computation: share the frame, or hand it to a helper that does, before reading it twice.
+    """
+    cols = [ranges, *by] if ranges else by
+    return df.repartitionByRange(*cols).withColumn(RANGE, F.spark_partition_id())
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str) -> DataFrame:
+    """Adds ``out``, the place (from 1, bigint) of each row among those of its key; ``order`` must leave no ties. Null keys are a key.
+
+    Rows are sorted into ranges of (keys, order). A row's number within its task, one count per task and one least position per key give
+    its place, so no task holds more of a key than its range.
+    """
+    task, row = F.shiftrightunsigned("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    rows = share(df.orderBy(*keys, *order).withColumn("__at", F.monotonically_increasing_id()))
+    before = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy(task.alias("__task")).agg(F.count("*").alias("__n")) \
+        .select("__task", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))  # a row per task
+    placed = rows.join(F.broadcast(starts), task == F.col("__task")).withColumn(out, F.col("__start") + row + 1).drop("__task", "__start", "__at")
+    if not keys:
+        return placed
+    first = placed.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(F.min(out).alias("__first"))
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return placed.join(first, same).withColumn(out, F.col(out) - F.col("__first") + 1).drop("__first", *[f"__{k}" for k in keys])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
@@ -160,16 +192,15 @@ def fold_runs(df: DataFrame, run_keys: Sequence[str], order: Sequence[str], inpu
 
 
 def exact_percentiles(dist: DataFrame, keys: Sequence[str], value: str, n: str, ps: dict[str, float],
-                      bins: int = 4096) -> DataFrame:
+                      ranges: int | None = None) -> DataFrame:
     """Linear-interpolated percentiles from a (keys, value, n) histogram.
 
-    The cumulative count runs per value range and is offset across ranges, so no task ever holds
-    the values of a whole key, unlike the built-in exact percentile.
+    The histogram is cut into ranges of (keys, value) with about equally many values each; the cumulative count runs per range and is
+    offset across ranges. So no task holds the values of a whole key, and one outlier does not crowd the others.
     """
-    bounds = dist.groupBy(*keys).agg(F.sum(n).alias("__n"), F.min(value).alias("__lo"), F.max(value).alias("__hi"))
-    j = dist.join(bounds, list(keys))
-    pos = (F.col(value) - F.col("__lo")) / F.when(F.col("__hi") > F.col("__lo"), F.col("__hi") - F.col("__lo")).otherwise(1.0)
-    cum = running(j, keys, F.least(F.floor(pos * bins), F.lit(bins - 1)), [value], {"__cum": ("sum", F.col(n))})
+    bounds = dist.groupBy(*keys).agg(F.sum(n).alias("__n"))
+    j = by_ranges(dist.join(bounds, list(keys)), [*keys, value], ranges)
+    cum = running(j, keys, F.col(RANGE), [value], {"__cum": ("sum", F.col(n))})
     aggs = []
     for name, p in ps.items():
         k = (F.col("__n") - 1) * F.lit(p)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracesieve.functions.ordered import first_per_key, running, top_n_per_key
+from tracesieve.functions.ordered import first_per_key, ranked, running, top_n_per_key
 from tracesieve.functions.rules import all_matches
 from tracesieve.functions.text import ANY_SECRET, strip
 from tracesieve.operators.labels import CATEGORIES
@@ -42,11 +42,6 @@ def nested_caps(df: DataFrame, program: str, message: str, category: str, order:
     return b.select(program, message, category, "place")
 
 
-def _hash_rank(df: DataFrame, keys: list[str], h: str, out: str) -> DataFrame:
-    """Rank by a hex hash, computed per hash prefix and offset across prefixes."""
-    return running(df, keys, F.substring(h, 1, 2), [h], {out: ("sum", F.lit(1).cast("bigint"))})
-
-
 def grouped_split(df: DataFrame, group: str, label: str, ident: str, test_share: float = 0.20,
                   val_share: float = 0.15, train_cap: int = 1500) -> DataFrame:
     """Adds ``split``: whole groups held out for test, the rest split per class.
@@ -56,13 +51,13 @@ def grouped_split(df: DataFrame, group: str, label: str, ident: str, test_share:
     """
     groups = df.select(group).distinct().withColumn("__gh", F.md5(F.col(group).cast("string")))
     n_groups = groups.agg(F.greatest(F.lit(1), F.floor(F.count("*") * test_share)))
-    ranked = _hash_rank(groups, [], "__gh", "__gr")
-    held = ranked.where(F.col("__gr") <= n_groups.scalar()).select(group, F.lit(True).alias("__test"))
+    places = ranked(groups, [], ["__gh"], "__gr")
+    held = places.where(F.col("__gr") <= n_groups.scalar()).select(group, F.lit(True).alias("__test"))
     marked = df.join(held, group, "left").withColumn("__h", F.md5(F.col(ident).cast("string")))
     pool = marked.where("__test IS NULL")
     sizes = pool.groupBy(label).agg(F.count("*").alias("__n"))
     n_val = F.when(F.col("__n") >= 10, F.greatest(F.lit(2), F.floor(F.col("__n") * val_share))).otherwise(F.lit(1))
-    placed = _hash_rank(pool, [label], "__h", "__r").join(sizes.select(label, n_val.alias("__v")), label)
+    placed = ranked(pool, [label], ["__h"], "__r").join(sizes.select(label, n_val.alias("__v")), label)
     split = (F.when(F.col("__r") <= F.col("__v"), "val")
              .when(F.col("__r") <= F.col("__v") + train_cap, "train"))
     rest = placed.withColumn("split", split).select(*df.columns, "split")

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.ordered import carry_forward, running
+from tracesieve.functions.ordered import carry_forward, ranked, running
 from tracesieve.functions.rules import any_of
 from tracesieve.functions.text import strip
 
@@ -147,6 +147,13 @@ def priority(severity: Column, message: Column) -> Column:
             .when(m.contains("statement has no effect"), 2).otherwise(1))
 
 
+def display_order(diags: DataFrame, keys: list[str]) -> DataFrame:
+    """Visible diagnostics with their ``place`` in each log: by priority, then line, then position. A long log is ranked by many tasks."""
+    seen = diags.where(~is_quiet(F.col("severity"), F.col("message")))
+    order = [priority(F.col("severity"), F.col("message")), F.coalesce("line", F.lit(0)), F.col("line_no")]
+    return ranked(seen, keys, order, "place").withColumn("place", F.col("place").cast("int"))
+
+
 def log_status(diags: DataFrame, all_logs: DataFrame, keys: list[str]) -> DataFrame:
     """Visible error and warning counts and the overall status; logs without rows are 'success'."""
     visible = diags.where(~is_quiet(F.col("severity"), F.col("message")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.ordered import carry_forward, running, top_n_per_key, trailing
+from tracesieve.functions.ordered import RANGE, by_ranges, carry_forward, running, top_n_per_key, trailing
 
 # One permissive schema for every record shape found in a log file.
 LOG_SCHEMA = ("timestamp string, kind string, purpose string, action string, risk_score int, file_name string, payload_sha256 string, "
@@ -58,23 +58,24 @@ LOAD_WATTS = 12.0
 GRAMS_PER_KWH = 475.0
 
 
-def energy(samples: DataFrame, at: str, ident: str, load_pct: Column, chunk: int = 3_600_000_000) -> DataFrame:
+def energy(samples: DataFrame, at: str, ident: str, load_pct: Column, ranges: int | None = None) -> DataFrame:
     """Power, step energy and running session energy per sample, in time order.
 
     ``at`` in microseconds. The gap to the sample before is clamped to [0.1, 5] seconds; the first
-    sample counts one second. Running sums are computed per time chunk and offset across chunks.
+    sample counts one second. The time line is cut where samples are, not by the clock: running sums are computed per range of
+    about equally many samples and offset across ranges, so a burst is split like any other stretch.
     """
-    step = F.floor(F.col(at) / F.lit(chunk))
-    prev = carry_forward(samples, [], step, [at, ident], {"__prev": F.col(at)})
+    line = by_ranges(samples, [at, ident], ranges)
+    prev = carry_forward(line, [], F.col(RANGE), [at, ident], {"__prev": F.col(at)})
     gap = (F.col(at) - F.col("__prev")) / F.lit(1e6)
     dt = F.when(gap.isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(5.0), gap)))
     watts = F.lit(IDLE_WATTS) + F.lit(LOAD_WATTS) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), load_pct / 100.0))
     s = prev.withColumns({"power_mw": watts * 1000.0, "step_wh": watts * dt / 3600.0}).drop("__prev")
-    out = running(s, [], step, [at, ident], {"__wh": ("sum", F.col("step_wh"))})
-    return out.withColumns({"energy_mwh": F.col("__wh") * 1000.0, "co2_mg": F.col("__wh") * GRAMS_PER_KWH}).drop("__wh")
+    out = running(s, [], F.col(RANGE), [at, ident], {"__wh": ("sum", F.col("step_wh"))})
+    return out.withColumns({"energy_mwh": F.col("__wh") * 1000.0, "co2_mg": F.col("__wh") * GRAMS_PER_KWH}).drop("__wh", RANGE)
 
 
-def running_action(samples: DataFrame, actions: DataFrame, at: str, ident: str, chunk: int = 3_600_000_000) -> DataFrame:
+def running_action(samples: DataFrame, actions: DataFrame, at: str, ident: str, ranges: int | None = None) -> DataFrame:
     """Adds the action running at each sample, else 'idle'.
 
     actions: (label, start, end). The latest start not after the sample decides, so the interval
@@ -83,7 +84,7 @@ def running_action(samples: DataFrame, actions: DataFrame, at: str, ident: str,
     marks = actions.select(F.col("start").alias(at), F.lit(-1).cast("bigint").alias(ident),
                            F.struct("start", "label", "end").alias("__a")).groupBy(at, ident).agg(F.max("__a").alias("__a"))
     line = samples.withColumn("__a", F.lit(None).cast(marks.schema["__a"].dataType)).unionByName(marks, allowMissingColumns=True)
-    j = carry_forward(line, [], F.floor(F.col(at) / F.lit(chunk)), [at, ident], {"__last": F.col("__a")})
+    j = carry_forward(by_ranges(line, [at, ident], ranges), [], F.col(RANGE), [at, ident], {"__last": F.col("__a")}).drop(RANGE)
     live = F.col("__last.end") > F.col(at)
     return j.where(F.col("__a").isNull()).withColumns({
         "action": F.when(live, F.col("__last.label")).otherwise("idle"),

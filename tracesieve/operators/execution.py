@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.rules import all_matches
-from tracesieve.operators.structure import enclosing_scopes, with_depth
+from tracesieve.operators.structure import count_within, scopes, with_depth
 from tracesieve.session import cut_lineage
 
 # fixed values: identifiers that run, load, connect, delete or read the environment
@@ -188,7 +188,7 @@ def endless_loops(lines: DataFrame) -> DataFrame:
     """Endless loop headers whose body has no way out.
 
     The body is the rest of the header line, or the lines inside the scope that the header opens;
-    escapes resolve to their enclosing scopes, so the test is an anti-join on the scope.
+    escapes within it are counted by running counts at its ends.
     """
     d = with_depth(lines)
     tail = F.regexp_replace("code", "^.*?" + ENDLESS, "")
@@ -196,7 +196,8 @@ def endless_loops(lines: DataFrame) -> DataFrame:
     closed = heads.where("depth_after <= depth").where(~F.col("__tail").rlike(ESCAPE))
     opened = heads.where("depth_after > depth").where(~F.col("__tail").rlike(ESCAPE))
     outs = lines.where(F.col("code").rlike(ESCAPE)).select("file", "line_no")
-    left = enclosing_scopes(lines, outs).select("file", F.col("open_line").alias("line_no")).distinct()
+    spans = scopes(lines).join(opened.select("file", F.col("line_no").alias("open_line")), ["file", "open_line"], "left_semi")
+    left = count_within(spans, outs, ["file"], "__n").where("__n > 0").select("file", F.col("open_line").alias("line_no")).distinct()
     kept = closed.select("file", "line_no").unionByName(opened.select("file", "line_no").join(left, ["file", "line_no"], "left_anti"))
     return kept.select("file", "line_no", F.lit("possible_infinite_loop").alias("category"), F.lit("Medium").alias("severity"))
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesieve.functions.ordered import carry_forward, running
 from tracesieve.functions.rules import first_match
-from tracesieve.operators.structure import body_text, enclosing_scopes, with_depth, with_function
+from tracesieve.operators.structure import body_text, chunk, scopes, with_depth, with_function
+from tracesieve.session import cut_lineage
 
 # fixed values: hint patterns
 STRLEN_LOOP = r"\b(?:for\s*\([^;]*;[^;]*|while\s*\([^)]*)\bstrlen\s*\("
@@ -16,21 +18,38 @@ HEAVY = (r"[(,]\s*(?:const\s+)?(?:std::)?(?:string|vector\s*<[^>]+>|map\s*<[^>]+
          r"\s+([a-zA-Z_]\w*)\s*(?:=[^,)]*)?(?=[,)])")
 CALL_SHAPE = r"\b(?!if\b|for\b|while\b|switch\b|catch\b|return\b|sizeof\b|decltype\b)[a-zA-Z_]\w*\s*\([^)]*\)"
 LOOP = r"\b(?:for|while)\s*\("
+HALVES = r"(?i)/\s*2|\bmid\b|\bleft\b|\bright\b|>>\s*1|\bmerge\b|\bpartition\b"
+TREE = r"(?i)->\s*(?:left|right|children|next)|pair\.second|\bnode\b"
+SMALLER = r"-\s*1|-\s*2"
+SORT = r"\b(?:std::)?sort\s*\("
+ORDERED = r"\b(?:std::)?(?:map|set|priority_queue)\b"
+SIZED_ARRAY = r"\b(?:int|double|float|char|long|size_t)\s+[a-zA-Z_]\w*\[\s*([0-9]+)\s*\]"
+BULKY = r"\b(?:std::)?(?:vector|string|map|set|unordered_map|unordered_set)<[^>]+>\s+[a-zA-Z_]\w*\s*[,)]"
 CONCAT = r"\b([a-zA-Z_]\w*)\s*=\s*(?:[^;=]*[^\w;=])?\1\b[^;=]*;"
 
 
 def loop_lines(lines: DataFrame) -> DataFrame:
     """(file, line_no, depth, root): loops around each line, the line's own header included, and
-    the line of the outermost one. ``while`` right after a closing brace ends a do-loop."""
+    the line of the outermost one. ``while`` right after a closing brace ends a do-loop.
+
+    A loop reaches from the line after its header to the line where the last scope of the header closes. These stretches nest, so the number
+    around a line is a running sum of starts and ends, and the outermost one changes only where no stretch goes on.
+    """
     d = with_depth(lines)
-    head = F.col("code").rlike(LOOP) & ~F.col("code").rlike(r"\}\s*while\s*\(")
-    heads = d.where(head)
-    blocks = heads.where("depth_after > depth").select("file", "line_no")
-    sc = enclosing_scopes(lines, lines.select("file", "line_no"))
-    inside = sc.join(blocks.withColumnRenamed("line_no", "open_line"), ["file", "open_line"], "left_semi") \
-        .select("file", "line_no", "open_line").distinct()
-    own = heads.select("file", "line_no", F.col("line_no").alias("open_line"))
-    return inside.unionByName(own).distinct().groupBy("file", "line_no").agg(F.count("*").alias("depth"), F.min("open_line").alias("root"))
+    heads = cut_lineage(d.where(F.col("code").rlike(LOOP) & ~F.col("code").rlike(r"\}\s*while\s*\(")).select("file", "line_no", "depth", "depth_after"))
+    open_ = (1 << 62)
+    reach = scopes(lines).join(heads.where("depth_after > depth").select("file", F.col("line_no").alias("open_line")), ["file", "open_line"], "left_semi") \
+        .groupBy("file", "open_line").agg(F.max(F.coalesce("close_line", F.lit(open_))).alias("end")).where("end > open_line")
+    turns = reach.select("file", F.explode(F.array(F.struct((F.col("open_line") + 1).alias("line_no"), F.lit(1).alias("starts"), F.lit(0).alias("ends")),
+                                                   F.struct((F.col("end") + 1).alias("line_no"), F.lit(0).alias("starts"), F.lit(1).alias("ends")))).alias("t")) \
+        .select("file", "t.*").groupBy("file", "line_no").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
+    marks = heads.select("file", "line_no", F.lit(1).alias("__own"))
+    every = lines.select("file", "line_no").join(turns, ["file", "line_no"], "left").join(marks, ["file", "line_no"], "left").na.fill(0)
+    around = running(every, ["file"], chunk(), ["line_no"], {"__in": ("sum", F.col("starts") - F.col("ends"))})
+    first = F.when((F.col("starts") > 0) & (F.col("__in") == F.col("starts")), F.col("line_no") - 1)
+    rooted = carry_forward(around, ["file"], chunk(), ["line_no"], {"__root": first}, include_current=True)
+    return rooted.where("__in + __own > 0").select("file", "line_no", (F.col("__in") + F.col("__own")).alias("depth"),
+                                                   F.when(F.col("__in") > 0, F.col("__root")).otherwise(F.col("line_no")).alias("root"))
 
 
 def quality_hints(lines: DataFrame) -> DataFrame:
@@ -41,7 +60,7 @@ def quality_hints(lines: DataFrame) -> DataFrame:
         return base.where(code.rlike(p)).select("file", "line_no", F.explode(F.regexp_extract_all(code, F.lit(p), F.lit(1)))).select(
             "file", "line_no", F.lit(hint).alias("hint"), F.lit(weight).alias("weight"))
 
-    loops = loop_lines(lines)
+    loops = cut_lineage(loop_lines(lines))
     strlen = lines.where(code.rlike(STRLEN_LOOP)).select("file", "line_no", F.lit("strlen_in_loop_condition").alias("hint"), F.lit(2).alias("weight"))
     copies = each(RANGE_COPY, "copy_in_range_for", 1)
     by_value = each(HEAVY, "pass_by_value", 1, lines.where(code.rlike(CALL_SHAPE)))
@@ -77,16 +96,16 @@ def complexity(files: DataFrame, lines: DataFrame) -> DataFrame:
     own = F.concat(F.lit(r"\b"), F.col("fn"), F.lit(r"\s*\("))
     rec = fns.where("fn <> 'main'").groupBy("file", "fn_line").agg(
         F.sum(F.regexp_count("body", own)).alias("calls"),
-        F.bool_or(F.col("body").rlike(r"(?i)/\s*2|\bmid\b|\bleft\b|\bright\b|>>\s*1|\bmerge\b|\bpartition\b")).alias("halves"),
-        F.bool_or(F.col("body").rlike(r"(?i)->\s*(?:left|right|children|next)|pair\.second|\bnode\b")).alias("tree"),
-        F.bool_or(F.col("body").rlike(r"-\s*1|-\s*2")).alias("less")).where("calls > 0")
+        F.bool_or(F.col("body").rlike(HALVES)).alias("halves"),
+        F.bool_or(F.col("body").rlike(TREE)).alias("tree"),
+        F.bool_or(F.col("body").rlike(SMALLER)).alias("less")).where("calls > 0")
     r = rec.groupBy("file").agg(F.bool_or("halves").alias("halving"), F.bool_or(~F.col("halves") & F.col("tree")).alias("walking"),
                                 F.bool_or(~F.col("halves") & ~F.col("tree") & (F.col("calls") >= 2) & F.col("less")).alias("branching"))
-    arr = F.regexp_extract(code, r"\b(?:int|double|float|char|long|size_t)\s+[a-zA-Z_]\w*\[\s*([0-9]+)\s*\]", 1).try_cast("bigint")
+    arr = F.regexp_extract(code, SIZED_ARRAY, 1).try_cast("bigint")
     f = lines.groupBy("file").agg(
-        F.bool_or(code.rlike(r"\b(?:std::)?sort\s*\(")).alias("sorts"), F.bool_or(code.rlike(r"\b(?:std::)?(?:map|set|priority_queue)\b")).alias("maps"),
+        F.bool_or(code.rlike(SORT)).alias("sorts"), F.bool_or(code.rlike(ORDERED)).alias("maps"),
         F.bool_or(code.rlike(VECTOR_DECL)).alias("vectors"),
-        F.bool_or(F.coalesce(arr >= 1000, F.lit(False)) | code.rlike(r"\b(?:std::)?(?:vector|string|map|set|unordered_map|unordered_set)<[^>]+>\s+[a-zA-Z_]\w*\s*[,)]")).alias("bulky"))
+        F.bool_or(F.coalesce(arr >= 1000, F.lit(False)) | code.rlike(BULKY)).alias("bulky"))
     j = files.join(loops, "file", "left").join(r, "file", "left").join(f, "file", "left")
     no = F.lit(False)
     depth = F.coalesce("loops", F.lit(0))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.ordered import carry_forward, running, running_floored
 from tracesieve.functions.text import LINE_BREAK, strip_code
+from tracesieve.session import cut_lineage
 
 LINE_CHUNK = 4096
 
@@ -51,11 +52,64 @@ def with_depth(lines: DataFrame) -> DataFrame:
     return running_floored(base, ["file"], chunk(), ["line_no"], F.col("__w.s"), F.col("__w.m"), "depth").drop("__w")
 
 
+def brace_levels(lines: DataFrame) -> DataFrame:
+    """Brace events with the ``depth`` of the scope that they open or close; a closing brace without an open scope is left out."""
+    ev = running_floored(brace_events(lines), ["file"], chunk(), ["line_no", "idx"], F.col("delta"), F.least(F.col("delta"), F.lit(0)), "__lv")
+    depth = F.when(F.col("delta") > 0, F.col("__lv_after")).otherwise(F.col("__lv"))
+    return ev.withColumn("depth", depth.cast("int")).where("depth > 0").drop("__lv", "__lv_after")
+
+
+def scopes(lines: DataFrame) -> DataFrame:
+    """One row per scope: (file, depth, open_line, open_idx, close_line, close_idx); a scope that stays open has no close.
+
+    Openings and closings of one depth of a file take turns, so a closing brace belongs to the opening one before it.
+    """
+    ev = cut_lineage(brace_levels(lines))
+    at = F.struct(F.col("line_no").alias("open_line"), F.col("idx").alias("open_idx"))
+    ends = carry_forward(ev, ["file", "depth"], chunk(), ["line_no", "idx"], {"__o": F.when(F.col("delta") > 0, at)}).where("delta < 0") \
+        .select("file", "__o.open_line", "__o.open_idx", F.col("line_no").alias("close_line"), F.col("idx").alias("close_idx"))
+    starts = ev.where("delta > 0").select("file", "depth", F.col("line_no").alias("open_line"), F.col("idx").alias("open_idx"))
+    return starts.join(ends, ["file", "open_line", "open_idx"], "left").select("file", "depth", "open_line", "open_idx", "close_line", "close_idx")
+
+
+def innermost_scope(lines: DataFrame, probes: DataFrame) -> DataFrame:
+    """(file, line_no, open_line, open_idx) of the innermost scope open at the start of each probed line; lines at file level have none.
+
+    It is the last scope that opened at the line's own depth: one as-of carry by (file, depth), one row per probe.
+    """
+    depth = with_depth(lines).select("file", "line_no", F.col("depth").cast("int").alias("depth"))
+    asks = probes.select("file", "line_no").distinct().join(depth, ["file", "line_no"]).where("depth > 0") \
+        .select("file", "line_no", F.lit(-1).alias("idx"), F.lit(0).alias("delta"), "depth")
+    opens = brace_levels(lines).where("delta > 0").select("file", "line_no", "idx", "delta", "depth")
+    at = F.struct(F.col("line_no").alias("open_line"), F.col("idx").alias("open_idx"))
+    j = carry_forward(opens.unionByName(asks), ["file", "depth"], chunk(), ["line_no", "idx"], {"__o": F.when(F.col("delta") > 0, at)})
+    return j.where("delta = 0").select("file", "line_no", "__o.open_line", "__o.open_idx")
+
+
+def count_within(spans: DataFrame, marks: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """Adds ``out``: how many ``marks`` (keys, line_no) lie behind ``open_line`` up to and with ``close_line`` (null: to the end).
+
+    Running counts at both ends of a span are subtracted, so nested spans share one pass over marks and ends. The counts, one row per
+    line with a mark or an end, are written once; the plans that read them stay small.
+    """
+    ends = spans.select(*keys, F.col("open_line").alias("line_no")).union(spans.select(*keys, F.col("close_line").alias("line_no"))) \
+        .where("line_no IS NOT NULL").distinct().withColumn("__n", F.lit(0).cast("bigint"))
+    per_line = marks.groupBy(*keys, "line_no").agg(F.count("*").alias("__n")).unionByName(ends).groupBy(*keys, "line_no").agg(F.sum("__n").alias("__n"))
+    upto = cut_lineage(running(per_line, keys, chunk(), ["line_no"], {"__upto": ("sum", F.col("__n"))}).select(*keys, "line_no", "__upto"))
+    total = marks.groupBy(*keys).agg(F.count("*").alias("__all"))
+    at_open = upto.select(*keys, F.col("line_no").alias("open_line"), F.col("__upto").alias("__from"))
+    at_close = upto.select(*keys, F.col("line_no").alias("close_line"), F.col("__upto").alias("__to"))
+    j = spans.join(at_open, [*keys, "open_line"]).join(at_close, [*keys, "close_line"], "left").join(total, keys, "left")
+    last = F.when(F.col("close_line").isNull(), F.coalesce("__all", F.lit(0))).otherwise(F.col("__to"))
+    return j.withColumn(out, last - F.col("__from")).drop("__from", "__to", "__all")
+
+
 def enclosing_scopes(lines: DataFrame, probes: DataFrame) -> DataFrame:
     """Every open scope around the start of each probed line: (file, line_no, depth, open_line, open_idx).
 
     A probe asks, for each depth up to its own, which brace last opened that depth: an as-of carry
-    keyed by (file, depth) instead of an interval join.
+    keyed by (file, depth) instead of an interval join. The result lists every pair; where a count or the innermost scope is enough,
+    `count_within` and `innermost_scope` stay linear in the lines.
     """
     ev = brace_events(lines).select("file", "line_no", "idx", "delta")
     ask = probes.select("file", "line_no").distinct().select("file", "line_no", F.lit(-1).alias("idx"), F.lit(0).alias("delta"))

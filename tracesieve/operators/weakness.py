@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracesieve.functions.ordered import carry_forward, running, trailing
 from tracesieve.functions.rules import LineRule, scan_lines
 from tracesieve.session import share
-from tracesieve.operators.structure import body_text, chunk, enclosing_scopes, with_function
+from tracesieve.operators.structure import body_text, chunk, count_within, innermost_scope, scopes, with_function
 
 # fixed values: stateless line rules (type, pattern, severity, column read)
 LINE_RULES: tuple[LineRule, ...] = (
@@ -227,8 +227,8 @@ def local_vars(lines: DataFrame) -> DataFrame:
 def resource_leaks(lines: DataFrame) -> DataFrame:
     """Acquisitions in a scope that no release closes while the scope is open.
 
-    A release marks every enclosing scope, so both sides resolve to scope ids (as-of per depth) and
-    the test is an anti-join. The file level is no scope.
+    An acquisition belongs to the innermost scope of its line; releases within a scope are counted by running counts at its ends,
+    however deep scopes nest. The file level is no scope.
     """
     flags = {k: F.col("code").rlike(a) for k, a, _, _ in RESOURCES}
     flags["new"] = flags["new"] & ~F.col("code").rlike(NEW_EXEMPT)
@@ -237,12 +237,11 @@ def resource_leaks(lines: DataFrame) -> DataFrame:
     decl = local_vars(lines).groupBy("file", "var").agg(F.min("line_no").alias("__l"))
     acq = acq.join(decl, ["file", "var"], "left").where("kind <> 'new' OR var = '' OR __l < line_no").select("file", "line_no", "kind")
     rel = lines.select("file", "line_no", F.explode(F.array_compact(F.array(*[F.when(F.col("code").rlike(r), F.lit(k)) for k, _, r, _ in RESOURCES]))).alias("kind"))
-    scopes = enclosing_scopes(lines, acq.select("file", "line_no").unionByName(rel.select("file", "line_no")))
-    inner = scopes.groupBy("file", "line_no").agg(F.max_by(F.struct("open_line", "open_idx"), "depth").alias("__s"))
-    held = acq.join(inner, ["file", "line_no"]).select("file", "line_no", "kind", "__s.open_line", "__s.open_idx")
-    freed = rel.join(scopes, ["file", "line_no"]).select("file", "kind", "open_line", "open_idx").distinct()
+    held = acq.join(innermost_scope(lines, acq), ["file", "line_no"])
+    spans = held.select("file", "kind", "open_line", "open_idx").distinct().join(scopes(lines), ["file", "open_line", "open_idx"])
+    kept = count_within(spans, rel, ["file", "kind"], "__rel").where("__rel = 0").select("file", "kind", "open_line", "open_idx")
     kind = F.create_map(*[F.lit(x) for k, _, _, n in RESOURCES for x in (k, n)])
-    return _out(held.join(freed, ["file", "kind", "open_line", "open_idx"], "left_anti"), kind[F.col("kind")], "Medium")
+    return _out(held.join(kept, ["file", "kind", "open_line", "open_idx"], "left_semi"), kind[F.col("kind")], "Medium")
 
 
 def function_findings(lines: DataFrame, fns: DataFrame | None = None) -> DataFrame:

@@ -318,20 +318,71 @@ def header_findings(t: Tables) -> DataFrame:
     return EX.header_findings(inc, EX.execution_findings(s), s.groupBy("file").agg(F.sum(F.length("raw")).alias("bytes")))
 
 
-@query("quality_hints")
+LOOPS_SQL = DEPTH.rstrip() + f""",
+heads AS (SELECT * FROM dep WHERE regexp_matches(code, {q(Q.LOOP)}) AND NOT regexp_matches(code, '\\}}\\s*while\\s*\\(')),
+around AS (SELECT s.file, s.line_no, c.ol FROM src s JOIN scp c ON c.file = s.file AND c.ol < s.line_no AND (c.cl IS NULL OR s.line_no <= c.cl // 1000)
+  WHERE (c.file, c.ol) IN (SELECT (file, line_no) FROM heads WHERE depth_after > depth) UNION SELECT file, line_no, line_no FROM heads),
+loops AS (SELECT file, line_no, count(*) AS depth, min(ol) AS root FROM around GROUP BY 1, 2)
+"""
+
+
+@query("loop_nesting", LOOPS_SQL + "SELECT file, line_no, depth, root FROM loops")
+def loop_nesting(t: Tables) -> DataFrame:
+    """How many loops surround each line, and where the outermost starts."""
+    return Q.loop_lines(src(t))
+
+
+def _each_sql(pattern: str, hint: str, weight: int, code: str = "code", where: str = "true") -> str:
+    return f"SELECT file, line_no, '{hint}' AS hint, {weight} AS weight FROM (SELECT file, line_no, unnest(regexp_extract_all({code}, {q(pattern)})) FROM src WHERE {where})"
+
+
+# RE2 has neither look-around nor back-references: commas are doubled so that a parameter may end in the comma before the next,
+# words that only look like calls are blanked first, and a repeated name is looked up in the text behind its "="
+_HEAVY_SQL = Q.HEAVY.replace("(?=[,)])", "[,)]")
+_CALL_SQL = r"regexp_matches(regexp_replace(code, '\b(?:if|for|while|switch|catch|return|sizeof|decltype)\b', '#', 'g'), '\b[a-zA-Z_]\w*\s*\([^)]*\)')"
+_SET_SQL = r"'\b([a-zA-Z_]\w*)\s*=([^;=]*);'"
+HINTS_SQL = LOOPS_SQL.rstrip() + f""", inner_lines AS (SELECT s.* FROM src s JOIN loops l ON l.file = s.file AND l.line_no = s.line_no),
+vecs AS (SELECT DISTINCT file, unnest(regexp_extract_all(code, {q(Q.VECTOR_DECL)}, 1)) AS var FROM src), reserved AS (SELECT DISTINCT file, unnest(regexp_extract_all(code, {q(Q.RESERVE)}, 1)) AS var FROM src),
+pushes AS (SELECT file, line_no, unnest(regexp_extract_all(code, '\\b([a-zA-Z_]\\w*)\\.push_back\\s*\\(', 1)) AS var FROM inner_lines),
+sets AS (SELECT file, line_no, unnest(regexp_extract_all(code, {_SET_SQL}, 1)) AS name, unnest(regexp_extract_all(code, {_SET_SQL}, 2)) AS rest FROM inner_lines WHERE contains(code, '+')),
+hints AS (SELECT file, line_no, 'strlen_in_loop_condition' AS hint, 2 AS weight FROM src WHERE regexp_matches(code, {q(Q.STRLEN_LOOP)})
+ UNION ALL {_each_sql(Q.RANGE_COPY, 'copy_in_range_for', 1)}
+ UNION ALL {_each_sql(_HEAVY_SQL, 'pass_by_value', 1, "replace(code, ',', ',,')", _CALL_SQL)}
+ UNION ALL SELECT l.file, min(l.line_no), 'nested_loops', CASE WHEN max(l.depth) >= 3 THEN 3 ELSE 2 END FROM loops l JOIN src s ON s.file = l.file AND s.line_no = l.line_no WHERE l.depth >= 2 AND regexp_matches(s.code, {q(Q.LOOP)}) GROUP BY l.file, l.root
+ UNION ALL SELECT file, line_no, 'endl_in_loop', 1 FROM inner_lines WHERE regexp_matches(code, '\\b(?:std::)?endl\\b')
+ UNION ALL SELECT DISTINCT file, line_no, 'string_concat_in_loop', 1 FROM sets WHERE regexp_matches(rest, '\\b' || name || '\\b')
+ UNION ALL SELECT file, min(line_no), 'push_back_without_reserve', 1 FROM pushes WHERE (file, var) IN (SELECT (file, var) FROM vecs) AND (file, var) NOT IN (SELECT (file, var) FROM reserved) GROUP BY file, var)
+"""
+
+
+@query("quality_hints", HINTS_SQL + "SELECT file, line_no, hint, weight FROM hints")
 def quality_hints(t: Tables) -> DataFrame:
     """Performance hints with their weight."""
     return Q.quality_hints(src(t))
 
 
-@query("quality_levels")
+@query("quality_levels", HINTS_SQL + """SELECT file, CAST(coalesce(s, 0) AS BIGINT) AS score, CASE WHEN coalesce(s, 0) <= 1 THEN 'Good' WHEN s <= 4 THEN 'Fair' ELSE 'Needs work' END AS level
+FROM (SELECT DISTINCT file FROM src) LEFT JOIN (SELECT file, sum(weight) AS s FROM hints GROUP BY file) USING (file)""")
 def quality_levels(t: Tables) -> DataFrame:
     """Quality level of every file."""
     s = src(t)
     return Q.quality_level(s.select("file").distinct(), Q.quality_hints(s))
 
 
-@query("complexity_classes")
+_FUNCS_ON_LOOPS = LOOPS_SQL.rstrip() + ", " + FUNCS[FUNCS.index("hd AS ("):].rstrip()
+_COMPLEX_SQL = _FUNCS_ON_LOOPS + f""", rec AS (SELECT file, fl, sum(len(regexp_extract_all(body, '\\b' || fn || '\\s*\\('))) AS calls, bool_or(regexp_matches(body, {q(Q.HALVES)})) AS halves,
+  bool_or(regexp_matches(body, {q(Q.TREE)})) AS tree, bool_or(regexp_matches(body, {q(Q.SMALLER)})) AS less FROM inn WHERE fn <> 'main' GROUP BY 1, 2 HAVING calls > 0),
+r AS (SELECT file, bool_or(halves) AS ha, bool_or(NOT halves AND tree) AS wa, bool_or(NOT halves AND NOT tree AND calls >= 2 AND less) AS br FROM rec GROUP BY 1),
+f AS (SELECT file, bool_or(regexp_matches(code, {q(Q.SORT)})) AS so, bool_or(regexp_matches(code, {q(Q.ORDERED)})) AS ma, bool_or(regexp_matches(code, {q(Q.VECTOR_DECL)})) AS ve,
+  bool_or(coalesce(TRY_CAST(regexp_extract(code, {q(Q.SIZED_ARRAY)}, 1) AS BIGINT) >= 1000, false) OR regexp_matches(code, {q(Q.BULKY)})) AS bu FROM src GROUP BY 1),
+j AS (SELECT f.file, coalesce(l.d, 0) AS d, coalesce(ha, false) AS ha, coalesce(wa, false) AS wa, coalesce(br, false) AS br, so, ma, ve, bu
+  FROM f LEFT JOIN (SELECT file, max(depth) AS d FROM loops GROUP BY 1) l ON l.file = f.file LEFT JOIN r ON r.file = f.file)
+SELECT file, d AS loop_depth, CASE WHEN br THEN 'O(2^n)' WHEN ha AND d >= 2 THEN 'O(n²)' WHEN ha THEN 'O(n log n)' WHEN wa AND d >= 2 THEN 'O(n²)' WHEN wa AND so THEN 'O(n log n)' WHEN wa THEN 'O(n)'
+  WHEN d >= 3 THEN 'O(n³)' WHEN d = 2 THEN 'O(n²)' WHEN d = 1 AND so THEN 'O(n log n)' WHEN d = 1 THEN 'O(n)' WHEN so THEN 'O(n log n)' WHEN ma THEN 'O(log n)' WHEN ve THEN 'O(n)' ELSE 'O(1)' END AS time_class,
+  CASE WHEN br OR ha OR wa OR bu OR ve OR ma THEN 'O(n)' ELSE 'O(1)' END AS space_class FROM j"""
+
+
+@query("complexity_classes", _COMPLEX_SQL)
 def complexity_classes(t: Tables) -> DataFrame:
     """Estimated time and space class of every file."""
     s = src(t)

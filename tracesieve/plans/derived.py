@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.ordered import running
+from tracesieve.functions.ordered import ranked
+from tracesieve.session import cut_lineage
 
 # One file (and one log) per supplier and line number; its lines are ordered by order key.
 _V = "CAST(k % 5 AS STRING)"
@@ -107,6 +108,19 @@ CODE_LINES: tuple[str, ...] = (
     "'break;'",
     "'void show(std::string name) {'",
     "'}'",
+    "'name = name + suffix;'",
+    "'label = prefix + name;'",
+    "'for (size_t j = 0; j < strlen(name); ++j) {'",
+    "'}'",
+    "'for (std::string part : parts) {'",
+    "'}'",
+    f"'items' || {_V} || '.reserve(64);'",
+    "'int merged(std::vector<int> left, std::map<int, int> seen, int n) { return merged(left, seen, n / 2); }'",
+    "'int fib(int n) { return fib(n - 1) + fib(n - 2); }'",
+    "'void walk(Node* node) { walk(node->left); }'",
+    "'std::sort(items0.begin(), items0.end());'",
+    "'std::map<int, int> seen;'",
+    f"'double grid' || {_V} || '[' || CAST(k % 3000 AS STRING) || '];'",
 )
 
 
@@ -134,10 +148,10 @@ def line_chunk(col: str = "line_no"):
 
 
 def _numbered(lineitem: DataFrame) -> DataFrame:
+    """(file, line_no, k), written once: every query below reads these three numbers, not the ranking again."""
     files = lineitem.groupBy((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("file"),
                              F.col("l_orderkey").alias("ord")).agg(F.min("l_partkey").alias("k"))
-    return running(files, ["file"], F.floor(F.col("ord") / F.lit(65536)), ["ord"],
-                   {"line_no": ("sum", F.lit(1).cast("bigint"))}).select("file", "line_no", "k")
+    return cut_lineage(ranked(files, ["file"], ["ord"], "line_no").select("file", "line_no", "k"))
 
 
 def log_lines(lineitem: DataFrame) -> DataFrame:

@@ -142,10 +142,7 @@ SELECT file, severity, message, line, CAST(row_number() OVER (PARTITION BY file
  WHERE NOT (severity = 'warning' AND {any_sql('lower(message)', D.QUIET_WARNINGS)}))""")
 def diagnostic_order(t: Tables) -> DataFrame:
     """Visible diagnostics of each log in display order."""
-    from pyspark.sql import Window
-    d = parsed(t).where(~D.is_quiet(F.col("severity"), F.col("message")))
-    w = Window.partitionBy("file").orderBy(D.priority(F.col("severity"), F.col("message")), F.coalesce("line", F.lit(0)), "line_no")
-    return d.select("file", "severity", "message", "line", F.row_number().over(w).alias("place"))
+    return D.display_order(parsed(t), ["file"]).select("file", "severity", "message", "line", "place")
 
 
 # ---- normal forms and labels over the distinct messages -------------------------------------
