@@ -140,5 +140,24 @@ def test_packing(docs, rows, library):
     assert len(used) == best_fit(lengths, 1024)
 
 
+@pytest.fixture(scope="module")
+def one_piece():
+    return packing.piece_encoder(token_counts.TOKENIZER)
+
+
+@given(text=st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from("abcdefgh eéü'0 \n")), max_size=40))
+@settings(max_examples=400, deadline=None)
+def test_pieces_encode_like_the_library(one_piece, text):
+    one, lib = one_piece, token_counts.library(token_counts.TOKENIZER)
+    for piece in pretokens.split(text):
+        if not lib.holds_special(piece):
+            assert one(piece) == lib.whole(piece)
+
+
+def test_vocabulary_encodes_to_itself(one_piece):
+    """Every pre-token of the vocabulary is one token by merging by rank too."""
+    assert all(len(one_piece(p)) == 1 for p in token_counts.vocabulary_pretokens(token_counts.TOKENIZER))
+
+
 def test_empty_tables(nothing):
     assert bpe.round_trip(nothing).collect() == token_counts.count_tokens(nothing).collect() == packing.pack(nothing).collect() == []

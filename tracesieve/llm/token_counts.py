@@ -47,7 +47,7 @@ def library(name: str) -> Library:
     return Library(name)
 
 
-def _byte_alphabet() -> dict[str, int]:
+def byte_alphabet() -> dict[str, int]:
     """The printable characters that stand for bytes in a byte-level vocabulary file."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in set(shown)]
@@ -56,7 +56,7 @@ def _byte_alphabet() -> dict[str, int]:
 
 def vocabulary_pretokens(name: str = TOKENIZER) -> list[str]:
     """Entries of the vocabulary that are pre-tokens by themselves, in the order of their ids."""
-    lib, alphabet, out = library(name), _byte_alphabet(), []
+    lib, alphabet, out = library(name), byte_alphabet(), []
     for entry, _ in sorted(lib.tokenizer.get_vocab(with_added_tokens=False).items(), key=lambda x: x[1]):
         try:
             text = bytes(alphabet[c] for c in entry).decode("utf-8")
