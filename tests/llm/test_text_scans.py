@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -185,6 +186,33 @@ def test_spelled_addresses():
     assert pii.find("we met at noon. they look at the dot matrix, dot by dot", m) == []
 
 
+def test_forms_of_four_languages():
+    m = pii.model()
+    for before, data, kind in (("Tel.: ", "0171 2345678", "phone"), ("teléfono ", "912 345 678", "phone"), ("call ", "1-800-555-0199", "phone"),
+                               ("mail ", "jane (at) mail (dot) com", "email"), ("server ", "fe80::1", "ip"), ("host ", "2001:db8:5::7", "ip")):
+        assert pii.joined(pii.find(f"{before}{data} und mehr", m)) == f"{kind}:{len(before)}:{len(before) + len(data)}", data
+    assert pii.find("std::vector and a::be, Bestellung 912 345 678", m) == []
+
+
+def test_long_runs_take_linear_time():
+    """A million digits, dots, signs or letters end in seconds; a name is never cut."""
+    m = pii.model()
+    for unit in ("1", "1.", "+1", "a.", "1 ", "@", "at ", "a@", "::", "(at)"):
+        began = time.process_time()
+        pii.find(unit * (1_000_000 // len(unit)), m)
+        assert time.process_time() - began < 20, unit
+    name = "n" * 3000
+    assert (0, 0, 3000 + len(" (at) mail (dot) com")) in pii.candidates(f"{name} (at) mail (dot) com")
+
+
+def test_no_accepted_span_lies_within_a_fixed_one():
+    text = ".".join(["4111 1111 1111 1111".replace(" ", "")] * 12) + "@x.com and 555-123-4567"
+    found = pii.find(text, pii.model())
+    fixed = pii.base_spans(text)
+    assert all(s in fixed or all(s[2] <= a or b <= s[1] for _, a, b in fixed) for s in found)
+    assert pii._union([(0, 5, 9), (1, 1, 6), (2, 9, 12), (3, 20, 21)]) == [(1, 9), (9, 12), (20, 21)]
+
+
 def test_redaction(docs, rows):
     got = {r.doc_id: r for r in pii.redacted(docs).collect()}
     assert got[14].text == "mail [EMAIL] or x@y, [PHONE], [CARD], [IP] and 300.1.1.1" and got[14].n_chars == len(got[14].text)

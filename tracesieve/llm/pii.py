@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
@@ -31,20 +32,23 @@ Span = tuple[int, int, int]
 
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _EMAIL_NAME, _EMAIL_HOST = re.compile(r"[A-Za-z0-9._%+-]+\Z"), re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+# a match can only begin where a run of digits begins, and its groups take whole runs; said so, long runs cost linear time
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_AT = re.compile(r"@|\(at\)|\[at\]|\bat\b", re.I)
-_SPELLED_NAME = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s?\Z")
-_SPELLED_HOST = re.compile(r"\s?[A-Za-z0-9-]{1,64}(?:\s?(?:\.|\(dot\)|\[dot\]|\bdot\b)\s?[A-Za-z0-9-]{2,64})+", re.I)
+_AT = re.compile(r"@|\(at\)|\[at\]|(?<=\s)at(?=\s)", re.I)
+_NAME_RUN = re.compile(r"[A-Za-z0-9._%+-]+")
+_SPELLED_HOST = re.compile(r"\s?[A-Za-z0-9-]++(?:\s?(?:\.|\(dot\)|\[dot\]|\bdot\b)\s?[A-Za-z0-9-]{2,}+)+", re.I)
 _GENERATORS = {
     "ip": [re.compile(r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
+           re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?(?![0-9A-Za-z:])"),
            re.compile(r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?=\.?(?:[^0-9.]|\Z))")],
     "card": [re.compile(r"(?<![0-9])[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}(?![0-9])"), re.compile(r"(?<![0-9])[0-9]{13,19}(?![0-9])"),
              re.compile(r"(?<![0-9])3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5}(?![0-9])")],
     "phone": [re.compile(r"(?<![0-9A-Za-z+(.-])(?:\+|00)?[ (]{0,2}[0-9]{1,4}\)?(?:[ .-]{1,2}\(?[0-9]{2,4}\)?){1,4}(?![0-9A-Za-z])"),
-              re.compile(r"\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"), re.compile(r"(?<![0-9A-Za-z.])0[0-9]{8,11}(?![0-9A-Za-z])")],
+              re.compile(r"\([0-9]{2,4}\) ?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])"), re.compile(r"(?<![0-9A-Za-z.])0[0-9]{8,11}(?![0-9A-Za-z])"),
+              re.compile(r"(?<![0-9A-Za-z+.-])0[0-9]{2,4}[ /-][0-9]{5,8}(?![0-9A-Za-z])")],
     "ssn": [re.compile(r"(?<![0-9-])[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}(?![0-9-])")],
     "iban": [re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")],
 }
@@ -52,15 +56,17 @@ _ANY = re.compile(r"[0-9@]")
 
 #: Words before a candidate that speak for a kind, and those that speak against personal data.
 CUES = {
-    "email": ("mail", "e-mail", "email", "write", "contact", "reach"),
-    "ip": ("ip", "host", "server", "client", "address", "from"),
-    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "payment"),
-    "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "contact", "dial"),
+    "email": ("mail", "e-mail", "email", "write", "contact", "reach", "schreiben", "kontakt", "courriel", "correo", "escribe", "contacto"),
+    "ip": ("ip", "host", "server", "client", "address", "from", "adresse", "serveur", "servidor", "dirección"),
+    "card": ("card", "visa", "mastercard", "amex", "credit", "debit", "payment", "karte", "kreditkarte", "carte", "tarjeta", "zahlung"),
+    "phone": ("phone", "tel", "call", "mobile", "cell", "fax", "whatsapp", "contact", "dial", "telefon", "handy", "mobil", "anrufen", "rufnummer",
+              "téléphone", "appelez", "portable", "teléfono", "móvil", "llame"),
     "ssn": ("ssn", "social", "security"),
-    "iban": ("iban", "account", "bank", "transfer"),
+    "iban": ("iban", "account", "bank", "transfer", "konto", "überweisung", "compte", "banque", "cuenta", "banco"),
 }
 AGAINST = ("order", "invoice", "version", "isbn", "id", "ref", "serial", "tracking", "item", "date", "page", "total", "price", "part", "build",
-           "release", "chapter", "section", "score", "range", "table", "between")
+           "release", "chapter", "section", "score", "range", "table", "between", "bestellung", "rechnung", "seite", "datum", "preis", "commande",
+           "facture", "prix", "pedido", "factura", "página", "fecha", "precio")
 #: Precision that the thresholds reach on held-out examples.
 PRECISION = 0.99
 TREES, DEPTH, RATE, EXAMPLES, SEED = 60, 3, 0.2, 6_000, 11
@@ -115,13 +121,20 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _spelled(text: str) -> Iterator[tuple[int, int]]:
-    """Addresses with "@" or "at" in any form and case, spaced or not, found from these like `_emails`; they may overlap."""
+    """Addresses with "@" or "at" in any form and case, spaced or not, found from these like `_emails`; they may overlap.
+
+    The name before a sign is the whole run of name characters that ends there, however long.
+    """
+    ends = None
     for sign in _AT.finditer(text):
         # the host first: few words "at" are followed by one
         if host := _SPELLED_HOST.match(text, sign.end()):
-            begin = max(0, sign.start() - 65)
-            if name := _SPELLED_NAME.search(text[begin:sign.start()]):
-                yield begin + name.start(), host.end()
+            if ends is None:
+                ends = {m.end(): m.start() for m in _NAME_RUN.finditer(text)}
+            at = sign.start()
+            begin = ends.get(at, ends.get(at - 1) if text[at - 1:at].isspace() else None)
+            if begin is not None:
+                yield begin, host.end()
 
 
 def candidates(text: str) -> list[Span]:
@@ -145,17 +158,17 @@ def features(text: str, span: Span) -> list[float]:
     kind, a, b = span
     s, d = text[a:b], _digits(text[a:b])
     before, after = text[max(0, a - 40):a].lower(), text[b:b + 20].lower()
-    words = re.findall(r"[a-z-]+", before)[-5:]
+    words = re.findall(r"[^\W\d_]+(?:-[^\W\d_]+)*", before)[-5:]
     groups = re.findall(r"[0-9]+", s)
     name = KINDS[kind]
-    ok = {"card": lambda: luhn(d), "iban": lambda: _mod97(s), "ip": lambda: ":" in s or _is_ip(s),
+    ok = {"card": lambda: luhn(d), "iban": lambda: _mod97(s), "ip": lambda: (_is_ip(s) if ":" not in s else s.count(":") <= 7 and any(c.isdigit() for c in s)),
           "ssn": lambda: d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"}.get(name, lambda: True)()
     return [kind, len(s), len(d), len(groups), max(map(len, groups), default=0), min(map(len, groups), default=0), ok,
             s.startswith(("+", "00")), "(" in s, s.count("-") + s.count("."), s.count(" "), len(set(d)),
             any(w in CUES[name] for w in words), any(w in AGAINST for w in words), before[-1:] in "#$€£=/_", before[-1:].isalnum(),
             after[:1].isalnum() or after[:1] in "%°/_", d[:1] in "3456", len(re.findall(r"\.", s)), bool(re.match(r"(19|20)[0-9]{2}", d)),
             any(x in s.lower() for x in ("dot", "(at)", "[at]")), len(groups[-1]) if groups else 0,
-            "@" in s, bool(re.search(r"\w\.\s", s))]
+            "@" in s, bool(re.search(r"\w\.\s", s)), (len(d) if words and words[-1] in CUES[name] else 0)]
 
 
 class Tree(NamedTuple):
@@ -215,7 +228,7 @@ def boost(x: np.ndarray, y: np.ndarray, trees: int = TREES) -> tuple[float, list
 
 
 _FILLER = ("the of and to in is it was for on are with as at be this have from or an they which one had by word but not what all were we when your can "
-           "said there use each she how their if will up other about out many then them these so some her would make like him into time has look").split()
+           "said there use each she how their if will up other about out many then them these so some her would make like him into time has look der die und das ist mit von nicht ein auf le la les et est une dans pour que pas el los por con para como más").split()
 
 
 def _with_check(rng: random.Random, length: int, prefix: str) -> str:
@@ -246,11 +259,11 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
     card = _with_check(rng, 16, rng.choice("456"))
     wrong = card[:-1] + str((int(card[-1]) + rng.randint(1, 9)) % 10)
     good = {
-        "email": [f"{name} at {host} dot com", f"{name}(at){host}.org", f"{name} [at] {host} [dot] net", f"{name} @ {host} . com"],
-        "ip": [":".join(f"{rng.randint(0, 65535):x}" for _ in range(8)), ".".join(str(rng.randint(1, 255)) for _ in range(4))],
+        "email": [f"{name} at {host} dot com", f"{name}(at){host}.org", f"{name} [at] {host} [dot] net", f"{name} @ {host} . com", f"{name} (at) {host} (dot) com"],
+        "ip": [":".join(f"{rng.randint(0, 65535):x}" for _ in range(8)), f"fe80::{rng.randint(1, 65535):x}", f"2001:db8:{rng.randint(0, 65535):x}::{rng.randint(1, 9)}", ".".join(str(rng.randint(1, 255)) for _ in range(4))],
         "card": [card, _grouped(card, " "), _grouped(card, "-"), _with_check(rng, 15, rng.choice(["34", "37"]))],
         "phone": [f"({area}) {num(3)}-{num(4)}", f"{area}-{num(3)}-{num(4)}", f"{area}.{num(3)}.{num(4)}", f"00{num(2)} {num(3)} {num(3)} {num(3)}",
-                  f"0{num(9)}", f"0{num(2)} {num(4)} {num(4)}"],
+                  f"0{num(9)}", f"0{num(2)} {num(4)} {num(4)}", f"0{num(3)} {num(7)}", f"0{num(3)}/{num(6)}", f"1-{area}-{num(3)}-{num(4)}"],
         "ssn": [f"{rng.randint(100, 665)}-{rng.randint(10, 99)}-{num(4)}"],
         "iban": [(lambda i: rng.choice([i, _grouped(i, " ")]))(_iban(rng))],
     }
@@ -259,7 +272,8 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
            f"{num(4)}{sep}{num(4)}", f"{num(2)}-{num(3)}-{num(5)}-{num(1)}", f"978-{num(1)}-{num(4)}-{num(4)}-{num(1)}", f"{num(3)}.{num(3)}.{num(3)}", f"{num(1)}-{num(2)}",
            f"{rng.randint(0, 23):02d}.{rng.randint(0, 59):02d}.{rng.randint(0, 59):02d}", f"{rng.choice(['AB', 'XK'])}{num(2)}{num(16)}", f"000-{num(2)}-{num(4)}",
            f"{rng.choice(_FILLER)} at {rng.choice(_FILLER)}. {rng.choice(_FILLER)}", f"{rng.choice(_FILLER)} at {rng.choice(_FILLER)} . {rng.choice(_FILLER)}",
-           f"{rng.choice(_FILLER)} at {host}.com", f"{num(1)} @ {num(2)}. {rng.choice(_FILLER)}", f"look at it dot by dot", f"{rng.choice(_FILLER)} at the dot matrix", f"0.{num(9)}", f"{num(1)} {num(3)} {num(3)} {num(3)}"]
+           f"{rng.choice(_FILLER)} at {host}.com", f"{num(1)} @ {num(2)}. {rng.choice(_FILLER)}", f"look at it dot by dot", f"{rng.choice(_FILLER)} at the dot matrix", f"0.{num(9)}", f"{num(1)} {num(3)} {num(3)} {num(3)}", f"{num(3)} {num(3)} {num(3)}",
+           f"{rng.choice('abcdef')}::{rng.choice(['be', 'add', 'dead', 'fa'])}"]
     kind = rng.choice([*good, *good, "none", "none", "none", "none", "none", "none"])
     lead = words(rng.randint(0, 8))
     if kind == "none":
@@ -268,7 +282,9 @@ def example(rng: random.Random) -> tuple[str, list[Span]]:
     else:
         cue = rng.choice(CUES[kind]) if rng.random() < 0.5 else ""
         mid = rng.choice(good[kind])
-    left = " ".join(x for x in (lead, cue) if x) + rng.choice([" ", ": ", " ", " is "]) * bool(lead or cue)
+        if kind == "phone" and rng.random() < 0.3:  # a form that only its cue makes a number to call
+            cue, mid = rng.choice(CUES[kind]), f"{num(3)} {num(3)} {num(3)}"
+    left = " ".join(x for x in (lead, cue) if x) + rng.choice([" ", ": ", " ", " is ", ".: "]) * bool(lead or cue)
     if kind != "none":
         spans = [(KINDS.index(kind), len(left), len(left) + len(mid))]
         if kind == "card" and rng.random() < 0.2:
@@ -310,18 +326,28 @@ def find(text: str, trees: Model) -> list[Span]:
         if s >= trees.thresholds[c[0]]:
             scored.append((-s, c))
     if scored:
-        taken = sorted((a, b) for _, a, b in out)
+        taken = _union(out)
         for _, c in sorted(scored):
             if _free(taken, c[1], c[2]):
                 out.append(c)
     return sorted(out)
 
 
+def _union(spans: list[Span]) -> list[tuple[int, int]]:
+    """The stretches that the spans cover, disjoint and in order."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
-    """Whether [a, b) overlaps none of the sorted spans; if so it is put in its place. The fixed kinds may overlap each other, so a few are looked at."""
-    from bisect import bisect_left
+    """Whether [a, b) overlaps none of the disjoint, ordered stretches; if so it is put in its place."""
     at = bisect_left(taken, (a, a))
-    if at < len(taken) and taken[at][0] < b or any(e > a for _, e in taken[max(0, at - 8):at]):
+    if at < len(taken) and taken[at][0] < b or at and taken[at - 1][1] > a:
         return False
     taken.insert(at, (a, b))
     return True
@@ -342,7 +368,7 @@ def redact(text: str, spans: list[Span]) -> str:
 
 
 def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row; the counts and the digest are over the fixed kinds alone.
+    """(key, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) of every row; all but the last two are over the fixed kinds alone.
 
     Null and empty texts have no spans; null and repeated keys stay rows of their own. One narrow pass over whole texts.
     """
@@ -352,10 +378,10 @@ def report(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFram
         def row(k, t):
             base = base_spans(t)
             counts = [sum(s[0] == i for s in base) for i in range(BASE)]
-            return k, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(find(t, trees))
+            return k, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every := find(t, trees)), len(every)
         return row
     return map_rows(docs.select(F.col(key).cast("long").alias(key), whole_text(text)), make,
-                    f"{key} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+                    f"{key} long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(docs: DataFrame, text: str = "text", length: str | None = "n_chars") -> DataFrame:
