@@ -51,8 +51,8 @@ def test_training_learns_context():
     assert before < -6 and masked_lm.log_probabilities(w, ids, at).mean() > -3
 
 
-def test_rare_words_have_their_own_probability(docs, rows, shipped, monkeypatch):
-    """Words outside the vocabulary score as their share of the bucket, by counts that are sent and by counts that are joined."""
+def test_rare_words_have_their_own_probability(docs, rows, shipped):
+    """Words outside the vocabulary score as their cell's share of the bucket; no two words of these documents share a cell."""
     fitted = masked_lm.fit(docs)
     vocabulary, counts = masked_lm.Vocabulary(fitted[0]), Counter(w for _, t in rows for w in (t or "").lower().split())
     other = {w: i for w in counts if (i := vocabulary.ids(w)[0]) >= masked_lm.WORDS}
@@ -62,10 +62,14 @@ def test_rare_words_have_their_own_probability(docs, rows, shipped, monkeypatch)
     want = set((k, sum(np.log(counts[w] / total[other[w]]) for w in (t or "").lower().split() if w in other)) for k, t in rows)
     plain = {r.doc_id: r.log_prob for r in masked_lm.score(docs, fitted=fitted).where("doc_id IS NOT NULL").collect()}
     assert len(set(other.values())) < len(other) and min(s for _, s in want) < -10
-    for share in (10**9, 2000, 1):
-        monkeypatch.setattr(masked_lm, "COMMON", share)
-        got = masked_lm.score(docs, fitted=fitted, counts=masked_lm.word_counts(docs)).where("doc_id IS NOT NULL").collect()
-        assert all(any(k == r.doc_id and abs(r.log_prob - plain[k] - s) < 0.05 for k, s in want) for r in got)
+    found = masked_lm.word_counts(docs)
+    cells = Counter()
+    for w, n in counts.items():
+        cells[masked_lm.cell_of(w)] += n
+    assert {int(c): int(found.cells[c]) for c in np.flatnonzero(found.cells)} == dict(cells) and len(cells) == len(counts)
+    got = masked_lm.score(docs, fitted=fitted, counts=found).where("doc_id IS NOT NULL").collect()
+    assert all(any(k == r.doc_id and abs(r.log_prob - plain[k] - s) < 0.05 for k, s in want) for r in got)
+    assert fitted[0] == [w for w, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:masked_lm.WORDS]]
     same = " ".join(f"w{i}" for i in range(800)) + " "
     texts = [(i, same * 2 + ("reading" if i else "qqxzing") + " w1 w2") for i in range(6)]
     score = {r.doc_id: r.log_prob for r in masked_lm.score(shipped.createDataFrame(texts, "doc_id long, text string")).collect()}

@@ -6,7 +6,8 @@ Every token is predicted from the ``SIDE`` tokens on either side of it:
 
 and a document's score is the sum of the logarithms. Tokens are lower-cased words: the most frequent of the corpus by themselves, all others by
 a hash of their ending. Such a word's probability is that of its bucket times its share of the bucket's words in the whole corpus, so it is that
-of the word and not of the bucket. Word counts run over all documents. The network is trained in numpy, where the documents are: each task starts from
+of the word and not of the bucket. Words are counted over all documents in ``CELLS`` cells by a hash: what tasks send is bounded, whatever the
+number of distinct words, and words that share a cell share its count. The network is trained in numpy, where the documents are: each task starts from
 the same weights, takes steps on positions of all of its documents, and the tasks' weights are averaged by their numbers of positions
 (block by block over a shuffle); ``ROUNDS`` such rounds follow each other, each on other positions, all of them over the rounds. What is
 counted and trained on grows with the corpus; what comes to the driver (a vocabulary, one set of weights) doesn't. Texts are split into tokens once; the ids, two
@@ -15,6 +16,7 @@ bytes a word, are stored in the shared checkpoint folder for the rounds and the
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -40,10 +42,10 @@ ROUNDS, BATCH, RATE, SEED = 2, 512, 0.08, 5
 LANES = 16
 #: Weights travel in so many blocks, so averaging is spread over tasks.
 BLOCKS = 256
-#: Words of at least one in so many of all words have their counts sent to the tasks; the counts of all rarer ones are joined.
-COMMON = 100_000
-#: What Python's ``str.split`` takes for white space.
-SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+#: Words are counted in so many cells.
+CELLS = 1 << 22
+#: A task proposes the words of at least one in so many of its words for the vocabulary.
+PROPOSE = 20_000
 #: Tokens that are scored at once.
 CHUNK = 1 << 13
 
@@ -88,37 +90,85 @@ class Vocabulary:
         return [endings[w[-2:]] if (i := find(w)) is None else i for w in words]
 
 
-def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(word, count): the lower-cased words of all documents. Counts are summed in the tasks before the shuffle."""
-    each = docs.select(F.explode(F.split(F.lower(whole_text(text)), SPACE)).alias("word")).where("word <> ''")
-    return each.groupBy("word").count()
+def cell_of(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % CELLS
 
 
-def most_frequent(counts: DataFrame, words: int = WORDS) -> list[str]:
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word").limit(words).collect()]
+class Counts(NamedTuple):
+    """How often the words of each cell occur in the corpus, and words that may be among its most frequent."""
 
+    cells: np.ndarray
+    proposed: list[str]
 
-def frequent_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> list[str]:
-    """The ``words`` most frequent lower-cased words of all documents, ties by the word."""
-    return most_frequent(word_counts(docs, text), words)
+    def most_frequent(self, words: int = WORDS) -> list[str]:
+        """The words of the fullest cells, ties by the word. A word of at least one in ``PROPOSE`` was proposed by some task."""
+        return sorted(self.proposed, key=lambda w: (-int(self.cells[cell_of(w)]), w))[:words]
 
+    def log(self, word: str) -> float:
+        """Logarithm of the count of the word's cell; a word that no document has counts as seen once."""
+        return float(np.log(max(1, self.cells[cell_of(word)])))
 
-def bucket_totals(counts: DataFrame, words: list[str]) -> np.ndarray:
-    """Logarithm of the number of words in each token's bucket over the whole corpus; 0 for tokens that are words."""
-    out = np.zeros(TOKENS)
-    if len(words) < WORDS:
-        return out  # every word is a token
-    known = counts.sparkSession.createDataFrame([(w,) for w in words], "word string")
-    bucket = (F.crc32(F.encode(F.right("word", F.lit(2)), "utf-8")) % (TOKENS - WORDS)).alias("bucket")
-    for r in counts.join(F.broadcast(known), "word", "left_anti").groupBy(bucket).agg(F.sum("count").alias("n")).collect():
-        out[WORDS + r["bucket"]] = np.log(r["n"])
-    return out
 
+def word_counts(docs: DataFrame, text: str = "text") -> Counts:
+    """Counts of the lower-cased words of all documents.
+
+    A task adds up its words in the cells and sends the cells that it filled, in blocks; blocks are summed by several tasks. Its proposals are
+    those of its words that are frequent in it, at most ``PROPOSE``.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    shape = "block long, cells binary, counts binary, words array<string>"
+    size = CELLS // BLOCKS
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells, frequent, total = np.zeros(CELLS, np.int64), Counter(), 0
+        for b in batches:
+            some: Counter[str] = Counter()
+            for t in b.column(0).to_pylist():
+                some.update(t.lower().split())
+            n = np.fromiter(some.values(), np.int64, len(some))
+            np.add.at(cells, np.fromiter(map(cell_of, some), np.int64, len(some)), n)
+            total += int(n.sum())
+            # words are remembered while they may still reach their share
+            for w, k in some.items():
+                if w in frequent or k * PROPOSE >= total // 16:
+                    frequent[w] += k
+            if len(frequent) > 16 * PROPOSE:
+                frequent = Counter(dict(frequent.most_common(4 * PROPOSE)))
+        if not total:
+            return
+        words = [w for w, k in frequent.most_common(PROPOSE) if k * PROPOSE >= total]
+        for block in range(BLOCKS):
+            part = cells[block * size:(block + 1) * size]
+            filled = np.flatnonzero(part)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([filled.astype(np.int32).tobytes()], pa.binary()),
+                                              pa.array([part[filled].tobytes()], pa.binary()), pa.array([words[block::BLOCKS]], pa.list_(pa.string()))],
+                                             schema=arrow_schema(shape))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        words: dict[int, set[str]] = {}
+        for b in batches:
+            for block, filled, counts, proposed in zip(*(c.to_pylist() for c in b.columns)):
+                cells = sums.setdefault(block, np.zeros(size, np.int64))
+                cells[np.frombuffer(filled, np.int32)] += np.frombuffer(counts, np.int64)
+                words.setdefault(block, set()).update(proposed)
+        for block, cells in sums.items():
+            filled = np.flatnonzero(cells)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([filled.astype(np.int32).tobytes()], pa.binary()),
+                                              pa.array([cells[filled].tobytes()], pa.binary()), pa.array([sorted(words[block])], pa.list_(pa.string()))],
+                                             schema=arrow_schema(shape))
+
+    summed = docs.select(whole_text(text)).mapInArrow(task, shape).repartition("block").mapInArrow(total, shape)
+    cells, proposed = np.zeros(CELLS, np.int64), set()
+    for r in summed.toLocalIterator():  # a row per block
+        cells[r["block"] * size + np.frombuffer(r["cells"], np.int32)] = np.frombuffer(r["counts"], np.int64)
+        proposed.update(r["words"])
+    return Counts(cells, sorted(proposed))
 
-def common_logs(counts: DataFrame) -> dict[str, float]:
-    """Logarithms of the counts of the words that are at least one in ``COMMON`` of all: no more than that many."""
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return {r["word"]: float(np.log(r["count"])) for r in counts.where(F.col("count") >= total / COMMON).collect()}
+
+def frequent_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> list[str]:
+    """The ``words`` most frequent lower-cased words of all documents, ties by the word."""
+    return word_counts(docs, text).most_frequent(words)
 
 
 def stream_of(documents: list[np.ndarray | list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -128,28 +178,42 @@ def stream_of(documents: list[np.ndarray | list[int]]) -> tuple[np.ndarray, np.n
     return ids, np.flatnonzero(ids != PAD)
 
 
-def encode(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", common: dict[str, float] | None = None) -> DataFrame:
-    """(key, ids): every whole text as packed unsigned 16-bit token ids, two bytes a word.
+def encode(docs: DataFrame, words: list[str], text: str = "text", key: str = "doc_id", counts: Counts | None = None) -> DataFrame:
+    """(key, ids, logs): every whole text as packed unsigned 16-bit token ids, two bytes a word.
 
-    With ``common`` also (logs, rare): of the words that aren't tokens, the sum of the logarithms that are given, and the others.
+    ``logs`` is the sum of the logarithms of the counts of the words that aren't tokens, 0 without ``counts``.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, common))
+    # four bytes a cell; a float32 logarithm is exact to seven digits
+    logs = None if counts is None else np.log(np.maximum(counts.cells, 1)).astype(np.float32)
+    shared = docs.sparkSession.sparkContext.broadcast((words, logs))
 
     def make():
         known, given = shared.value
         vocabulary = Vocabulary(known)
         if given is None:
-            return lambda k, t: (k, np.array(vocabulary.ids(t), "<u2").tobytes())
+            return lambda k, t: (k, np.array(vocabulary.ids(t), "<u2").tobytes(), 0.0)
+        logs = Memo(lambda w: float(given[cell_of(w)]))
 
         def row(k, t):
             found = t.lower().split()
             ids = vocabulary.of(found)
-            others = [w for w, i in zip(found, ids) if i >= WORDS]
-            logs = [given.get(w) for w in others]
-            return k, np.array(ids, "<u2").tobytes(), sum(x for x in logs if x is not None), [w for w, x in zip(others, logs) if x is None]
+            return k, np.array(ids, "<u2").tobytes(), sum(logs[w] for w, i in zip(found, ids) if i >= WORDS)
         return row
-    shape = f"{key} long, ids binary" + ("" if common is None else ", logs double, rare array<string>")
-    return map_rows(docs.select(F.col(key).cast("long").alias(key), whole_text(text)), make, shape)
+    return map_rows(docs.select(F.col(key).cast("long").alias(key), whole_text(text)), make, f"{key} long, ids binary, logs double")
+
+
+def bucket_totals(encoded: DataFrame) -> np.ndarray:
+    """Logarithm of the number of words in each token's bucket over the whole corpus; 0 for tokens that are words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(TOKENS, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                n += np.bincount(np.frombuffer(x, "<u2"), minlength=TOKENS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(WORDS, TOKENS)), pa.array(n[WORDS:])], schema=arrow_schema("token long, n long"))
+    out = np.zeros(TOKENS)
+    for r in encoded.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).collect():
+        out[r["token"]] = np.log(max(1, r["n"]))
+    return out
 
 
 def _hidden(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -299,47 +363,36 @@ def _blocks(flat: np.ndarray, positions: int, shape: str) -> pa.RecordBatch:
 
 
 def score(docs: DataFrame, text: str = "text", key: str = "doc_id", fitted: tuple[list[str], Weights] | None = None,
-          counts: DataFrame | None = None) -> DataFrame:
+          counts: Counts | None = None) -> DataFrame:
     """(key, n_tokens, log_prob, mean_log_prob, perplexity) of every whole text, by a model of the same documents unless one is given.
 
-    A given model knows no words besides its tokens and scores the buckets of all others, unless ``counts`` (word, count) come with it; words that
-    these don't have count as seen once. Null, empty and blank texts have no tokens: log_prob 0, mean_log_prob and perplexity null. Repeated rows
-    repeat; null keys stay.
+    A given model knows no words besides its tokens and scores the buckets of all others, unless ``counts`` come with it (the buckets' totals are
+    those of the documents scored); words that these don't have count as seen once. Null, empty and blank texts have no tokens: log_prob 0,
+    mean_log_prob and perplexity null. Repeated rows repeat; null keys stay.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if not fitted:
         counts = word_counts(docs, text)
-    if counts is not None:
-        counts = cut_lineage(counts)
-    words = fitted[0] if fitted else most_frequent(counts)
-    totals = bucket_totals(counts, words) if counts is not None else np.zeros(TOKENS)
-    encoded = encode(docs, words, text, key, common_logs(counts) if counts is not None else None)
+    words = fitted[0] if fitted else counts.most_frequent()
+    encoded = encode(docs, words, text, key, counts)
     if counts is not None:
         encoded = cut_lineage(encoded)
-    else:
-        encoded = encoded.withColumn("logs", F.lit(0.0))
-    # numbers of stored rows stay the same however often they are read
-    encoded = encoded.withColumn("row", F.monotonically_increasing_id())
+    totals = bucket_totals(encoded) if counts is not None else np.zeros(TOKENS)
     shared = spark.sparkContext.broadcast(((fitted[1] if fitted else learn(encoded)).flat(), totals))
-    shape = f"row long, {key} long, n_tokens long, log_prob double"
+    shape = f"{key} long, n_tokens long, log_prob double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, less = unflat(shared.value[0]), shared.value[1]
         for batch in batches:
-            documents = _documents(batch.column(2))
+            documents = _documents(batch.column(1))
             ids, at = stream_of(documents)
             sums = np.r_[0.0, np.cumsum(log_probabilities(w, ids, at) - less[ids[at]])]
             n = np.array([len(d) for d in documents], np.int64)
             ends = np.cumsum(n)
-            logs = sums[ends] - sums[ends - n] + batch.column(3).to_numpy()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(logs, pa.float64())], schema=arrow_schema(shape))
+            logs = sums[ends] - sums[ends - n] + batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(logs, pa.float64())], schema=arrow_schema(shape))
 
-    scored = encoded.select("row", key, "ids", "logs").mapInArrow(run, shape)
-    if counts is not None:
-        # a word that is seen once adds the logarithm of 1
-        rare = encoded.select("row", F.explode("rare").alias("word")).join(counts.where("count > 1"), "word")
-        more = rare.groupBy("row").agg(F.sum(F.log("count")).alias("more"))
-        scored = scored.join(more, "row", "left").withColumn("log_prob", F.col("log_prob") + F.coalesce("more", F.lit(0.0)))
+    scored = encoded.select(key, "ids", "logs").mapInArrow(run, shape)
     mean = F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens"))
     return scored.select(key, "n_tokens", "log_prob", mean.alias("mean_log_prob"), F.when(mean.isNotNull(), F.exp(F.least(-mean, F.lit(700.0)))).alias("perplexity"))
