@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from tracesieve.operators import execution as EX
@@ -119,3 +121,49 @@ def test_merge_keeps_null_sets_apart(spark):
     assert m[2].blocks_on == [] and m[2].evidence == "x"
     d = {r.k: r.action for r in V.decide(V.merge_findings(df, ["k"], ["agent"]).withColumn("purpose", F.lit("run")), "purpose").collect()}
     assert d == {1: "block", 2: "allow"}
+
+
+def reach(edges):
+    """{file: files reached over one edge or more} by walking from each file."""
+    out = {}
+    for start in {a for a, _ in edges}:
+        seen, todo = set(), [b for a, b in edges if a == start]
+        while todo:
+            n = todo.pop()
+            if n not in seen:
+                seen.add(n)
+                todo += [b for a, b in edges if a == n]
+        out[start] = seen
+    return out
+
+
+def test_header_findings_equal_a_walk(spark):
+    """Random include graphs with chains, branches and cycles, with and without stops on them."""
+    rnd = random.Random(31)
+    for n, extra in ((12, 4), (25, 6), (25, 20)):
+        edges = {(i, i + 1) for i in range(n - 1) if rnd.random() < 0.8} | {(rnd.randrange(n), rnd.randrange(n)) for _ in range(extra)}
+        lines = [(a, rnd.randrange(1, 50), b) for a, b in edges for _ in range(rnd.randint(1, 2))]
+        bad = rnd.sample(range(n), 4)
+        gone = rnd.choice([i for i in range(n) if i not in bad])
+        kept = {(a, b) for a, b in edges if b != gone}
+        beyond, want = reach(kept), {}
+        for a, at, b in lines:
+            if b != gone:
+                for h in ({b} | beyond.get(b, set())) & set(bad) - {a}:
+                    want[a, h] = min(at, want.get((a, h), 99))
+        inc = spark.createDataFrame(lines, "file bigint, line_no bigint, header bigint")
+        f = spark.createDataFrame([(b, 1, "c", "High") for b in bad], "file bigint, line_no bigint, category string, severity string")
+        sizes = spark.createDataFrame([(i, 10) for i in range(n) if i != gone], "file bigint, bytes bigint")
+        got = [(r.file, r.header, r.line_no) for r in EX.header_findings(inc, f, sizes).collect()]
+        assert sorted(got) == sorted((a, h, at) for (a, h), at in want.items())
+
+
+def test_header_chain_stays_linear(spark):
+    """On a chain of 10,000 files with findings at its end each file has one pointer and one pair."""
+    n = 10_000
+    edges = spark.range(n - 1).select(F.col("id").alias("file"), (F.col("id") + 1).alias("header"))
+    end = spark.createDataFrame([(n - 1, 3, "c", "High")], "file bigint, line_no bigint, category string, severity string")
+    pointers = EX.next_stops(edges, end.select("file"))
+    assert pointers.count() == n and pointers.where(F.col("stop") != n - 1).isEmpty()
+    got = EX.header_findings(edges.withColumn("line_no", F.lit(1).cast("bigint")), end, spark.range(n).select(F.col("id").alias("file"), F.lit(1).alias("bytes")))
+    assert got.count() == n - 1

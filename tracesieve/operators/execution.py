@@ -1,6 +1,8 @@
 """Execution and resource risk of source texts."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,20 +97,74 @@ def include_closure(edges: DataFrame) -> DataFrame:
         size = seen
 
 
+def next_stops(edges: DataFrame, stops: DataFrame) -> DataFrame:
+    """(file, stop): the first of ``stops`` (file) at or behind each file, along files that include just one other.
+
+    Every file that includes several others must be a stop. Files without any stop behind them are left out. Pointers double in each round: a
+    chain takes as many rounds as its length has binary digits, and a file never has more than one row.
+    """
+    stops = stops.select("file").distinct()
+    one = edges.groupBy("file").agg(F.count("*").alias("__n"), F.min("header").alias("at")).where("__n = 1").select("file", "at")
+    mark = stops.select(F.col("file").alias("at"), F.lit(True).alias("there"))
+    walk = cut_lineage(one.join(stops, "file", "left_anti").join(mark, "at", "left").select("file", "at", F.coalesce("there", F.lit(False)).alias("there")))
+    for _ in range(int(walk.count()).bit_length() + 1):  # a cycle without stops never gets anywhere
+        if walk.where("NOT there").isEmpty():
+            break
+        on = walk.select(F.col("file").alias("at"), F.col("at").alias("next"), F.col("there").alias("next_there"))
+        moved = walk.where("NOT there").join(on, "at").select("file", F.col("next").alias("at"), F.col("next_there").alias("there"))
+        walk = cut_lineage(walk.where("there").unionByName(moved))
+    return stops.select("file", F.col("file").alias("stop")).unionByName(walk.where("there").select("file", F.col("at").alias("stop")))
+
+
+def reached_targets(edges: DataFrame, targets: DataFrame) -> DataFrame:
+    """(file, target): every one of ``targets`` (file) that include edges (file, header) lead to, from files where they branch or that are targets.
+
+    Targets travel backwards over the edges, each pair once, in rounds as long as the longest way; a way back into a cycle finds its pairs known.
+    """
+    front = cut_lineage(edges.join(targets.select(F.col("file").alias("header")).distinct(), "header", "left_semi")
+                        .select("file", F.col("header").alias("target")).distinct())
+    known = [front]
+    while not front.isEmpty():
+        back = edges.select("file", F.col("header").alias("__at"))
+        found = back.join(front.withColumnRenamed("file", "__at"), "__at").select("file", "target").distinct()
+        for k in known:
+            found = found.join(k, ["file", "target"], "left_anti")
+        front = cut_lineage(found)
+        known.append(front)
+        if len(known) > 8:
+            known = [cut_lineage(reduce(DataFrame.unionByName, known))]
+    return reduce(DataFrame.unionByName, known)
+
+
 def header_findings(includes: DataFrame, findings: DataFrame, sizes: DataFrame, max_bytes: int | None = None,
                     max_depth: int | None = None) -> DataFrame:
     """Findings of local headers, reported at the first line of the top file that leads to them.
 
     includes: (file, line_no, header); findings: (file, ...) of every file; sizes: (file, bytes) of the files that exist. All headers
     are followed to any depth unless limits are asked for; each counts once per top file.
+
+    Only headers with findings are carried, from stop to stop: a stop has findings or includes several files, and the files between two stops
+    are skipped at once. So the rows are those of the result and of the edges, not all pairs of files. A limit on the depth
+    bounds the pairs by itself and needs their lengths, so it goes through `include_closure`.
     """
     there = (sizes if max_bytes is None else sizes.where(F.col("bytes") <= max_bytes)).select(F.col("file").alias("header"))
-    first = includes.join(there, "header").groupBy("file", "header").agg(F.min("line_no").alias("line_no"))
-    beyond = include_closure(first.select("file", "header")).withColumnRenamed("file", "via").withColumnRenamed("header", "reached")
+    first = cut_lineage(includes.join(there, "header").groupBy("file", "header").agg(F.min("line_no").alias("line_no")))
     if max_depth is not None:
-        beyond = beyond.where(F.col("hops") < max_depth)
-    far = first.join(beyond, first["header"] == beyond["via"]).select("file", F.col("reached").alias("header"), "line_no")
-    reached = first.select("file", "header", "line_no").unionByName(far).where("file <> header").groupBy("file", "header").agg(F.min("line_no").alias("line_no"))
+        beyond = include_closure(first.select("file", "header")).withColumnRenamed("file", "via").withColumnRenamed("header", "reached").where(F.col("hops") < max_depth)
+        far = first.join(beyond, first["header"] == beyond["via"]).select("file", F.col("reached").alias("header"), "line_no")
+        all_ = first.select("file", "header", "line_no").unionByName(far)
+    else:
+        edges = first.select("file", "header")
+        targets = cut_lineage(findings.select("file").distinct())
+        branching = edges.groupBy("file").agg(F.count("*").alias("__n")).where("__n > 1").select("file")
+        stops = cut_lineage(targets.unionByName(branching).distinct())
+        following = cut_lineage(next_stops(edges, stops)).withColumnRenamed("file", "header")
+        short = cut_lineage(edges.join(stops, "file", "left_semi").join(following, "header").select("file", F.col("stop").alias("header")).distinct())
+        beyond = reached_targets(short, targets).withColumnRenamed("file", "stop")
+        near = first.join(following, "header").select("file", "stop", "line_no")
+        own = near.join(targets.withColumnRenamed("file", "stop"), "stop", "left_semi").select("file", F.col("stop").alias("header"), "line_no")
+        all_ = own.unionByName(near.join(beyond, "stop").select("file", F.col("target").alias("header"), "line_no"))
+    reached = all_.where("file <> header").groupBy("file", "header").agg(F.min("line_no").alias("line_no"))
     return reached.join(findings.withColumnRenamed("file", "header").drop("line_no"), "header").select("file", "line_no", "header", "category", "severity")
 
 
