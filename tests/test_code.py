@@ -167,3 +167,24 @@ def test_header_chain_stays_linear(spark):
     assert pointers.count() == n and pointers.where(F.col("stop") != n - 1).isEmpty()
     got = EX.header_findings(edges.withColumn("line_no", F.lit(1).cast("bigint")), end, spark.range(n).select(F.col("id").alias("file"), F.lit(1).alias("bytes")))
     assert got.count() == n - 1
+
+
+def test_macros_resolve_like_walks(spark):
+    """Random reference graphs: level by level where there is no cycle behind, walked where there is; the same as walking all."""
+    rnd = random.Random(12)
+    macros, edges = [], []
+    for f in range(6):
+        n = rnd.randint(3, 9)
+        macros += [(f, f"m{i}", float(rnd.choice([0.0, 0.5, 1.5]))) for i in range(n)]
+        edges += [(f, f"m{i}", f"m{j}", float(rnd.randint(1, 3))) for i in range(n) for j in range(i + 1, n) if rnd.random() < 0.4]
+        if f % 2:
+            edges += [(f, f"m{n - 1}", "m1", 2.0)]
+    m = spark.createDataFrame(macros, "file bigint, name string, lm double")
+    e = spark.createDataFrame(edges, "file bigint, name string, ref string, w double")
+    starts = m.select("file", F.col("name").alias("start"))
+    walked = {(r.file, r.start): (r.lg, r.depth) for r in EX.walked_macros(m, e, starts).collect()}
+    ended = {(r.file, r.start): (r.lg, r.depth) for r in EX.resolved_macros(m, e).collect()}
+    behind = {f: reach({(a, b) for g, a, b, _ in edges if g == f}) for f in range(6)}
+    cyclic = {(f, x) for f, x, _ in macros for y in {x, *behind[f].get(x, ())} if y in behind[f].get(y, ())}
+    assert set(ended) == {(f, x) for f, x, _ in macros} - cyclic and cyclic
+    assert all(abs(ended[k][0] - walked[k][0]) < 1e-9 and ended[k][1] == walked[k][1] for k in ended)

@@ -262,14 +262,62 @@ DEFINE = r"^\s*#\s*define\s+([A-Za-z_]\w*)(?:\(([^)]*)\))?\s*(.*)$"
 GROWTH_LIMIT, DEEP, WIDE = 1_000_000.0, 8, 4
 
 
+#: Levels of macros that are resolved between two looks at how many are left.
+LEVELS_AT_ONCE = 6
+
+
+def resolved_macros(macros: DataFrame, edges: DataFrame) -> DataFrame:
+    """(file, start, lg, depth) of the macros whose expansion ends: logarithm of the growth, and levels of macros within.
+
+    macros: (file, name, lm); edges: (file, name, ref, w), ref not name. A macro is resolved once all that it refers to are, so macros come by
+    topological level, one row each, and a level is one join: lg = lm + sum of w times the lg of the references. Macros on cycles, or that
+    lead to one, are never resolved and left out. Lineage is cut, and the rest counted, once in ``LEVELS_AT_ONCE`` levels.
+    """
+    degree = edges.groupBy("file", "name").agg(F.count("*").alias("refs"))
+    base = cut_lineage(macros.select("file", "name", "lm").join(degree, ["file", "name"], "left").na.fill(0, ["refs"]))
+    links = edges.select("file", "name", F.col("ref").alias("__ref"), "w")
+    done = base.where("refs = 0").select("file", "name", F.col("lm").alias("lg"), F.lit(1).alias("depth"))
+    size = -1
+    while True:
+        for _ in range(LEVELS_AT_ONCE):
+            seen = links.join(done.withColumnRenamed("name", "__ref"), ["file", "__ref"]).groupBy("file", "name").agg(
+                F.count("*").alias("__n"), F.sum(F.col("w") * F.col("lg")).alias("__more"), F.max("depth").alias("__d"))
+            full = base.join(seen, ["file", "name"], "left").where(F.col("refs") == F.coalesce("__n", F.lit(0)))
+            done = full.select("file", "name", (F.col("lm") + F.coalesce("__more", F.lit(0.0))).alias("lg"), (F.coalesce("__d", F.lit(0)) + 1).alias("depth"))
+        done = cut_lineage(done)
+        now = done.count()
+        if now == size:
+            return done.withColumnRenamed("name", "start")
+        size = now
+
+
+def walked_macros(macros: DataFrame, edges: DataFrame, starts: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """(file, start, lg, depth) of ``starts`` (file, start), by following expansion paths step by step.
+
+    Each step carries one row per (start macro, macro reached) with the number of paths, never the paths themselves. Paths that return to
+    their start end there; others are followed for as many steps as the file has macros, or ``max_depth``.
+    """
+    longest = cut_lineage(macros.groupBy("file").agg(F.count("*").alias("macros")))
+    links = edges.join(macros.select("file", F.col("name").alias("ref"), "lm"), ["file", "ref"]).select("file", F.col("name").alias("at"), "ref", "w", "lm")
+    own = starts.join(macros.select("file", F.col("name").alias("start"), F.col("lm").alias("lg")), ["file", "start"])
+    total = own.select("file", "start", "lg", F.lit(1).alias("depth"))
+    front = cut_lineage(own.select("file", "start", F.col("start").alias("at"), F.lit(1.0).alias("paths")))
+    step = 1
+    while (max_depth is None or step < max_depth) and not front.isEmpty():
+        step += 1
+        front = front.join(longest.where(F.col("macros") >= step), "file", "left_semi")
+        front = cut_lineage(front.join(links, ["file", "at"]).where("ref <> start").groupBy("file", "start", F.col("ref").alias("at"), "lm")
+                            .agg(F.sum(F.col("paths") * F.col("w")).alias("paths")))
+        total = total.unionByName(front.groupBy("file", "start").agg(F.sum(F.col("paths") * F.col("lm")).alias("lg")).withColumn("depth", F.lit(step)))
+        front = front.drop("lm")
+    return total.groupBy("file", "start").agg(F.sum("lg").alias("lg"), F.max("depth").alias("depth"))
+
+
 def macro_bombs(lines: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Files whose macro definitions expand explosively: (file, growth, depth, fanout, bomb).
 
-    Expansion is followed on weighted reference edges, one join per level: each step carries one
-    row per (start macro, macro reached) with the number of expansion paths, never the paths
-    themselves. Growth is kept as a logarithm, because a product over paths is a weighted sum.
-    Lineage is cut at every level; the loop ends when no edge is left. Expansion that has not ended after
-    as many steps as the file has macros runs in a cycle and is followed no further. ``max_depth`` ends it earlier.
+    Growth is kept as a logarithm, because a product over expansion paths is a weighted sum. Macros without cycles behind them are resolved
+    level by level, one row per macro; only those on or before a cycle are walked from each start. With ``max_depth`` all are walked so far.
     """
     m = lines.where(F.col("raw").rlike(DEFINE)).select(
         "file", "line_no", F.regexp_extract("raw", DEFINE, 1).alias("name"), F.regexp_extract("raw", DEFINE, 2).alias("params"),
@@ -278,29 +326,18 @@ def macro_bombs(lines: DataFrame, max_depth: int | None = None) -> DataFrame:
     words = F.regexp_extract_all("body", F.lit(r"\b([A-Za-z_]\w*)\b"), F.lit(1))
     par = F.filter(F.transform(F.split("params", ","), lambda p: F.trim(p)), lambda p: p != "")
     mult = F.greatest(F.lit(1), F.coalesce(F.array_max(F.transform(par, lambda p: F.size(F.filter(F.col("__w"), lambda w: w == p)))), F.lit(1)))
-    macros = cut_lineage(last.withColumn("__w", words).select("file", "name", F.col("__w").alias("words"), mult.cast("double").alias("mult")))
-    edges = (macros.select("file", "name", F.explode("words").alias("ref")).where("ref <> name")
-             .groupBy("file", "name", "ref").agg(F.count("*").cast("double").alias("w"))
-             .join(macros.select("file", F.col("name").alias("ref"), F.log("mult").alias("lm")), ["file", "ref"]))
-    edges = cut_lineage(edges)
+    macros = cut_lineage(last.withColumn("__w", words).select("file", "name", F.col("__w").alias("words"), F.log(mult.cast("double")).alias("lm")))
+    edges = cut_lineage(macros.select("file", "name", F.explode("words").alias("ref")).where("ref <> name")
+                        .groupBy("file", "name", "ref").agg(F.count("*").cast("double").alias("w"))
+                        .join(macros.select("file", F.col("name").alias("ref")), ["file", "ref"], "left_semi"))
     fan = edges.groupBy("file", "name").agg(F.sum("w").alias("fan")).groupBy("file").agg(F.max("fan").alias("fanout"))
-    total = macros.select("file", F.col("name").alias("start"), F.log("mult").alias("lg"), F.lit(1).alias("depth"))
-    front = macros.select("file", F.col("name").alias("start"), F.col("name").alias("at"), F.lit(1.0).alias("paths"))
-    longest = cut_lineage(macros.groupBy("file").agg(F.count("*").alias("macros")))
-    step = 1
-    while max_depth is None or step < max_depth:
-        step += 1
-        front = front.join(longest.where(F.col("macros") >= step), "file", "left_semi")
-        front = (front.join(edges.select("file", F.col("name").alias("at"), "ref", "w", "lm"), ["file", "at"])
-                 .where("ref <> start").groupBy("file", "start", F.col("ref").alias("at"), "lm").agg(F.sum(F.col("paths") * F.col("w")).alias("paths")))
-        front = cut_lineage(front)
-        if front.isEmpty():
-            break
-        total = total.unionByName(front.groupBy("file", "start").agg(F.sum(F.col("paths") * F.col("lm")).alias("lg"))
-                                  .withColumn("depth", F.lit(step)))
-        front = front.drop("lm")
-    per = total.groupBy("file", "start").agg(F.sum("lg").alias("lg"), F.max("depth").alias("depth")).groupBy("file").agg(
-        F.max("lg").alias("lg"), F.max("depth").alias("depth"))
+    starts = macros.select("file", F.col("name").alias("start"))
+    if max_depth is None:
+        ended = resolved_macros(macros, edges)
+        per = ended.unionByName(walked_macros(macros, edges, starts.join(ended, ["file", "start"], "left_anti")))
+    else:
+        per = walked_macros(macros, edges, starts, max_depth)
+    per = per.groupBy("file").agg(F.max("lg").alias("lg"), F.max("depth").alias("depth"))
     nested = lines.select("file", F.explode(F.regexp_extract_all("raw", F.lit(r"\b([A-Za-z_]\w*)\s*\(\s*\1\b"), F.lit(1))).alias("name")).distinct() \
         .join(macros.select("file", "name"), ["file", "name"]).groupBy("file").agg(F.count("*").alias("nested"))
     j = per.join(fan, "file", "left").join(nested, "file", "left")

@@ -295,7 +295,24 @@ def oversized_texts(t: Tables) -> DataFrame:
     return EX.size_findings(t.documents, "doc_id", "text")
 
 
-@query("macro_bombs")
+_W = r"'\b([A-Za-z_]\w*)\b'"
+_NESTED = r"'\b([A-Za-z_]\w*)\s*\(\s*([A-Za-z_]\w*)'"  # pairs; the name repeated is the case of equal ones
+_MACROS_SQL = CODE.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + f""", md AS (SELECT file, regexp_extract(raw, {q(EX.DEFINE)}, 1) AS name, arg_max({{'p': regexp_extract(raw, {q(EX.DEFINE)}, 2), 'b': regexp_extract(raw, {q(EX.DEFINE)}, 3)}}, line_no) AS d
+  FROM src WHERE regexp_matches(raw, {q(EX.DEFINE)}) GROUP BY 1, 2),
+mc AS (SELECT file, name, w, ln(greatest(1, coalesce(list_max(list_transform(list_filter(list_transform(string_split(d.p, ','), lambda p: trim(p)), lambda p: p <> ''), lambda p: len(list_filter(w, lambda x: x = p)))), 1))::DOUBLE) AS lm
+  FROM (SELECT *, regexp_extract_all(d.b, {_W}, 1) AS w FROM md)),
+eg AS (SELECT e.file, e.name, e.ref, count(*)::DOUBLE AS w, any_value(mc.lm) AS lm FROM (SELECT file, name, unnest(w) AS ref FROM mc) e JOIN mc ON mc.file = e.file AND mc.name = e.ref WHERE ref <> e.name GROUP BY 1, 2, 3),
+sz AS (SELECT file, count(*) AS n FROM mc GROUP BY 1),
+wk AS (SELECT file, name AS start, name AS at, 1.0::DOUBLE AS paths, lm, 1 AS step FROM mc UNION ALL
+  SELECT wk.file, start, ref, paths * w, eg.lm, step + 1 FROM wk JOIN eg ON eg.file = wk.file AND eg.name = wk.at JOIN sz ON sz.file = wk.file WHERE ref <> start AND step < n),
+per AS (SELECT file, max(lg) AS lg, max(d) AS depth FROM (SELECT file, start, sum(paths * lm) AS lg, max(step) AS d FROM wk GROUP BY 1, 2) GROUP BY 1),
+fn AS (SELECT file, max(f) AS fanout FROM (SELECT file, name, sum(w) AS f FROM eg GROUP BY 1, 2) GROUP BY 1),
+ns AS (SELECT file, count(*) AS nested FROM (SELECT DISTINCT file, a AS name FROM (SELECT file, unnest(regexp_extract_all(raw, {_NESTED}, 1)) AS a, unnest(regexp_extract_all(raw, {_NESTED}, 2)) AS b FROM src) WHERE a = b) x JOIN mc USING (file, name) GROUP BY 1),
+g AS (SELECT file, lg + coalesce(nested, 0) * ln(2.0::DOUBLE) AS growth, depth, coalesce(fanout, 0) AS fanout FROM per LEFT JOIN fn USING (file) LEFT JOIN ns USING (file))
+SELECT file, round(growth / ln(10.0::DOUBLE), 4) AS log10_growth, depth, CAST(fanout AS BIGINT) AS fanout, growth >= ln(1000000.0::DOUBLE) - 1e-9 OR (depth >= {EX.DEEP} AND fanout >= {EX.WIDE}) AS bomb FROM g"""
+
+
+@query("macro_bombs", _MACROS_SQL)
 def macro_bombs(t: Tables) -> DataFrame:
     """Expansion estimate of the macro definitions of every file."""
     return EX.macro_bombs(src(t))

@@ -120,6 +120,13 @@ CODE_LINES: tuple[str, ...] = (
     "'void walk(Node* node) { walk(node->left); }'",
     "'std::sort(items0.begin(), items0.end());'",
     "'std::map<int, int> seen;'",
+    f"'#define STEP CALL' || {_V} || ' CALL' || {_V}",
+    "'#define TWICE(x) STEP x x'",
+    "'#define DEEP(x) TWICE(x) TWICE(x) x x x'",
+    "'#define BLAST(x) DEEP(x) DEEP(x) DEEP(x) DEEP(x) DEEP(x) x'",
+    "'#define ROUND TURN TURN'",
+    "'#define TURN(y) ROUND TWICE(y) y'",
+    "'TWICE(TWICE(b));'",
     f"'double grid' || {_V} || '[' || CAST(k % 3000 AS STRING) || '];'",
 )
 
