@@ -11,7 +11,7 @@ from tracesieve.operators import structure as ST
 from tracesieve.operators import weakness as W
 from tracesieve.functions.text import strip_code
 from tracesieve.plans.derived import CODE_SQL, code_lines
-from tracesieve.plans.registry import Tables, query
+from tracesieve.plans.registry import ORACLES, Tables, query
 from tracesieve.plans.sqltext import in_sql, q
 from tracesieve.session import share
 
@@ -198,19 +198,50 @@ def resource_leaks(t: Tables) -> DataFrame:
     return W.resource_leaks(src(t))
 
 
-@query("function_weaknesses")
+# RE2 has no look-behind: the character before a call is matched instead
+_BEFORE = r"(?:^|[^A-Za-z0-9_:.>-])"
+_COUNT_SQL = "CASE WHEN trim({0}) IN ('', 'void') THEN 0 ELSE len(string_split(regexp_replace({0}, '\\([^()]*\\)', '', 'g'), ',')) END"
+_OWN_SQL = f"'{_BEFORE}' || fn || '\\s*\\(([^;{{}}]*)\\)'"
+_FUNCTION_SQL = FUNCS.rstrip() + f""", mk AS (SELECT *, regexp_matches(body, {_OWN_SQL}) AND {_COUNT_SQL.format(f"regexp_extract(body, {_OWN_SQL}, 1)")} = {_COUNT_SQL.format("params")} AS rec,
+  regexp_matches(code, '\\b(?:if|switch|while)\\s*\\(|\\?') OR (regexp_matches(code, '\\breturn\\b') AND NOT regexp_matches(code, '{_BEFORE}' || fn || '\\s*\\(')) AS base FROM inn),
+rt AS (SELECT DISTINCT file, line_no, fl, unnest(regexp_extract_all(code, '\\breturn\\s+&\\s*([A-Za-z_]\\w*)\\s*;', 1)) AS var FROM inn),
+lv AS (SELECT file, fl, var, min(line_no) AS l FROM (SELECT file, line_no, fl, unnest(regexp_extract_all(code, {q(W.LOCAL_DECL)}, 1)) AS var FROM inn WHERE NOT regexp_matches(code, '\\bstatic\\b'))
+  WHERE var NOT IN ('return', 'if', 'for', 'while', 'switch', 'case', 'struct', 'class', 'namespace') GROUP BY 1, 2, 3)
+SELECT file, line_no, 'Infinite Recursion' AS finding_type, 'Critical' AS severity FROM mk WHERE rec AND (file, fl) NOT IN (SELECT (file, fl) FROM mk WHERE base)
+UNION ALL SELECT rt.file, line_no, 'Dangling Pointer', 'Critical' FROM rt JOIN lv ON lv.file = rt.file AND lv.fl = rt.fl AND lv.var = rt.var WHERE l <= line_no"""
+
+
+@query("function_weaknesses", _FUNCTION_SQL)
 def function_weaknesses(t: Tables) -> DataFrame:
     """Endless recursion and addresses of locals."""
     return W.function_findings(src(t))
 
 
-@query("sign_mismatch")
+_COMPARED = r"\b([A-Za-z_]\w*)\s*(?:<|<=|>|>=)\s*([A-Za-z_]\w*)\b"
+_SIGN_SQL = FUNCS.rstrip() + f""", fl AS (SELECT s.file, s.line_no, s.code, coalesce(inn.fl, 0) AS fl FROM src s LEFT JOIN inn ON inn.file = s.file AND inn.line_no = s.line_no),
+sg AS (SELECT file, fl, var, min(CASE WHEN t = 'u' THEN line_no END) AS ul, min(CASE WHEN t = 's' THEN line_no END) AS sl FROM (
+  SELECT file, fl, line_no, 'u' AS t, unnest(regexp_extract_all(code, '\\b(?:unsigned(?:\\s+(?:int|char|long|short))?|uint\\w*|size_t)\\s+([A-Za-z_]\\w*)', 1)) AS var FROM fl
+  UNION ALL SELECT file, fl, line_no, 's', unnest(regexp_extract_all(code, '\\b(?:int|long|short)\\s+([A-Za-z_]\\w*)', 1)) FROM fl) GROUP BY 1, 2, 3),
+cm AS (SELECT file, fl, line_no, regexp_extract(code, {q(_COMPARED)}, 1) AS a, regexp_extract(code, {q(_COMPARED)}, 2) AS b FROM fl WHERE regexp_matches(code, {q(_COMPARED)}) AND NOT contains(code, 'static_cast')),
+kd AS (SELECT cm.*, x.ul <= line_no AS au, x.sl <= line_no AS as_, y.ul <= line_no AS bu, y.sl <= line_no AS bs FROM cm
+  JOIN sg x ON x.file = cm.file AND x.fl = cm.fl AND x.var = a JOIN sg y ON y.file = cm.file AND y.fl = cm.fl AND y.var = b)
+SELECT file, line_no, 'Signed/Unsigned Mismatch' AS finding_type, 'Medium' AS severity FROM kd
+WHERE (coalesce(au, false) AND NOT coalesce(as_, false) AND coalesce(bs, false) AND NOT coalesce(bu, false)) OR (coalesce(as_, false) AND NOT coalesce(au, false) AND coalesce(bu, false) AND NOT coalesce(bs, false))"""
+
+
+@query("sign_mismatch", _SIGN_SQL)
 def sign_mismatch(t: Tables) -> DataFrame:
     """Signed and unsigned variables compared."""
     return W.sign_mismatch(src(t))
 
 
-@query("weakness_codes")
+_ALL_WEAKNESSES = ("line_weaknesses", "assert_weaknesses", "proximity_weaknesses", "uninitialised_uses", "null_uses", "arithmetic_uses", "vector_bounds",
+                   "resource_leaks", "function_weaknesses", "sign_mismatch", "free_misuse")
+_CWE_SQL = "CASE finding_type " + " ".join(f"WHEN {q(name)} THEN {q(cwe)}" for name, cwe, _ in V.TAXONOMY) + " END"
+
+
+@query("weakness_codes", "SELECT file, string_agg(DISTINCT cwe, ';' ORDER BY cwe) AS codes FROM (SELECT file, " + _CWE_SQL + " AS cwe FROM ("
+       + " UNION ALL ".join(f"SELECT file, finding_type FROM ({ORACLES[name]})" for name in _ALL_WEAKNESSES) + ")) WHERE cwe IS NOT NULL GROUP BY file")
 def weakness_codes(t: Tables) -> DataFrame:
     """Sorted CWE set of every file over all static rules."""
     from tracesieve.operators.evaluation import codes_per_file
