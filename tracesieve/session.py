@@ -61,7 +61,7 @@ def ship_package(spark: SparkSession) -> None:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints: the cluster's ``spark.checkpoint.dir``; a scratch folder
-    only where that is unset (single-machine tests)."""
+    only where that is unset and driver and executors share the machine (tests). Elsewhere it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if named:
@@ -70,6 +70,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(made)
     return made
