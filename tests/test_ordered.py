@@ -1,3 +1,4 @@
+import math
 import random
 import re
 
@@ -143,6 +144,22 @@ def test_energy_of_a_burst(spark):
         assert abs(got[i] - total * 1000) < 1e-6
 
 
+def test_running_energy_is_the_exact_sum(spark):
+    rnd = random.Random(5)
+    us = sorted(rnd.randrange(10 ** 10) for _ in range(6000))
+    rows = [(i, t, rnd.random() * 100) for i, t in enumerate(us)]
+    df = spark.createDataFrame(rows, "event_id bigint, us bigint, pct double").repartition(4)
+    got = G.energy(df, "us", "event_id", F.col("pct"), ranges=6).orderBy("us", "event_id").collect()
+    for n in range(100, len(got), 97):
+        assert math.isclose(got[n].co2_mg, math.fsum(r.step_wh for r in got[:n + 1]) * 475.0, rel_tol=5e-16)
+
+
+def test_action_energy_takes_the_last_of_samples_at_one_time(spark):
+    m = spark.createDataFrame([(i, 7, float(i), 1e-9, "a", 5) for i in (3, 1, 4, 2)], "event_id bigint, us bigint, power_mw double, step_wh double, action string, action_start bigint")
+    actions = spark.createDataFrame([("a", 5, 3_600_000_005)], "label string, start bigint, end bigint")
+    for parts in (1, 4):
+        assert G.action_energy(m.repartition(parts), actions, "us", "event_id").collect()[0].energy_mwh == 4.0
+
 def test_wilson_golden(spark):
     def iv(k, n, **kw):
         lo, hi = wilson(F.lit(k), F.lit(n), **kw)

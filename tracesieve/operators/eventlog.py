@@ -63,7 +63,8 @@ def energy(samples: DataFrame, at: str, ident: str, load_pct: Column, ranges: in
 
     ``at`` in microseconds. The gap to the sample before is clamped to [0.1, 5] seconds; the first
     sample counts one second. The time line is cut where samples are, not by the clock: running sums are computed per range of
-    about equally many samples and offset across ranges, so a burst is split like any other stretch.
+    about equally many samples and offset across ranges, so a burst is split like any other stretch. Steps are added as decimals:
+    a running sum of doubles drifts by more than the digits reported after some million samples, and differs with the cuts.
     """
     line = by_ranges(samples, [at, ident], ranges)
     prev = carry_forward(line, [], F.col(RANGE), [at, ident], {"__prev": F.col(at)})
@@ -71,8 +72,8 @@ def energy(samples: DataFrame, at: str, ident: str, load_pct: Column, ranges: in
     dt = F.when(gap.isNull(), F.lit(1.0)).otherwise(F.greatest(F.lit(0.1), F.least(F.lit(5.0), gap)))
     watts = F.lit(IDLE_WATTS) + F.lit(LOAD_WATTS) * F.greatest(F.lit(0.0), F.least(F.lit(1.0), load_pct / 100.0))
     s = prev.withColumns({"power_mw": watts * 1000.0, "step_wh": watts * dt / 3600.0}).drop("__prev")
-    out = running(s, [], F.col(RANGE), [at, ident], {"__wh": ("sum", F.col("step_wh"))})
-    return out.withColumns({"energy_mwh": F.col("__wh") * 1000.0, "co2_mg": F.col("__wh") * GRAMS_PER_KWH}).drop("__wh", RANGE)
+    out = running(s, [], F.col(RANGE), [at, ident], {"__wh": ("sum", F.col("step_wh").cast("decimal(30,20)"))})
+    return out.withColumn("__wh", F.col("__wh").cast("double")).withColumns({"energy_mwh": F.col("__wh") * 1000.0, "co2_mg": F.col("__wh") * GRAMS_PER_KWH}).drop("__wh", RANGE)
 
 
 def running_action(samples: DataFrame, actions: DataFrame, at: str, ident: str, ranges: int | None = None) -> DataFrame:
@@ -91,10 +92,10 @@ def running_action(samples: DataFrame, actions: DataFrame, at: str, ident: str,
         "action_start": F.when(live, F.col("__last.start"))}).drop("__a", "__last")
 
 
-def action_energy(metered: DataFrame, actions: DataFrame, at: str) -> DataFrame:
-    """Seconds, energy and CO2 per action: the steps inside it, or an estimate for fast ones."""
+def action_energy(metered: DataFrame, actions: DataFrame, at: str, ident: str) -> DataFrame:
+    """Seconds, energy and CO2 per action: the steps inside it, or an estimate for fast ones from the power of its last sample."""
     per = metered.where("action <> 'idle'").groupBy(F.col("action").alias("label"), F.col("action_start").alias("start")).agg(
-        (F.sum("step_wh") * 1000.0).alias("__mwh"), F.max_by("power_mw", at).alias("__mw"))
+        (F.sum("step_wh") * 1000.0).alias("__mwh"), F.max_by("power_mw", F.struct(at, ident)).alias("__mw"))
     j = actions.join(per, ["label", "start"], "left")
     seconds = F.greatest(F.lit(0.01), (F.col("end") - F.col("start")) / F.lit(1e6))
     mwh = F.coalesce("__mwh", F.lit(0.0))

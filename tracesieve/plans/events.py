@@ -128,7 +128,7 @@ SELECT label, start, round(seconds, 6) AS seconds, round(e, 6) AS energy_mwh, ro
 def action_energy(t: Tables) -> DataFrame:
     """Seconds, energy and CO2 of every action."""
     m, actions = metered(t)
-    e = G.action_energy(m, actions, "us")
+    e = G.action_energy(m, actions, "us", "event_id")
     return e.select("label", "start", *[F.round(c, 6).alias(c) for c in ("seconds", "energy_mwh", "co2_mg")])
 
 
