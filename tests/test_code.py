@@ -188,3 +188,20 @@ def test_macros_resolve_like_walks(spark):
     cyclic = {(f, x) for f, x, _ in macros for y in {x, *behind[f].get(x, ())} if y in behind[f].get(y, ())}
     assert set(ended) == {(f, x) for f, x, _ in macros} - cyclic and cyclic
     assert all(abs(ended[k][0] - walked[k][0]) < 1e-9 and ended[k][1] == walked[k][1] for k in ended)
+
+
+def test_line_text_is_the_case_text(spark):
+    from tracesieve.plans import derived as D
+    for lines in (D.LOG_LINES, D.CODE_LINES):
+        df = spark.range(-200, 400).selectExpr("id AS k", "id * 7 AS file").union(spark.sql("SELECT CAST(NULL AS BIGINT), 1L"))
+        both = df.select(F.expr(D.case_text(lines)).alias("a"), F.expr(f"transform(array(k), k -> {D.line_text(lines)})[0]").alias("b"))
+        assert both.where("NOT (a <=> b)").count() == 0
+
+
+def test_lines_of_pairs_are_not_moved(spark):
+    df = spark.createDataFrame([(1, "a\nsystem(x);", "a\nSYSTEM(x);\nsystem( y);"), (2, "b", "system(x);"), (3, None, "fork();")],
+                               "pair bigint, original string, patched string").repartition(4, "pair")
+    d = P.new_dangers(df, "pair")
+    assert sorted(map(tuple, d.collect())) == [(1, "process_execution"), (2, "process_execution"), (3, "process_execution")]
+    moved = [x for x in d._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x and "#" in x and "line" in x]
+    assert not moved

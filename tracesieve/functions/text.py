@@ -297,4 +297,5 @@ def strip_code(c: Column) -> Column:
                 .when(t.rlike("^[\x22']"), F.lit(""))
                 .otherwise(t))
 
-    return F.array_join(F.transform(tokens, keep), "")
+    cut = F.array_join(F.transform(tokens, keep), "")
+    return F.when(has_any(c, ('"', "'", "//", "/*")), cut).otherwise(c)  # else every token is plain

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.rules import all_matches
+from tracesieve.functions.text import has_any
 from tracesieve.operators.structure import count_within, scopes, with_depth
 from tracesieve.session import cut_lineage
 
@@ -26,6 +27,11 @@ NETWORK_INCLUDE = r'#\s*include\s*[<"](?:sys/socket\.h|netinet/in\.h|arpa/inet\.
 FILE_OPEN = r"\b(?:fopen|freopen|open|ifstream|ofstream|fstream)\b|(?:::|\b)filesystem::"
 DESTRUCTIVE = r"\b(?:remove|unlink|rmdir|rename|remove_all)\s*\("
 ENVIRONMENT = r"\b(?:getenv|_dupenv_s|GetEnvironmentVariable[A-Za-z0-9_]*)\s*\("
+#: Substrings without one of which no execution rule can match, by the column that the rules read.
+CODE_HINTS = ("system", "popen", "exec", "posix_spawn", "fork", "CreateProcess", "ShellExecute", "WinExec", "asm", "dlopen", "dlsym", "LoadLibrary",
+              "GetProcAddress", "socket", "getaddrinfo", "gethostbyname", "inet_addr", "WSAStartup", "curl_easy_init", "open", "stream",
+              "remove", "unlink", "rmdir", "rename", "getenv", "_dupenv_s", "GetEnvironmentVariable")
+RAW_HINTS = ("define", "include", "constructor", "pragma")
 LITERAL = r'"((?:[^"\\]|\\.)*+)"'
 STARTUP = r"__attribute__\s*\(\s*\(\s*constructor\s*\)\s*\)|#\s*pragma\s+.*?\b(?:startup|init_seg)\b"
 ALIAS = r"^\s*#\s*define\s+([A-Za-z_]\w*)\s+([A-Za-z_]\w*)"
@@ -65,7 +71,8 @@ def execution_findings(lines: DataFrame, keep: tuple[str, ...] = ("file", "line_
         (~comment & (sys_header != "") & (sys_header != "socket.h"), f("unsafe_include", "High")),
         (~comment & raw.rlike(r"#\s*include\s*<unistd\.h>"), f("unsafe_include", "Low")),
     ])
-    return lines.select(*keep, F.explode(hits).alias("h")).select(*keep, "h.category", "h.severity")
+    hint = has_any(code, CODE_HINTS) | has_any(raw, RAW_HINTS)  # most lines end here
+    return lines.select(*keep, F.explode(F.when(hint, hits)).alias("h")).select(*keep, "h.category", "h.severity")
 
 
 def alias_calls(lines: DataFrame) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.rules import all_matches
-from tracesieve.functions.text import SECRET_KINDS, boundary_leak, explode_lines, strip, strip_code
+from tracesieve.functions.text import SECRET_KINDS, boundary_leak, injection_form, secret_hint, split_lines, strip, strip_code
 from tracesieve.operators.execution import execution_findings
-from tracesieve.operators.scans import injection_counts
+from tracesieve.operators.scans import NORMAL_RULES, RAW_RULES
 from tracesieve.operators.weakness import LINE_RULES
 from tracesieve.session import share
 
@@ -48,9 +48,13 @@ BACKDOORS: tuple[tuple[str, str, str], ...] = (
 
 def line_changes(pairs: DataFrame, pid: str) -> DataFrame:
     """(pid, line, was, now): how often each line occurs on both sides."""
-    old = explode_lines(pairs, "original", pid).select(pid, "line", F.lit(1).alias("was"), F.lit(0).alias("now"))
-    new = explode_lines(pairs, "patched", pid).select(pid, "line", F.lit(0).alias("was"), F.lit(1).alias("now"))
-    return old.unionByName(new).groupBy(pid, "line").agg(F.sum("was").alias("was"), F.sum("now").alias("now"))
+    def side(c: str, was: int) -> Column:
+        return F.transform(F.coalesce(split_lines(F.col(c)), F.array().cast("array<string>")),
+                           lambda l: F.struct(l.alias("line"), F.lit(was).alias("was"), F.lit(1 - was).alias("now")))
+
+    # both sides from one reading of the pair; input dealt out by pair stays where it is
+    return pairs.select(pid, F.explode(F.concat(side("original", 1), side("patched", 0))).alias("l")).select(pid, "l.*") \
+        .groupBy(pid, "line").agg(F.sum("was").alias("was"), F.sum("now").alias("now"))
 
 
 def _is_comment(c: Column) -> Column:
@@ -65,11 +69,14 @@ def change_profile(pairs: DataFrame, pid: str, changes: DataFrame | None = None)
     def seen(cond: Column) -> Column:
         return F.coalesce(F.bool_or(cond), F.lit(False))
 
+    def names(word: str) -> Column:
+        return F.col("line").contains(word) & F.col("line").rlike(rf"\b{word}\b")
+
     flags = {}
     for i, (safe, bad) in enumerate(DOWNGRADES):
-        flags[f"safe_{i}"] = seen(removed & F.col("line").rlike(rf"\b{safe}\b"))
-        flags[f"bad_{i}"] = seen(added & F.col("line").rlike(rf"\b{bad}\b"))
-        flags[f"had_{i}"] = seen((F.col("was") > 0) & F.col("line").rlike(rf"\b{safe}\b"))
+        flags[f"safe_{i}"] = seen(removed & names(safe))
+        flags[f"bad_{i}"] = seen(added & names(bad))
+        flags[f"had_{i}"] = seen((F.col("was") > 0) & names(safe))
     code_part = F.split_part(F.col("line"), F.lit("//"), F.lit(1))
     per_line = c.groupBy(pid).agg(
         F.sum("was").alias("old_lines"), F.sum("now").alias("new_lines"), F.sum(F.abs(F.col("now") - F.col("was"))).alias("changed"),
@@ -99,11 +106,25 @@ def new_headers() -> Column:
     return F.filter(fresh, lambda x: ~(x.isin(*STANDARD_HEADERS) | F.regexp_extract(x, r"[^/]*$", 0).isin(*STANDARD_HEADERS)))
 
 
+def _with_words(pairs: DataFrame, *sides: str) -> DataFrame:
+    """Adds the normalised words of texts once, for all rules that read them."""
+    return pairs.withColumns({f"__w_{c}": injection_form(F.coalesce(F.col(c), F.lit(""))) for c in sides})
+
+
+def _rules_hit(side: str) -> dict[str, Column]:
+    """Whether each injection rule fires on one side of `_with_words`."""
+    out: dict[str, Column] = {}
+    for c, rules in ((F.coalesce(F.col(side), F.lit("")), RAW_RULES), (F.col(f"__w_{side}"), NORMAL_RULES)):
+        for name, _, p in rules:
+            out[name] = out[name] | c.rlike(p) if name in out else c.rlike(p)
+    return out
+
+
 def _new_rules() -> Column:
-    old, new = injection_counts(F.coalesce(F.col("original"), F.lit(""))), injection_counts(F.coalesce(F.col("patched"), F.lit("")))
+    old, new = _rules_hit("original"), _rules_hit("patched")
     cond = F.lit(False)
     for k in new:
-        cond = cond | ((new[k] > 0) & (old[k] == 0))
+        cond = cond | (new[k] & ~old[k])
     return cond
 
 
@@ -111,18 +132,16 @@ def _new_secrets() -> Column:
     cond = F.lit(False)
     for _, p, _ in SECRET_KINDS:
         cond = cond | (F.col("patched").rlike(p) & ~F.col("original").rlike(p))
-    return cond
+    return secret_hint(F.col("patched")) & cond
 
 
 def new_dangers(pairs: DataFrame, pid: str) -> DataFrame:
     """(pid, category) of High execution risks whose evidence is new in the patch."""
-    sides = []
-    for side, flag in (("original", 0), ("patched", 1)):
-        l = explode_lines(pairs, side, pid).select(pid, F.col("line").alias("raw"), strip_code(F.col("line")).alias("code"), F.lit(flag).alias("s"))
-        sides.append(execution_findings(l, (pid, "s", "raw")))
-    f = sides[0].unionByName(sides[1]).where("severity = 'High'")
+    # a line is judged once a pair; it is new if the original lacks it, and so is its evidence if no other line of the original shows it
+    lines = line_changes(pairs, pid).select(pid, F.col("line").alias("raw"), strip_code(F.col("line")).alias("code"), F.when(F.col("was") > 0, 0).otherwise(1).alias("s"))
+    f = execution_findings(lines, (pid, "s", "raw")).where("severity = 'High'")
     ev = F.lower(strip(F.regexp_replace("raw", r"\s+", " ")))
-    g = f.groupBy(pid, "category", ev.alias("ev")).agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
+    g = f.groupBy(pid, "category", ev.alias("ev")).agg(F.min("s").alias("lo"))
     return g.where("lo = 1").select(pid, "category").distinct()
 
 
@@ -133,9 +152,9 @@ def patch_gate(pairs: DataFrame, pid: str) -> DataFrame:
     """
     pairs = share(pairs)
     prof = change_profile(pairs, pid)
-    j = pairs.join(prof, pid, "left")
+    j = _with_words(pairs, "original", "patched").withColumn("__heads", new_headers()).join(prof, pid, "left")
     allowed = F.when(F.col("origin") == "ai", F.greatest(F.lit(AI_MIN_LINES), F.floor(F.coalesce("old_lines", F.lit(0)) * AI_SHARE))).otherwise(F.lit(OFFLINE_LINES))
-    heads = new_headers()
+    heads = F.col("__heads")
     odd = F.filter(heads, lambda x: ~x.isin(*WATCHED_HEADERS))
     watched = F.filter(heads, lambda x: x.isin(*WATCHED_HEADERS))
     down = F.lit(False)
@@ -161,10 +180,11 @@ def patch_gate(pairs: DataFrame, pid: str) -> DataFrame:
 def patch_audit(pairs: DataFrame, pid: str) -> DataFrame:
     """(pid, category, severity) of the five adversarial vectors."""
     pairs = share(pairs)
-    j = pairs.join(change_profile(pairs, pid), pid, "left")
+    code = {"__before": strip_code(F.col("original")), "__after": strip_code(F.col("patched"))}
+    j = _with_words(pairs, "patched").withColumns(code).join(change_profile(pairs, pid), pid, "left")
     inj = F.lit(False)
-    for c in injection_counts(F.coalesce(F.col("patched"), F.lit(""))).values():
-        inj = inj | (c > 0)
+    for c in _rules_hit("patched").values():
+        inj = inj | c
     down = F.lit(False)
     for i, (safe, _) in enumerate(DOWNGRADES):
         if safe in ("strncpy", "fgets", "snprintf"):
@@ -174,8 +194,8 @@ def patch_audit(pairs: DataFrame, pid: str) -> DataFrame:
         return F.struct(F.lit(cat).alias("category"), F.lit(sev).alias("severity"))
 
     # weakness types that occur more often after the patch than before
-    before, after = strip_code(F.col("original")), strip_code(F.col("patched"))
-    grown = [(F.regexp_count(after, F.lit(r.pattern)) > F.regexp_count(before, F.lit(r.pattern)),
+    before, after = F.col("__before"), F.col("__after")
+    grown = [(after.rlike(r.pattern) & (F.regexp_count(after, F.lit(r.pattern)) > F.regexp_count(before, F.lit(r.pattern))),
               f(r.name.lower().replace(" ", "_"), r.severity)) for r in LINE_RULES if r.severity in ("Critical", "High") and r.on == "code" and not r.pattern.startswith("^")]
     hits = all_matches([
         (boundary_leak(F.col("patched")), f("patch_marker_leak", "Critical")), (inj, f("agent_manipulation", "High")),

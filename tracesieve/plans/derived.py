@@ -136,6 +136,19 @@ def case_text(lines: tuple[str, ...], key: str = "k") -> str:
     return f"CASE CAST({key} % {len(lines)} AS INT) {arms} END"
 
 
+def line_text(lines: tuple[str, ...]) -> str:
+    """The text `case_text` gives for a key ``k``: halves of the table are tried instead of one line after the other.
+
+    To be used inside a lambda: as part of a generated stage the whole table would be one method, too long for the JVM to compile.
+    """
+    def half(lo: int, hi: int) -> str:
+        if hi - lo == 1:
+            return lines[lo]
+        mid = (lo + hi) // 2
+        return f"CASE WHEN CAST(k % {len(lines)} AS INT) < {mid} THEN {half(lo, mid)} ELSE {half(mid, hi)} END"
+    return f"CASE WHEN k >= 0 THEN {half(0, len(lines))} WHEN k % {len(lines)} = 0 THEN {lines[0]} END"
+
+
 FILES_SQL = """
 files AS (
   SELECT l_suppkey * 10 + l_linenumber AS file, l_orderkey AS ord, min(l_partkey) AS k
@@ -163,9 +176,9 @@ def _numbered(lineitem: DataFrame) -> DataFrame:
 
 def log_lines(lineitem: DataFrame) -> DataFrame:
     """(file, line_no, k, line) of compiler logs."""
-    return _numbered(lineitem).withColumn("line", F.expr(case_text(LOG_LINES)))
+    return _numbered(lineitem).withColumn("line", F.expr(f"transform(array(k), k -> {line_text(LOG_LINES)})[0]"))
 
 
 def code_lines(lineitem: DataFrame) -> DataFrame:
     """(file, line_no, k, raw) of C-like source."""
-    return _numbered(lineitem).withColumn("raw", F.expr(case_text(CODE_LINES)))
+    return _numbered(lineitem).withColumn("raw", F.expr(f"transform(array(k), k -> {line_text(CODE_LINES)})[0]"))

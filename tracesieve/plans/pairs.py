@@ -9,7 +9,7 @@ from tracesieve.operators import match as MT
 from tracesieve.operators import patches as P
 from tracesieve.operators import scans as S
 from tracesieve.plans.code import EXEC_RULES, STRIPPED
-from tracesieve.plans.derived import CODE_LINES, case_text
+from tracesieve.plans.derived import CODE_LINES, case_text, line_text
 from tracesieve.plans.registry import Tables, query
 from tracesieve.plans.sqltext import STRIP, in_sql, q
 
@@ -35,12 +35,18 @@ ch AS (SELECT pair, line, sum(was) AS was, sum(now) AS now FROM sl GROUP BY 1, 2
 
 
 def pairs(t: Tables) -> DataFrame:
-    """The same texts as the SQL twin, with one CASE inside a lambda instead of one per line."""
-    step = f"transform(sequence(0, {_N - 1}), i -> "
-    old = f"array_join({step}{_line('(o_custkey + i)')}), chr(10)) || {_PRE}"
-    new = f"array_join({step}{_line('(o_custkey + i + CASE WHEN o_orderkey % (i + 2) = 0 THEN 5 ELSE 0 END)')}), chr(10)) || {_EXTRA}"
+    """The same texts as the SQL twin, with one CASE inside a lambda instead of one per line.
+
+    Orders are dealt out by pair while they are three narrow columns, so that whatever groups or joins by pair moves no text.
+    """
+    def joined(key: str) -> str:
+        return f"array_join(transform(transform(sequence(0, {_N - 1}), i -> {key}), k -> {line_text(CODE_LINES)}), chr(10))"
+
+    old = f"{joined('o_custkey + i')} || {_PRE}"
+    new = f"{joined('o_custkey + i + CASE WHEN o_orderkey % (i + 2) = 0 THEN 5 ELSE 0 END')} || {_EXTRA}"
     cols = {**PAIR_COLS, "original": old, "patched": new}
-    return t.orders.select(*[F.expr(e).alias(n) for n, e in cols.items()])
+    orders = t.orders.select("o_orderkey", "o_custkey", "o_orderstatus").repartition("o_orderkey")
+    return orders.select(*[F.expr(e).alias(n) for n, e in cols.items()])
 
 
 @query("line_changes", PAIRS_SQL + " SELECT pair, CAST(sum(was) AS BIGINT) AS old_lines, CAST(sum(now) AS BIGINT) AS new_lines, CAST(sum(greatest(now - was, 0)) AS BIGINT) AS added, CAST(sum(greatest(was - now, 0)) AS BIGINT) AS removed FROM ch GROUP BY 1")
