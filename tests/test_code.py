@@ -205,3 +205,10 @@ def test_lines_of_pairs_are_not_moved(spark):
     assert sorted(map(tuple, d.collect())) == [(1, "process_execution"), (2, "process_execution"), (3, "process_execution")]
     moved = [x for x in d._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x and "#" in x and "line" in x]
     assert not moved
+
+
+def test_no_join_is_broadcast_by_a_guess(spark):
+    import __spark_entry__ as entry
+    for name in ("baseline_policy", "tfidf_weights"):
+        plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" in plan and "BroadcastHashJoin" not in plan

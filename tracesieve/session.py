@@ -43,7 +43,14 @@ def tune(spark: SparkSession) -> None:
 
     The excluded rule adds a filter "array not empty" below every explode and thereby evaluates the
     exploded expression (tokenising, splitting, scanning) a second time, inlined. Rules that a user excluded stay excluded.
+
+    Small sides of joins are broadcast by their measured size only: Spark guesses 20 bytes for a text made from a few numbers and ignores
+    what an explode adds, so a guess below the limit may be a table too large for the driver.
     """
+    guessed = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if guessed != "-1":
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", guessed)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     rules = [r for r in spark.conf.get("spark.sql.optimizer.excludedRules", "").split(",") if r]
     if _GENERATE_FILTERS not in rules:
