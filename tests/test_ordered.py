@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions import ordered as O
 from tracesieve.functions.stats import Z_SHORT, wilson
+from tracesieve.functions.ordered import numbered
+from tracesieve.operators import diagnostics as DG
 from tracesieve.operators import eventlog as G
 from tracesieve.operators import stateful as H
 from tracesieve.operators.dataset import assert_no_leakage, cap_per_class
@@ -185,3 +187,49 @@ def test_leakage_assert(spark):
         assert "train_test" in str(e)
     else:
         raise AssertionError("leak not reported")
+
+
+def test_numbered(spark):
+    """Places by a hot key, over stretches, with nulls and repeats; one exchange of the rows themselves."""
+    rows = [(i % 7 and 1, (i * 37) % 500 - 100, i) for i in range(2000)] + [(None, 5, 1), (None, 9, 2), (1, None, 3), (2, 1 << 40, 4)]
+    df = spark.createDataFrame(rows, "g int, at bigint, v int")
+    got = numbered(df, "g", "at", [F.min("v").alias("v")], "n", width=64)
+    want = {}
+    for g, at, v in rows:
+        want[g, at] = min(v, want.get((g, at), v))
+    expected, seen = set(), {}
+    for g, at in sorted(want, key=lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0)):
+        seen[g] = seen.get(g, 0) + 1
+        expected.add((g, at, want[g, at], seen[g]))
+    assert {(r.g, r.at, r.v, r.n) for r in got.collect()} == expected
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mark_blocks_across_chunks(spark):
+    """Blocks opened in one chunk and closed in a later one, chunks without events, lines that open and close; marked with one cached copy."""
+    from tracesieve import session
+    rnd = random.Random(5)
+    texts = [DG.BLOCK_OPEN + " x", DG.BLOCK_CLOSE, DG.BLOCK_OPEN + " " + DG.BLOCK_CLOSE] + ["a.c:1: error: b"] * 9
+    rows = [(f, i, rnd.choice(texts)) for f in range(6) for i in range(1, 200)]
+    df = spark.createDataFrame(rows, "file int, line_no int, line string")
+    held = len(session._SHARED)
+    got = DG.mark_blocks(df, ["file"], F.floor(F.col("line_no") / 7))
+    assert len(session._SHARED) == held + 1
+    want, file = set(), None
+    for f, i, line in rows:
+        if f != file:
+            file, state, n = f, "c", 0
+        o, c = DG.BLOCK_OPEN in line, DG.BLOCK_CLOSE in line
+        inside = state == "o"
+        n += o and not inside
+        want.add((f, i, n if inside or o else None))
+        state = "c" if c else "o" if o else state
+    assert {(r.file, r.line_no, r.block) for r in got.collect()} == want
+
+
+def test_label_chains_lower_a_text_once(spark):
+    df = spark.createDataFrame([("Unused Variable 'x'",)], "m string")
+    from tracesieve.operators import labels as L
+    for label in (L.override, L.phrase_label, L.verified_label, L.failure_reason, L.keyword_candidates):
+        plan = df.select(label(F.col("m")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("lower(") == 1, label

@@ -49,6 +49,24 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ou
     return placed.join(first, same).withColumn(out, F.col(out) - F.col("__first") + 1).drop("__first", *[f"__{k}" for k in keys])
 
 
+def numbered(df: DataFrame, key: str, at: str, aggs: Sequence[Column], out: str, width: int = 1 << 20) -> DataFrame:
+    """One row per (key, at) with ``aggs``, and ``out``, its place (from 1, bigint) in the key by ``at``; both are integers, nulls come last.
+
+    Rows are dealt by key and stretch of ``at`` once; grouping and places need no other exchange. A stretch holds at most ``width`` different
+    ``at``, so no task sorts more of a key than that, however hot it is. Only one count per stretch crosses the key.
+    """
+    dealt = ["__k", "__null", "__s"]
+    last = (1 << 63) - 1
+    rows = df.withColumns({"__k": F.coalesce(F.col(key).cast("bigint"), F.lit(0)), "__null": F.col(key).isNull(),
+                           "__s": F.coalesce(F.floor(F.col(at) / F.lit(width)), F.lit(last))}).repartition(*dealt)
+    local = rows.groupBy(*dealt, at).agg(*aggs).withColumn(out, F.row_number().over(Window.partitionBy(*dealt).orderBy(at)).cast("bigint"))
+    before = Window.partitionBy("__k", "__null").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    starts = local.groupBy(*dealt).agg(F.count("*").alias("__n")) \
+        .select(*dealt, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return local.join(starts, dealt).withColumns({out: F.col("__start") + F.col(out), key: F.when(~F.col("__null"), F.col("__k"))}) \
+        .drop(*dealt, "__start")
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column]) -> DataFrame:
     """First row of each key in the given total order.
 

@@ -1,7 +1,7 @@
 """Rule tables compiled to expressions: first match, all matches, keyword ranking."""
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,11 @@ class LineRule:
     origin: str = "attack"
 
 
+def bound(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(c)`` with ``c`` made once a row, however often ``use`` names it; branches of CASE chains share no expressions otherwise."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
 def any_of(c: Column, phrases: Iterable[str]) -> Column:
     """True when the text holds one of the literal phrases."""
     cond = F.lit(False)

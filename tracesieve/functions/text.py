@@ -1,16 +1,23 @@
 """Text cleaning, masking and normalising as column expressions (no Python per row)."""
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracesieve.functions.rules import bound
+
 # Line terminators of Python's splitlines.
 LINE_BREAK = r"\r\n|[\n\r\x0B\x0C\x1C-\x1E\x{85}\x{2028}\x{2029}]"
 
 
 def strip(c: Column) -> Column:
-    """Whitespace trim on both ends, Unicode aware (``trim`` only removes blanks)."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    """Whitespace trim on both ends, Unicode aware (``trim`` only removes blanks). Texts that begin and end in visible ASCII stay as they are."""
+    def trimmed(x: Column) -> Column:
+        visible = [F.substring(x, at, 1).between("!", "~") for at in (1, -1)]
+        return F.when(visible[0] & visible[1], x).otherwise(F.regexp_replace(x, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", ""))
+    return bound(c, trimmed)
 
 
 def split_lines(c: Column) -> Column:
@@ -51,7 +58,9 @@ def _java(p: str) -> str:
 def dataset_form(c: Column) -> Column:
     """Message with quoted tokens replaced by what they are, blanks collapsed."""
     for pattern, name in TOKEN_NAMES:
-        c = F.regexp_replace(c, "(?i)" + _java(pattern), name)
+        literal = re.sub(r"\\(.)", r"\1", pattern)
+        plain = not re.search(r"[a-zA-Z]", literal) and re.fullmatch(pattern, literal)
+        c = F.replace(c, F.lit(literal), F.lit(name)) if plain else F.regexp_replace(c, "(?i)" + _java(pattern), name)
     return strip(F.regexp_replace(c, " {2,}", " "))
 
 

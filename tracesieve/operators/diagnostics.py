@@ -7,12 +7,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracesieve.functions.ordered import carry_forward, ranked, running
+from tracesieve.functions.ordered import ranked
 from tracesieve.functions.rules import any_of
 from tracesieve.functions.text import strip
+from tracesieve.session import share
 
 
 @dataclass(frozen=True)
@@ -58,17 +59,30 @@ def mark_blocks(lines: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     opening line inside a block opens nothing.
     """
     opens, closes = F.col("line").contains(BLOCK_OPEN), F.col("line").contains(BLOCK_CLOSE)
-    event = F.when(closes, F.lit("c")).when(opens, F.lit("o"))
-    with_state = carry_forward(lines, keys, chunk, ["line_no"], {"__state": event})
-    inside = F.coalesce(F.col("__state") == "o", F.lit(False))
-    counted = running(with_state, keys, chunk, ["line_no"],
-                      {"__blk": ("sum", (opens & ~inside).cast("bigint"))})
-    return counted.withColumn("block", F.when(inside | opens, F.col("__blk"))).drop("__state", "__blk")
+    base = lines.withColumns({"__c": chunk, "__o": opens, "__e": F.when(closes, F.lit("c")).when(opens, F.lit("o"))})
+    w = Window.partitionBy(*keys, "__c").orderBy("line_no")
+    upto, above = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    # one sort gives state and count within a chunk as if it began outside a block; __f: whether its first event opens
+    local = base.withColumn("__s", F.last("__e", ignorenulls=True).over(above))
+    local = share(local.withColumns({"__n": F.sum((F.col("__o") & ~F.coalesce(F.col("__s") == "o", F.lit(False))).cast("bigint")).over(upto),
+                                     "__f": F.first(F.when(F.col("__e").isNotNull(), F.col("__o")), ignorenulls=True).over(upto)}))
+    at = F.when(F.col("__e").isNotNull(), F.col("line_no"))
+    tails = local.groupBy(*keys, "__c").agg(F.max_by("__e", at).alias("__e"), F.max("__n").alias("__n"), F.bool_or("__f").alias("__f"))
+    wt = Window.partitionBy(*keys).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
+    tails = tails.withColumn("__in", F.coalesce(F.last("__e", ignorenulls=True).over(wt) == "o", F.lit(False)))
+    tails = tails.withColumn("__n0", F.sum(F.col("__n") - (F.col("__in") & F.coalesce("__f", F.lit(False))).cast("bigint")).over(wt))
+    # a first chunk begins outside and at zero, so only later ones are looked up
+    before = tails.where("__in OR __n0 > 0").select(*keys, "__c", "__in", "__n0")
+    j = local.join(before, [*keys, "__c"], "left")
+    came = F.coalesce("__in", F.lit(False))
+    inside = F.coalesce(F.col("__s") == "o", came)
+    number = F.col("__n") + F.coalesce("__n0", F.lit(0)) - (came & F.coalesce("__f", F.lit(False))).cast("bigint")
+    return j.withColumn("block", F.when(inside | F.col("__o"), number)).drop("__c", "__o", "__e", "__s", "__n", "__f", "__in", "__n0")
 
 
 def parse_log(lines: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     """Diagnostics and linker blocks of each log, one row each, positioned by first line."""
-    marked = mark_blocks(lines, keys, chunk)
+    marked = mark_blocks(lines.select(*keys, "line_no", "line"), keys, chunk)
     single = parse_lines(marked.where("block IS NULL"), keys, FULL)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", strip(F.col("line")).alias("t")))),
                                     lambda e: e["t"]), "\n")

@@ -7,7 +7,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracesieve.functions.rules import any_of, first_match, keyword_hits
+from tracesieve.functions.rules import any_of, bound, first_match
 
 # fixed values: the nine canonical categories, in report order
 CATEGORIES = ("syntax_error", "name_resolution", "missing_include", "type_error", "return_type_error",
@@ -91,8 +91,7 @@ PHRASES_SYNTAX = ("expected ';'", "expected ')'", "expected '}'", "expected '{'"
 
 
 def phrase_label(c: Column) -> Column:
-    m = F.lower(c)
-    return first_match([
+    return bound(F.lower(c), lambda m: first_match([
         (any_of(m, PHRASES_INCLUDE), "missing_include"),
         (m.contains("multiple definition of"), "redefinition"),
         (any_of(m, PHRASES_LINK), "linker_error"),
@@ -102,16 +101,17 @@ def phrase_label(c: Column) -> Column:
         (any_of(m, PHRASES_NAME), "name_resolution"),
         (any_of(m, PHRASES_TYPE), "type_error"),
         (any_of(m, PHRASES_SYNTAX), "syntax_error"),
-    ], "other")
+    ], "other"))
 
 
 def recheck_label(c: Column, given: Column) -> Column:
     """Rule label where a rule speaks; else the given one. Non-ASCII and short rows give NULL."""
-    msg = F.regexp_replace(c, r"^\s+|\s+$", "")
-    rule = phrase_label(msg)
-    final = F.when(rule != "other", rule).otherwise(given)
-    usable = (F.length(msg) >= 4) & ~msg.rlike(r"[^\x00-\x7F]")
-    return F.when(usable & final.isin(*CATEGORIES), final)
+    def checked(msg: Column) -> Column:
+        final = bound(phrase_label(msg), lambda rule: F.when(rule != "other", rule).otherwise(given))
+        usable = (F.length(msg) >= 4) & ~msg.rlike(r"[^\x00-\x7F]")
+        return F.when(usable, bound(final, lambda f: F.when(f.isin(*CATEGORIES), f)))
+
+    return bound(F.regexp_replace(c, r"^\s+|\s+$", ""), checked)
 
 
 # ---------------------------------------------------------------------------------------------
@@ -156,7 +156,10 @@ def undeclared_symbol(c: Column) -> Column:
 
 
 def verified_label(c: Column) -> Column:
-    m = F.lower(c)
+    return bound(c, lambda t: bound(F.lower(t), lambda m: _verified(t, m)))
+
+
+def _verified(c: Column, m: Column) -> Column:
     has_symbol = c.rlike(SCOPE_SYMBOL) | c.rlike(UNDECLARED_SYMBOL)
     return first_match([
         (any_of(c, ("undefined reference to", "ld returned 1 exit status")), "linker_error"),
@@ -192,12 +195,18 @@ KEYWORDS: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 
 def keyword_candidates(c: Column) -> Column:
-    """Array of (ord, category, hits) with at least one hit; one ('other', 0) entry when none."""
-    entries = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(cat).alias("category"),
-                                 keyword_hits(c, kws).alias("hits")) for i, (cat, kws) in enumerate(KEYWORDS)])
-    found = F.filter(entries, lambda e: e["hits"] > 0)
-    none = F.array(F.struct(F.lit(len(KEYWORDS)).alias("ord"), F.lit("other").alias("category"), F.lit(0).alias("hits")))
-    return F.when(F.size(found) > 0, found).otherwise(none)
+    """Array of (neg, ord, category, best) of the categories with at least one hit, most hits (-neg) first, then in rule order;
+    one ('other', 0) entry when none. The text is lower-cased once and each keyword is looked for once."""
+    def found(low: Column) -> Column:
+        hits = [sum((low.contains(k.lower()).cast("int") for k in kws), F.lit(0)) for _, kws in KEYWORDS]
+        entries = F.array(*[F.struct((-h).alias("neg"), F.lit(i).alias("ord"), F.lit(cat).alias("category"))
+                            for i, (h, (cat, _)) in enumerate(zip(hits, KEYWORDS))])
+        return F.array_sort(F.filter(entries, lambda e: e["neg"] < 0))
+
+    none = F.array(F.struct(F.lit(0).alias("neg"), F.lit(len(KEYWORDS)).alias("ord"), F.lit("other").alias("category")))
+    some = bound(bound(F.lower(c), found), lambda f: F.when(F.size(f) > 0, f).otherwise(none))
+    return bound(some, lambda f: F.transform(f, lambda e: F.struct(e["neg"].alias("neg"), e["ord"].alias("ord"), e["category"].alias("category"),
+                                                                   (-f[0]["neg"]).alias("best"))))
 
 
 def keyword_rank(df: DataFrame, id_col: str, text: str, top: int | None = None) -> DataFrame:
@@ -205,16 +214,12 @@ def keyword_rank(df: DataFrame, id_col: str, text: str, top: int | None = None)
 
     Ranking happens inside the row's candidate array, so no shuffle is needed.
     """
-    cands = keyword_candidates(F.col(text))
-    best = F.array_max(F.transform(cands, lambda e: e["hits"]))
-    ranked = F.array_sort(F.transform(cands, lambda e: F.struct(
-        (-e["hits"]).alias("neg"), e["ord"].alias("ord"), e["category"].alias("category"))))
-    out = (df.select(id_col, best.alias("__best"), F.posexplode(ranked).alias("__p", "__e"))
-           .select(id_col, F.col("__e.category").alias("category"), (-F.col("__e.neg")).alias("hits"),
-                   F.when(F.col("__best") == 0, F.lit(0.45))
-                   .otherwise(F.round(F.lit(0.5) + F.lit(0.45) * (-F.col("__e.neg")) / F.col("__best"), 3)).alias("score"),
-                   (F.col("__p") + 1).alias("rank")))
-    return out.where(F.col("rank") <= top) if top else out
+    ranked = keyword_candidates(F.col(text))
+    hits, best = -F.col("__e.neg"), F.col("__e.best")
+    return (df.select(id_col, F.posexplode(F.slice(ranked, 1, top) if top else ranked).alias("__p", "__e"))
+            .select(id_col, F.col("__e.category").alias("category"), hits.alias("hits"),
+                    F.when(best == 0, F.lit(0.45)).otherwise(F.round(F.lit(0.5) + F.lit(0.45) * hits / best, 3)).alias("score"),
+                    (F.col("__p") + 1).alias("rank")))
 
 
 # ---------------------------------------------------------------------------------------------
@@ -260,8 +265,10 @@ FIRST_SYMBOL = r"['\x{2018}]([a-zA-Z_]\w*)['\x{2019}]"
 
 def override(c: Column) -> Column:
     """struct(category, confidence) fixed by rule, or NULL when the model must decide."""
-    low = F.lower(c)
+    return bound(c, lambda t: bound(F.lower(t), lambda low: _override(t, low)))
+
 
+def _override(c: Column, low: Column) -> Column:
     def pair(cat: str, conf: float) -> Column:
         return F.struct(F.lit(cat).alias("category"), F.lit(conf).alias("confidence"))
 
@@ -344,13 +351,12 @@ FAILURE_REASONS: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 
 def failure_reason(c: Column) -> Column:
-    low = F.lower(c)
-    return first_match(
+    return bound(F.lower(c), lambda low: first_match(
         [(any_of(low, p), n) for n, p in FAILURE_REASONS]
         + [(low.contains("expected") & low.contains(";"), "missing semicolon"),
            (any_of(low, ("cannot convert", "invalid conversion")), "wrong type"),
            (any_of(low, ("no return statement", "control reaches end of non-void function")), "missing return")],
-        "other")
+        "other"))
 
 
 # ---------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.ordered import ranked
+from tracesieve.functions.ordered import numbered
 from tracesieve.session import cut_lineage
 
 # One file (and one log) per supplier and line number; its lines are ordered by order key.
@@ -169,9 +169,8 @@ def line_chunk(col: str = "line_no"):
 
 def _numbered(lineitem: DataFrame) -> DataFrame:
     """(file, line_no, k), written once: every query below reads these three numbers, not the ranking again."""
-    files = lineitem.groupBy((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("file"),
-                             F.col("l_orderkey").alias("ord")).agg(F.min("l_partkey").alias("k"))
-    return cut_lineage(ranked(files, ["file"], ["ord"], "line_no").select("file", "line_no", "k"))
+    rows = lineitem.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("file"), F.col("l_orderkey").alias("ord"), "l_partkey")
+    return cut_lineage(numbered(rows, "file", "ord", [F.min("l_partkey").alias("k")], "line_no").select("file", "line_no", "k"))
 
 
 def log_lines(lineitem: DataFrame) -> DataFrame:

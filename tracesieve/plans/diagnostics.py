@@ -324,7 +324,7 @@ p AS (SELECT message, split_part(v, '|', 1) AS x, CAST(split_part(v, '|', 2) AS
 SELECT message, x AS label, confidence, {ALIAS_SQL} AS folded FROM p""")
 def override_labels(t: Tables) -> DataFrame:
     """Fixed-confidence labels ahead of the model, and how evaluation folds them."""
-    d = messages(t).withColumn("o", L.override(F.col("message"))).where("o IS NOT NULL")
+    d = messages(t).select("message", F.explode(F.array_compact(F.array(L.override(F.col("message"))))).alias("o"))  # made once, not per column
     return d.select("message", F.col("o.category").alias("label"), "o.confidence", L.folded(F.col("o.category")).alias("folded"))
 
 
