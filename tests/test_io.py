@@ -148,3 +148,17 @@ def test_lineage_and_overrides(spark):
     df = spark.createDataFrame([(r,) for r in rows], "m string").select("m", L.override(F.col("m")).alias("o"))
     assert [(r.o.category, r.o.confidence) if r.o else None for r in df.collect()] == [
         ("unused_variable", 0.98), ("missing_include", 0.99), ("name_resolution", 0.99), None]
+
+
+def test_training_keeps_counts_not_ngrams(spark):
+    """Rows stay where they are for class weights, the vocabulary is by count and then term, and only counts are kept."""
+    from tracesieve import session
+    from tracesieve.operators import ml as M
+    df = spark.createDataFrame([("aa bb aa", "x"), ("bb cc", "y"), ("dd ee", "y"), (None, "x")], "t string, l string")
+    plan = M.class_weights(df, "l")._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    model = M.train(df, "t", "l", 5, max_iter=2)
+    assert model.stages[0].vocabulary == ["aa", "bb", "aa bb", "aa bb aa", "bb aa"]
+    kept = session._SHARED[-1].columns
+    assert "terms" not in kept and "tf" in kept
+    assert M.predict(model, df, "t").count() == 4

@@ -5,7 +5,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, ElementwiseProduct, IDF, IndexToString, Normalizer, StringIndexer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, IDF, IndexToString, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
@@ -61,42 +61,59 @@ def tfidf_weights(tf: DataFrame, vocab: DataFrame, ident: list[str]) -> DataFram
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Adds ``weight`` = rows / (classes * rows of the class)."""
+    """Adds ``weight`` = rows / (classes * rows of the class). A row per class is sent to the rows: dealt by class, half of them could meet in one task."""
     every = Window.partitionBy()  # one row per class by now
     per = df.groupBy(label).agg(F.count("*").alias("__c"))
     per = per.select(label, (F.sum("__c").over(every) / (F.count("*").over(every) * F.col("__c"))).alias("weight"))
-    return df.join(per, label)
+    return df.join(F.broadcast(per), label)
 
 
 def featurise(df: DataFrame, text: str, with_chars: bool = False) -> DataFrame:
     """Adds ``terms``: word 1-3-grams, or with marks and character 3-5-grams for the older layout.
 
-    Tokens and lower-cased text become columns first: an expression inside a lambda would be
+    A null text has no terms. Tokens and lower-cased text become columns first: an expression inside a lambda would be
     evaluated again for every n-gram.
     """
-    out = df.withColumn("__tok", tokens(F.col(text), WORD_OR_MARK if with_chars else WORD))
+    known = F.coalesce(F.col(text), F.lit(""))
+    out = df.withColumn("__tok", tokens(known, WORD_OR_MARK if with_chars else WORD))
     if not with_chars:
         return out.withColumn("terms", ngrams(F.col("__tok"))).drop("__tok")
-    out = out.withColumn("__low", F.lower(F.col(text)))
+    out = out.withColumn("__low", F.lower(known))
     return out.withColumn("terms", F.concat(ngrams(F.col("__tok")), char_ngrams(F.col("__low")))).drop("__tok", "__low")
 
 
+def vocabulary(df: DataFrame, terms: str, max_terms: int, max_df: float | None = None) -> list[str]:
+    """The ``max_terms`` most frequent terms, ties in order of the term; with ``max_df``, of those in at most that share of the rows.
+
+    Counts are combined within each task before they are sent.
+    """
+    if max_df is None:
+        counts = df.select(F.explode(terms).alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
+    else:
+        rows = df.select(F.monotonically_increasing_id().alias("id"), terms)
+        per = rows.select("id", F.explode(terms).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+        counts = per.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df")).where(F.col("df") <= F.lit(max_df * df.count()))
+    return [r.term for r in counts.orderBy(F.desc("cf"), "term").limit(max_terms).collect()]
+
+
 def train(df: DataFrame, text: str, label: str, max_terms: int, c: float = 3.0, max_iter: int = 100,
           with_chars: bool = False) -> PipelineModel:
     """TF-IDF plus multinomial logistic regression with balanced class weights.
 
     The inverse document frequency carries the usual +1, set through the fitted vector of at most
     ``max_terms`` entries. Term frequency is linear, which equals the damped form on short messages.
+    The n-grams of a text are many times its size and are made twice, for the vocabulary and for the counts; only counts are kept.
     """
-    rows = share(class_weights(featurise(df, text, with_chars), label).select(label, "terms", "weight"))
-    counts = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=max_terms, **({"maxDF": 0.95} if with_chars else {})).fit(rows)
-    idf = IDF(inputCol="tf", outputCol="unused").fit(counts.transform(rows)).idf
+    made = featurise(class_weights(df, label), text, with_chars).select(label, "terms", "weight")
+    counts = CountVectorizerModel.from_vocabulary(vocabulary(made, "terms", max_terms, 0.95 if with_chars else None), inputCol="terms", outputCol="tf")
+    rows = share(counts.transform(made).drop("terms"))
+    idf = IDF(inputCol="tf", outputCol="unused").fit(rows).idf
     scale = ElementwiseProduct(inputCol="tf", outputCol="scaled", scalingVec=Vectors.dense(idf.toArray() + 1.0))
     norm = Normalizer(inputCol="scaled", outputCol="features", p=2.0)
     index = StringIndexer(inputCol=label, outputCol="label_ix", stringOrderType="alphabetAsc").fit(rows)
     lr = LogisticRegression(featuresCol="features", labelCol="label_ix", weightCol="weight", family="multinomial",
                             standardization=False, regParam=1.0 / (c * max(1, rows.count())), maxIter=max_iter)
-    ready = norm.transform(scale.transform(counts.transform(index.transform(rows))))
+    ready = norm.transform(scale.transform(index.transform(rows)))
     back = IndexToString(inputCol="prediction", outputCol="predicted", labels=index.labels)
     return PipelineModel(stages=[counts, scale, norm, lr.fit(ready), back])
 
