@@ -212,3 +212,42 @@ def test_no_join_is_broadcast_by_a_guess(spark):
     for name in ("baseline_policy", "tfidf_weights"):
         plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().sparkPlan().toString()
         assert "Join" in plan and "BroadcastHashJoin" not in plan
+
+
+def _random_source(rng, n):
+    parts = ["{", "}", "{ }", "} {", "x = y + x;", "for (;;) {", "while (true) {", "while (1) { a(); }", "break;", "f(a);", "int f(int a) {", "v.push_back(1);",
+             "cout << endl;", "std::vector<int> v;", "int q;", "q = 1;", "use(q);", "arr[9] = q;", "int arr[3];", "// arr[9]"]
+    return "\n".join(rng.choice(parts) for _ in range(n))
+
+
+def test_closing_braces_are_found_without_a_join(spark, lines_of):
+    rng = random.Random(5)
+    texts = {f"t{i}": _random_source(rng, 60) for i in range(6)}
+    lines = lines_of(**texts)
+    want = []
+    for name, text in texts.items():
+        stack, got = [], {}
+        for no, line in enumerate(lines.where(F.col("file") == name).orderBy("line_no").collect(), 1):
+            for i, c in enumerate(x for x in line.code if x in "{}"):
+                if c == "{":
+                    stack.append((no, i))
+                    got[no, i] = (len(stack), None, None)
+                elif stack:
+                    at = stack.pop()
+                    got[at] = (got[at][0], no, i)
+        want += [(name, *k, *v) for k, v in got.items()]
+    s = ST.scopes(lines)
+    key = lambda r: str(r)
+    assert sorted(map(tuple, s.select("file", "open_line", "open_idx", "depth", "close_line", "close_idx").collect()), key=key) == sorted(want, key=key)
+    plan = s._jdf.queryExecution().analyzed().toString()
+    assert "posexplode" in plan and plan.count("Join ") == 2  # nothing written on the way; both joins are of one row per chunk
+
+
+def test_lines_without_braces_change_no_depth_and_no_function(spark, lines_of):
+    rng = random.Random(6)
+    lines = lines_of(**{f"t{i}": _random_source(rng, 80) for i in range(5)})
+    few = lines.where(ST.braced() | F.col("code").contains("("))
+    cols = ("file", "line_no", "depth", "depth_after")
+    assert set(found(ST.with_depth(few), *cols)) <= set(found(ST.with_depth(lines), *cols))
+    whole = set(map(str, found(ST.with_function(lines), "file", "line_no", "fn", "fn_line")))
+    assert set(map(str, found(ST.with_function(few), "file", "line_no", "fn", "fn_line"))) <= whole

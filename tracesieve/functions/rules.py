@@ -17,6 +17,11 @@ class LineRule:
     category: str = ""
     on: str = "code"          # which text column the pattern reads
     origin: str = "attack"
+    holds: tuple[str, ...] = ()   # literals of which every match holds one; plain substring tests run before the pattern
+
+    def hit(self) -> Column:
+        found = F.col(self.on).rlike(self.pattern)
+        return any_of(F.col(self.on), self.holds) & found if self.holds else found
 
 
 def bound(c: Column, use: Callable[[Column], Column]) -> Column:
@@ -48,14 +53,16 @@ def all_matches(hits: Sequence[tuple[Column, Column]]) -> Column:
 def scan_lines(df: DataFrame, rules: Sequence[LineRule], keep: Sequence[str]) -> DataFrame:
     """One row per (line, matching rule). A single combined filter runs before the explode."""
     hits = all_matches([
-        (F.col(r.on).rlike(r.pattern),
-         F.struct(F.lit(r.name).alias("rule"), F.lit(r.category or r.name).alias("category"),
-                  F.lit(r.severity).alias("severity"), F.lit(r.origin).alias("origin")))
+        (r.hit(), F.struct(F.lit(r.name).alias("rule"), F.lit(r.category or r.name).alias("category"),
+                           F.lit(r.severity).alias("severity"), F.lit(r.origin).alias("origin")))
         for r in rules])
     by_col: dict[str, list[str]] = {}
-    for r in rules:
-        by_col.setdefault(r.on, []).append(r.pattern if not r.pattern.startswith("(?i)") else "(?i:" + r.pattern[4:] + ")")
     pre = F.lit(False)
+    for r in rules:
+        if r.holds:
+            pre = pre | r.hit()
+        else:
+            by_col.setdefault(r.on, []).append(r.pattern if not r.pattern.startswith("(?i)") else "(?i:" + r.pattern[4:] + ")")
     for col, pats in by_col.items():
         pre = pre | F.col(col).rlike("|".join(f"(?:{p})" for p in pats))
     return (df.where(pre).select(*keep, F.explode(hits).alias("__h"))

@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.ordered import carry_forward, running, running_floored
+from tracesieve.functions.rules import bound
 from tracesieve.functions.text import LINE_BREAK, strip_code
-from tracesieve.session import cut_lineage
+from tracesieve.session import cut_lineage, share
 
 LINE_CHUNK = 4096
 
@@ -35,21 +36,32 @@ def strip_lines(lines: DataFrame) -> DataFrame:
 
 def brace_events(lines: DataFrame) -> DataFrame:
     """(file, line_no, idx, delta) per brace; ``idx`` is its place among the braces of the line."""
-    b = lines.where(F.col("code").rlike("[{}]")).select("file", "line_no", F.posexplode(
+    b = lines.where(braced()).select("file", "line_no", F.posexplode(
         F.split(F.regexp_replace("code", "[^{}]", ""), "")).alias("idx", "ch"))
     return b.where("ch <> ''").select("file", "line_no", "idx", F.when(F.col("ch") == "{", 1).otherwise(-1).alias("delta"))
 
 
+def braced() -> Column:
+    """True on lines that move the depth; what holds for the depth of all others follows from these."""
+    return F.col("code").contains("{") | F.col("code").contains("}")
+
+
 def with_depth(lines: DataFrame) -> DataFrame:
     """Adds ``depth``: open braces before each line, never below zero.
 
-    Within a line only the sum and the lowest prefix matter, so one row per line carries both.
+    Within a line only the sum and the lowest prefix matter, so one row per line carries both. Lines without braces may be left out of
+    ``lines`` where their depth is not asked for; the others keep theirs.
     """
-    walk = F.aggregate(F.split(F.regexp_replace("code", "[^{}]", ""), ""), F.struct(F.lit(0).alias("s"), F.lit(0).alias("m")),
-                       lambda a, c: F.struct((a["s"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("s"),
-                                             F.least(a["m"], a["s"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("m")))
-    base = lines.withColumn("__w", walk)
-    return running_floored(base, ["file"], chunk(), ["line_no"], F.col("__w.s"), F.col("__w.m"), "depth").drop("__w")
+    pair = lambda s, m: F.struct(F.lit(s).alias("s"), F.lit(m).alias("m"))
+
+    def walk(b: Column) -> Column:
+        steps = F.aggregate(F.split(b, ""), pair(0, 0),
+                            lambda a, c: F.struct((a["s"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("s"),
+                                                  F.least(a["m"], a["s"] + F.when(c == "{", 1).when(c == "}", -1).otherwise(0)).alias("m")))
+        return F.when(b == "{", pair(1, 0)).when(b == "}", pair(-1, -1)).otherwise(steps)
+
+    moved = F.when(braced(), bound(F.regexp_replace("code", "[^{}]", ""), walk)).otherwise(pair(0, 0))
+    return running_floored(lines.withColumn("__w", moved), ["file"], chunk(), ["line_no"], F.col("__w.s"), F.col("__w.m"), "depth").drop("__w")
 
 
 def brace_levels(lines: DataFrame) -> DataFrame:
@@ -62,27 +74,25 @@ def brace_levels(lines: DataFrame) -> DataFrame:
 def scopes(lines: DataFrame) -> DataFrame:
     """One row per scope: (file, depth, open_line, open_idx, close_line, close_idx); a scope that stays open has no close.
 
-    Openings and closings of one depth of a file take turns, so a closing brace belongs to the opening one before it.
+    Openings and closings of one depth of a file take turns, so the closing brace of a scope is the next one of its depth: an as-of carry
+    from the end of the file.
     """
-    ev = cut_lineage(brace_levels(lines))
-    at = F.struct(F.col("line_no").alias("open_line"), F.col("idx").alias("open_idx"))
-    ends = carry_forward(ev, ["file", "depth"], chunk(), ["line_no", "idx"], {"__o": F.when(F.col("delta") > 0, at)}).where("delta < 0") \
-        .select("file", "__o.open_line", "__o.open_idx", F.col("line_no").alias("close_line"), F.col("idx").alias("close_idx"))
-    starts = ev.where("delta > 0").select("file", "depth", F.col("line_no").alias("open_line"), F.col("idx").alias("open_idx"))
-    return starts.join(ends, ["file", "open_line", "open_idx"], "left").select("file", "depth", "open_line", "open_idx", "close_line", "close_idx")
+    ev = brace_levels(lines).select("file", "depth", "delta", (-F.col("line_no")).alias("__l"), (-F.col("idx")).alias("__i"))
+    at = F.struct((-F.col("__l")).alias("close_line"), (-F.col("__i")).alias("close_idx"))
+    ends = carry_forward(ev, ["file", "depth"], chunk("__l"), ["__l", "__i"], {"__c": F.when(F.col("delta") < 0, at)}).where("delta > 0")
+    return ends.select("file", "depth", (-F.col("__l")).alias("open_line"), (-F.col("__i")).alias("open_idx"), "__c.close_line", "__c.close_idx")
 
 
 def innermost_scope(lines: DataFrame, probes: DataFrame) -> DataFrame:
     """(file, line_no, open_line, open_idx) of the innermost scope open at the start of each probed line; lines at file level have none.
 
-    It is the last scope that opened at the line's own depth: one as-of carry by (file, depth), one row per probe.
+    It is the last scope that opened at the line's own depth: braces and probes share one running depth, then one as-of carry by (file, depth).
     """
-    depth = with_depth(lines).select("file", "line_no", F.col("depth").cast("int").alias("depth"))
-    asks = probes.select("file", "line_no").distinct().join(depth, ["file", "line_no"]).where("depth > 0") \
-        .select("file", "line_no", F.lit(-1).alias("idx"), F.lit(0).alias("delta"), "depth")
-    opens = brace_levels(lines).where("delta > 0").select("file", "line_no", "idx", "delta", "depth")
+    asks = probes.select("file", "line_no").distinct().select("file", "line_no", F.lit(-1).alias("idx"), F.lit(0).alias("delta"))
+    level = running_floored(brace_events(lines).unionByName(asks), ["file"], chunk(), ["line_no", "idx"], F.col("delta"), F.least(F.col("delta"), F.lit(0)), "__lv")
+    known = level.withColumn("depth", F.col("__lv_after").cast("int")).where("delta >= 0 AND depth > 0").drop("__lv", "__lv_after")
     at = F.struct(F.col("line_no").alias("open_line"), F.col("idx").alias("open_idx"))
-    j = carry_forward(opens.unionByName(asks), ["file", "depth"], chunk(), ["line_no", "idx"], {"__o": F.when(F.col("delta") > 0, at)})
+    j = carry_forward(known, ["file", "depth"], chunk(), ["line_no", "idx"], {"__o": F.when(F.col("delta") > 0, at)})
     return j.where("delta = 0").select("file", "line_no", "__o.open_line", "__o.open_idx")
 
 
@@ -135,12 +145,14 @@ def with_function(lines: DataFrame) -> DataFrame:
     """Adds ``fn``, ``fn_line``, ``fn_params`` of the function a line belongs to (header included).
 
     A line belongs to the last header before it while the depth has not fallen back to the
-    header's own; that is a running minimum per (file, header).
+    header's own; that is a running minimum per (file, header). Lines without braces may be left out of ``lines``: the next line kept
+    has the depth they had.
     """
     d = with_depth(lines)
     name = F.regexp_extract("code", FUNCTION, 1)
     params = F.trim(F.regexp_extract("code", FUNCTION, 2))
-    head = F.when(F.col("code").rlike(FUNCTION) & ~name.isin(*NOT_FUNCTIONS),
+    opens = F.col("code").contains("{") & F.col("code").contains("(")
+    head = F.when(opens & F.col("code").rlike(FUNCTION) & ~name.isin(*NOT_FUNCTIONS),
                   F.struct(F.col("line_no").alias("fn_line"), name.alias("fn"), params.alias("fn_params"), F.col("depth").alias("d0")))
     c = carry_forward(d, ["file"], chunk(), ["line_no"], {"__h": head}, include_current=True)
     c = c.withColumn("__fl", F.coalesce("__h.fn_line", F.lit(0)))
@@ -164,7 +176,7 @@ def calls(fns: DataFrame) -> DataFrame:
 
 def call_graph(lines: DataFrame) -> DataFrame:
     """Distinct edges with ``internal`` telling whether the callee is defined in the same file."""
-    fns = with_function(lines)
+    fns = share(with_function(lines.where(braced() | F.col("code").contains("(")).select("file", "line_no", "code")).where("fn IS NOT NULL"))
     defined = fns.where("fn IS NOT NULL").select("file", F.col("fn").alias("callee")).distinct().withColumn("__in", F.lit(True))
     return calls(fns).join(defined, ["file", "callee"], "left").select("file", "fn", "callee", F.coalesce("__in", F.lit(False)).alias("internal"))
 

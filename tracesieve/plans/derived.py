@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracesieve.functions.ordered import numbered
-from tracesieve.session import cut_lineage
+from tracesieve.session import share
 
 # One file (and one log) per supplier and line number; its lines are ordered by order key.
 _V = "CAST(k % 5 AS STRING)"
@@ -168,14 +168,14 @@ def line_chunk(col: str = "line_no"):
 
 
 def _numbered(lineitem: DataFrame) -> DataFrame:
-    """(file, line_no, k), written once: every query below reads these three numbers, not the ranking again."""
+    """(file, line_no, k). Callers that read it more than once share it, or what they make of it: as columns in memory it is a fraction of a checkpoint's cost."""
     rows = lineitem.select((F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("file"), F.col("l_orderkey").alias("ord"), "l_partkey")
-    return cut_lineage(numbered(rows, "file", "ord", [F.min("l_partkey").alias("k")], "line_no").select("file", "line_no", "k"))
+    return numbered(rows, "file", "ord", [F.min("l_partkey").alias("k")], "line_no").select("file", "line_no", "k")
 
 
 def log_lines(lineitem: DataFrame) -> DataFrame:
     """(file, line_no, k, line) of compiler logs."""
-    return _numbered(lineitem).withColumn("line", F.expr(f"transform(array(k), k -> {line_text(LOG_LINES)})[0]"))
+    return share(_numbered(lineitem)).withColumn("line", F.expr(f"transform(array(k), k -> {line_text(LOG_LINES)})[0]"))
 
 
 def code_lines(lineitem: DataFrame) -> DataFrame:
