@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.rules import all_matches
 from tracesieve.functions.text import has_any
-from tracesieve.operators.structure import count_within, scopes, with_depth
-from tracesieve.session import cut_lineage
+from tracesieve.operators.structure import braced, count_within, scopes, with_depth
+from tracesieve.session import cut_lineage, share
 
 # fixed values: identifiers that run, load, connect, delete or read the environment
 DANGEROUS_NAMES = ("system", "popen", "exec", "execl", "execle", "execlp", "execv", "execve", "execvp", "execvpe", "fexecve",
@@ -154,6 +154,7 @@ def header_findings(includes: DataFrame, findings: DataFrame, sizes: DataFrame,
     are skipped at once. So the rows are those of the result and of the edges, not all pairs of files. A limit on the depth
     bounds the pairs by itself and needs their lengths, so it goes through `include_closure`.
     """
+    findings = share(findings)
     there = (sizes if max_bytes is None else sizes.where(F.col("bytes") <= max_bytes)).select(F.col("file").alias("header"))
     first = cut_lineage(includes.join(there, "header").groupBy("file", "header").agg(F.min("line_no").alias("line_no")))
     if max_depth is not None:
@@ -245,6 +246,7 @@ def huge_allocations(lines: DataFrame) -> DataFrame:
 
 ENDLESS = r"\b(?:while\s*\(\s*(?:true|1)\s*\)|for\s*\(\s*;\s*;\s*\))"
 ESCAPE = r"\b(?:break|return|exit|abort|terminate|throw|goto|_Exit|quick_exit)\b"
+ESCAPES = ("break", "return", "exit", "abort", "terminate", "throw", "goto", "_Exit")
 
 
 def endless_loops(lines: DataFrame) -> DataFrame:
@@ -253,12 +255,13 @@ def endless_loops(lines: DataFrame) -> DataFrame:
     The body is the rest of the header line, or the lines inside the scope that the header opens;
     escapes within it are counted by running counts at its ends.
     """
-    d = with_depth(lines)
-    tail = F.regexp_replace("code", "^.*?" + ENDLESS, "")
-    heads = d.where(F.col("code").rlike(ENDLESS)).withColumn("__tail", tail)
+    endless = (F.col("code").contains("while") | F.col("code").contains("for")) & F.col("code").rlike(ENDLESS)
+    tail = F.when(endless, F.regexp_replace("code", "^.*?" + ENDLESS, ""))
+    turns = with_depth(lines.where(braced() | endless).select("file", "line_no", "code")).withColumn("__tail", tail)
+    heads = share(turns.where("__tail IS NOT NULL").select("file", "line_no", "depth", "depth_after", "__tail"))
     closed = heads.where("depth_after <= depth").where(~F.col("__tail").rlike(ESCAPE))
     opened = heads.where("depth_after > depth").where(~F.col("__tail").rlike(ESCAPE))
-    outs = lines.where(F.col("code").rlike(ESCAPE)).select("file", "line_no")
+    outs = lines.where(has_any(F.col("code"), ESCAPES) & F.col("code").rlike(ESCAPE)).select("file", "line_no")
     spans = scopes(lines).join(opened.select("file", F.col("line_no").alias("open_line")), ["file", "open_line"], "left_semi")
     left = count_within(spans, outs, ["file"], "__n").where("__n > 0").select("file", F.col("open_line").alias("line_no")).distinct()
     kept = closed.select("file", "line_no").unionByName(opened.select("file", "line_no").join(left, ["file", "line_no"], "left_anti"))
