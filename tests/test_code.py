@@ -251,3 +251,12 @@ def test_lines_without_braces_change_no_depth_and_no_function(spark, lines_of):
     assert set(found(ST.with_depth(few), *cols)) <= set(found(ST.with_depth(lines), *cols))
     whole = set(map(str, found(ST.with_function(lines), "file", "line_no", "fn", "fn_line")))
     assert set(map(str, found(ST.with_function(few), "file", "line_no", "fn", "fn_line"))) <= whole
+
+
+def test_loops_around_asked_lines_only(spark, lines_of):
+    rng = random.Random(7)
+    lines = lines_of(**{f"t{i}": _random_source(rng, 80) for i in range(5)})
+    cols = ("file", "line_no", "depth", "root")
+    asked = lines.where(F.col("code").contains("endl")).select("file", "line_no")
+    names = {(r.file, r.line_no) for r in asked.collect()}
+    assert found(Q.loop_lines(lines, asked), *cols) == [r for r in found(Q.loop_lines(lines), *cols) if r[:2] in names] != []
