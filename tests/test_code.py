@@ -260,3 +260,19 @@ def test_loops_around_asked_lines_only(spark, lines_of):
     asked = lines.where(F.col("code").contains("endl")).select("file", "line_no")
     names = {(r.file, r.line_no) for r in asked.collect()}
     assert found(Q.loop_lines(lines, asked), *cols) == [r for r in found(Q.loop_lines(lines), *cols) if r[:2] in names] != []
+
+
+def test_names_that_share_a_bit_are_told_apart(spark):
+    words = [f"n{i}" for i in range(300)]  # more names than bits
+    lines = spark.createDataFrame([("a", i + 1, f"{w} = 1;") for i, w in enumerate(words)] + [("b", 1, "n1 + n2;")], "file string, line_no bigint, code string")
+    known = spark.createDataFrame([("a", w) for w in words[::7]] + [("b", "n2")], "file string, var string")
+    got = found(W._among(lines, (r"\b([A-Za-z_]\w*)\b",), known), "file", "line_no", "var")
+    assert got == sorted([("a", i + 1, w) for i, w in enumerate(words) if i % 7 == 0] + [("b", 1, "n2")])
+
+
+def test_weaknesses_are_counted_family_by_family(spark, lines_of):
+    lines = lines_of(a="int main() {\ngets(b);\nint z = 1 / 0;\nchar* p = (char*)malloc(9);\nfree(p);\nfree(p);\n}", b="int v;\nuse(v);\nassert(x);")
+    whole = W.all_weaknesses(lines).groupBy("file", "finding_type").count()
+    counted = W.weakness_counts(lines)
+    assert found(counted, "file", "finding_type", "n") == found(whole, "file", "finding_type", "count") != []
+    assert counted._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 0

@@ -245,8 +245,7 @@ _CWE_SQL = "CASE finding_type " + " ".join(f"WHEN {q(name)} THEN {q(cwe)}" for n
 def weakness_codes(t: Tables) -> DataFrame:
     """Sorted CWE set of every file over all static rules."""
     from tracesieve.operators.evaluation import codes_per_file
-    f = W.all_weaknesses(src(t)).groupBy("file", "finding_type").agg(F.count("*").alias("n"))
-    return codes_per_file(V.add_taxonomy(f, "finding_type"), "file", "cwe_id")
+    return codes_per_file(V.add_taxonomy(W.weakness_counts(src(t)), "finding_type"), "file", "cwe_id")
 
 
 _ABS = "regexp_matches(x, '^(?:[/\\\\]|[a-zA-Z]:[/\\\\])') OR contains(x, '..')"
