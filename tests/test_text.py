@@ -143,3 +143,23 @@ def test_strip_code_random(spark):
 @pytest.mark.parametrize("limit", [None, 5])
 def test_limits(spark, limit):
     assert col(spark, ["abcdefgh"], lambda c: T.safe_text(c, limit)) == ["abcdefgh" if limit is None else "abcde..."]
+
+
+def test_weight_sums_are_those_of_the_weights(spark):
+    from tracesieve.operators import ml as M
+    rows = [(1, 0, "a1 b1 a1 c1"), (1, 1, "b1"), (2, 0, "c1 c1 c1 d1 a1"), (2, 1, None), (None, 3, "a1"), (3, 0, "")]
+    d = M.featurise(spark.createDataFrame(rows, "conv bigint, turn int, text string"), "text").drop("text")
+    tf, vocab = M.term_table(d, ["conv", "turn"], "terms")
+    got = {(r.conv, r.turn): (r.terms, r.top_weight, r.mass) for r in M.weight_sums(tf, vocab, ["conv", "turn"]).collect()}
+    want = {}
+    for r in M.tfidf_weights(tf, vocab, ["conv", "turn"]).collect():
+        want.setdefault((r.conv, r.turn), []).append(r.weight)
+    assert set(got) == set(want) == {(1, 0), (1, 1), (2, 0)}
+    for k, ws in want.items():
+        assert got[k][0] == len(ws) and abs(got[k][1] - max(ws)) < 1e-12 and abs(got[k][2] - sum(ws)) < 1e-12
+
+
+def test_weights_keep_no_copy_of_all_terms(spark):
+    import __spark_entry__ as entry
+    plan = entry.queries()["tfidf_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and plan.count("Join ") == 1

@@ -43,9 +43,9 @@ def char_ngrams(low: Column, sizes: Sequence[int] = (3, 4, 5)) -> Column:
 def term_table(df: DataFrame, ident: list[str], terms: str, max_terms: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Relational TF-IDF: (ident, term, tf) and (term, cf, df, idf) of all terms, or of the ``max_terms`` most frequent.
 
-    Term counts are combined map-side.
+    Rows are dealt out by ``ident`` while they are texts, or what makes them: their terms are many times their size and are counted where they lie.
     """
-    tf = df.select(*ident, F.explode_outer(terms).alias("term")).where("term IS NOT NULL").groupBy(*ident, "term").agg(F.count("*").alias("tf"))
+    tf = df.select(*ident, F.explode(terms).alias("term")).where("term IS NOT NULL").groupBy(*ident, "term").agg(F.count("*").alias("tf"))
     n = df.agg(F.count("*")).scalar()
     vocab = tf.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
     if max_terms is not None:
@@ -53,6 +53,17 @@ def term_table(df: DataFrame, ident: list[str], terms: str, max_terms: int | Non
     return tf, vocab.select("term", "cf", "df", (F.log((F.lit(1.0) + n) / (F.lit(1.0) + F.col("df"))) + 1.0).alias("idf"))
 
 
+def weight_sums(tf: DataFrame, vocab: DataFrame, ident: list[str]) -> DataFrame:
+    """(ident, terms, top_weight, mass) of the weights of `tfidf_weights`: their number, greatest and sum, for idents without nulls.
+
+    Three sums over the damped counts give all of them, combined within tasks: the weights themselves are never brought together a second time.
+    """
+    w = tf.join(vocab.select("term", "idf"), "term").select(*ident, ((F.lit(1.0) + F.log("tf")) * F.col("idf")).alias("__w"))
+    norm = F.sqrt(F.sum(F.col("__w") * F.col("__w")))
+    return w.where(" AND ".join(f"{c} IS NOT NULL" for c in ident)).groupBy(*ident).agg(
+        F.count("*").alias("terms"), (F.max("__w") / norm).alias("top_weight"), (F.sum("__w") / norm).alias("mass"))
+
+
 def tfidf_weights(tf: DataFrame, vocab: DataFrame, ident: list[str]) -> DataFrame:
     """Sublinear, L2-normalised weights (ident, term, weight)."""
     w = tf.join(vocab.select("term", "idf"), "term").withColumn("w", (F.lit(1.0) + F.log("tf")) * F.col("idf"))

@@ -18,7 +18,7 @@ vocab AS (SELECT term, CAST(sum(tf) AS BIGINT) AS cf, count(*) AS df, ln((1.0::D
 
 
 def _terms(t: Tables) -> tuple[DataFrame, DataFrame]:
-    d = M.featurise(t.conversations.select("conv_id", "turn", "text"), "text").drop("text")
+    d = M.featurise(t.conversations.select("conv_id", "turn", "text").repartition("conv_id", "turn"), "text").drop("text")
     return M.term_table(d, ["conv_id", "turn"], "terms")
 
 
@@ -33,8 +33,8 @@ SELECT conv_id, turn, count(*) AS terms, round(max(w / n), 5) AS top_weight, rou
 def tfidf_weights(t: Tables) -> DataFrame:
     """Normalised weights summarised per turn."""
     tf, vocab = _terms(t)
-    w = M.tfidf_weights(share(tf), share(vocab), ["conv_id", "turn"])
-    return w.groupBy("conv_id", "turn").agg(F.count("*").alias("terms"), F.round(F.max("weight"), 5).alias("top_weight"), F.round(F.sum("weight"), 5).alias("mass"))
+    sums = M.weight_sums(tf, vocab, ["conv_id", "turn"])
+    return sums.withColumns({c: F.round(c, 5) for c in ("top_weight", "mass")})
 
 
 @query("text_classifier")
