@@ -163,3 +163,15 @@ def test_weights_keep_no_copy_of_all_terms(spark):
     import __spark_entry__ as entry
     plan = entry.queries()["tfidf_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "InMemoryRelation" not in plan and plan.count("Join ") == 1
+
+
+def test_gate_texts_come_by_halves_and_are_not_sorted(spark):
+    from tracesieve.operators.dataset import entry_gate
+    from tracesieve.plans import dataset as D
+    df = spark.range(-20, 400).selectExpr("id AS k").union(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    assert df.where(F.expr(f"NOT (({D._SRC}) <=> ({D._SOURCE}))")).count() == 0
+    rows = [("s", i, "missing x", "syntax_error", "#error missing x" if i == 2 else None) for i in range(4)]
+    g = entry_gate(spark.createDataFrame(rows, "session string, line_no bigint, message string, category string, source string"),
+                   "session", F.floor(F.col("line_no") / 2), ["line_no"], "message", "category", "source", run_limit=2, keep=["session", "line_no"])
+    assert g.columns == ["session", "line_no", "problems", "accepted"]
+    assert {r.line_no: r.problems for r in g.collect()} == {0: [], 1: [], 2: ["dataset_directive_message", "dataset_rate_limit"], 3: ["dataset_rate_limit"]}

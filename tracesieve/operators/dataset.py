@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.ordered import first_per_key, ranked, running, top_n_per_key
 from tracesieve.functions.rules import all_matches
-from tracesieve.functions.text import ANY_SECRET, strip
+from tracesieve.functions.text import holds_secret, strip
 from tracesieve.operators.labels import CATEGORIES
 
 
@@ -154,24 +154,25 @@ def entry_problems(message: Column, category: Column, source_text: Column, store
     """Array of rejection categories of one entry, without the run cap."""
     msg = F.coalesce(message, F.lit(""))
     norm = _flat(msg)
-    dirs = F.transform(F.regexp_extract_all(F.coalesce(source_text, F.lit("")), F.lit(DIRECTIVE), F.lit(1)),
-                       lambda d: _flat(F.regexp_replace(strip(d), r"^[\x22']+|[\x22']+$", "")))
+    # only texts with a "#" are searched
+    said = F.when(source_text.contains("#"), F.regexp_extract_all(source_text, F.lit(DIRECTIVE), F.lit(1))).otherwise(F.array().cast("array<string>"))
+    dirs = F.transform(F.coalesce(said, F.array().cast("array<string>")), lambda d: _flat(F.regexp_replace(strip(d), r"^[\x22']+|[\x22']+$", "")))
     echo = (msg != "") & F.exists(dirs, lambda d: (d != "") & (d.contains(norm) | norm.contains(d)))
     bad = (strip(msg) == "") | (F.length(msg) > MESSAGE_LIMIT) | msg.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]|[^\x00-\x7F]") | msg.rlike(PATH_HINT)
     return all_matches([
         (echo, F.lit("dataset_directive_message")),
         (F.coalesce(~category.isin(*CATEGORIES), F.lit(True)), F.lit("dataset_bad_category")),
         (bad, F.lit("dataset_bad_message")),
-        (msg.rlike(ANY_SECRET), F.lit("dataset_secret")),
+        (holds_secret(msg), F.lit("dataset_secret")),
         (F.lit(store_bytes > STORE_LIMIT), F.lit("dataset_store_too_large")),
     ])
 
 
 def entry_gate(df: DataFrame, session: str, chunk: Column, order: list[str], message: str, category: str,
-               source_text: str, run_limit: int = RUN_LIMIT) -> DataFrame:
-    """Adds ``problems`` and ``accepted``. A session accepts ``run_limit`` entries; only accepted
+               source_text: str, run_limit: int = RUN_LIMIT, keep: Sequence[str] | None = None) -> DataFrame:
+    """Adds ``problems`` and ``accepted`` to ``keep``, all columns by default: texts left out are not sorted. A session accepts ``run_limit`` entries; only accepted
     ones count, and an entry with another problem is never accepted, so a running count decides."""
-    checked = df.withColumn("problems", entry_problems(F.col(message), F.col(category), F.col(source_text)))
+    checked = df.select(*(df.columns if keep is None else keep), entry_problems(F.col(message), F.col(category), F.col(source_text)).alias("problems"))
     clean = F.size("problems") == 0
     counted = running(checked, [session], chunk, order, {"__ok": ("sum", clean.cast("bigint"))})
     before = F.col("__ok") - clean.cast("bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracesieve.functions import text as T
 from tracesieve.operators import dataset as S
 from tracesieve.operators import labels as L
-from tracesieve.plans.derived import CODE_LINES, LOG_LINES, LOGS_SQL, case_text, line_chunk, log_lines
+from tracesieve.plans.derived import CODE_LINES, LOG_LINES, LOGS_SQL, case_text, line_chunk, line_text, log_lines
 from tracesieve.plans.diagnostics import CORPUS_SQL, VERIFIED_SQL, corpus
 from tracesieve.plans.registry import Tables, query
 from tracesieve.plans.sqltext import LINES, STRIP, any_sql, doc_lines_sql, in_sql, q
@@ -175,6 +175,8 @@ def variant_augmentation(t: Tables) -> DataFrame:
 
 
 _SRC = f"{case_text(CODE_LINES)} || chr(10) || {case_text(CODE_LINES, '(k + 5)')}"
+# the same text: two lookups by halves instead of two tables read from the top, in a method that the JVM would not compile
+_SOURCE = f"transform(array(k), k -> {line_text(CODE_LINES)} || chr(10) || {line_text(CODE_LINES, '(k + 5)')})[0]"
 _DIRS = r"regexp_extract_all(source_text, '(?im)^\s*#\s*(?:error|warning)\s+([^\n]*)', 1)"
 _DIR = STRIP.format(r"""regexp_replace(lower(regexp_replace(""" + STRIP.format("d") + r""", '^["'']+|["'']+$', '', 'g')), '\s+', ' ', 'g')""")
 _MSGN = NORM_SQL.format("message")
@@ -197,6 +199,6 @@ def dataset_gate(t: Tables) -> DataFrame:
     from tracesieve.operators.diagnostics import parse_corpus
     e = parse_corpus(lines, ["file", "k"]).select("file", "line_no", "message",
                                                   F.coalesce(L.verified_label(F.col("message")), F.lit("unknown")).alias("category"),
-                                                  F.expr(_SRC).alias("source_text"))
-    g = S.entry_gate(e, "file", line_chunk(), ["line_no"], "message", "category", "source_text", run_limit=20)
+                                                  F.expr(_SOURCE).alias("source_text"))
+    g = S.entry_gate(e, "file", line_chunk(), ["line_no"], "message", "category", "source_text", run_limit=20, keep=["file", "line_no"])
     return g.select("file", "line_no", F.array_join("problems", ";").alias("problems"), "accepted")

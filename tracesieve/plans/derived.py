@@ -136,8 +136,8 @@ def case_text(lines: tuple[str, ...], key: str = "k") -> str:
     return f"CASE CAST({key} % {len(lines)} AS INT) {arms} END"
 
 
-def line_text(lines: tuple[str, ...]) -> str:
-    """The text `case_text` gives for a key ``k``: halves of the table are tried instead of one line after the other.
+def line_text(lines: tuple[str, ...], key: str = "k") -> str:
+    """The text `case_text` gives for a key, with ``k`` in its texts: halves of the table are tried instead of one line after the other.
 
     To be used inside a lambda: as part of a generated stage the whole table would be one method, too long for the JVM to compile.
     """
@@ -145,8 +145,8 @@ def line_text(lines: tuple[str, ...]) -> str:
         if hi - lo == 1:
             return lines[lo]
         mid = (lo + hi) // 2
-        return f"CASE WHEN CAST(k % {len(lines)} AS INT) < {mid} THEN {half(lo, mid)} ELSE {half(mid, hi)} END"
-    return f"CASE WHEN k >= 0 THEN {half(0, len(lines))} WHEN k % {len(lines)} = 0 THEN {lines[0]} END"
+        return f"CASE WHEN CAST({key} % {len(lines)} AS INT) < {mid} THEN {half(lo, mid)} ELSE {half(mid, hi)} END"
+    return f"CASE WHEN {key} >= 0 THEN {half(0, len(lines))} WHEN {key} % {len(lines)} = 0 THEN {lines[0]} END"
 
 
 FILES_SQL = """
