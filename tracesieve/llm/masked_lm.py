@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from itertools import compress, repeat
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -89,11 +91,27 @@ class Vocabulary:
         find, endings = self.known.get, self.endings
         return [endings[w[-2:]] if (i := find(w)) is None else i for w in words]
 
+    def encode(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
+        """Packed ids of the words, and those of them that aren't tokens, in order: as `of`, without a Python step per word."""
+        ids = np.fromiter(map(self.known.get, words, repeat(TOKENS)), "<u2", len(words))
+        other = ids == TOKENS
+        rare = list(compress(words, other.tolist()))
+        ids[other] = np.fromiter(map(self.endings.__getitem__, map(_ENDING, rare)), "<u2", len(rare))
+        return ids, rare
+
+
+_ENDING = itemgetter(slice(-2, None))
+
 
 def cell_of(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass")) % CELLS
 
 
+def cells_of(words: Collection[str]) -> np.ndarray:
+    """`cell_of` of many words; these come from texts, so they have no lone surrogates."""
+    return np.fromiter(map(zlib.crc32, map(str.encode, words)), np.int64, len(words)) % CELLS
+
+
 class Counts(NamedTuple):
     """How often the words of each cell occur in the corpus, and words that may be among its most frequent."""
 
@@ -126,7 +144,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> Counts:
             for t in b.column(0).to_pylist():
                 some.update(t.lower().split())
             n = np.fromiter(some.values(), np.int64, len(some))
-            np.add.at(cells, np.fromiter(map(cell_of, some), np.int64, len(some)), n)
+            np.add.at(cells, cells_of(some), n)
             total += int(n.sum())
             # words are remembered while they may still reach their share
             for w, k in some.items():
@@ -190,14 +208,13 @@ def encode(docs: DataFrame, words: list[str], text: str = "text", key: str = "do
     def make():
         known, given = shared.value
         vocabulary = Vocabulary(known)
-        if given is None:
-            return lambda k, t: (k, np.array(vocabulary.ids(t), "<u2").tobytes(), 0.0)
-        logs = Memo(lambda w: float(given[cell_of(w)]))
 
         def row(k, t):
-            found = t.lower().split()
-            ids = vocabulary.of(found)
-            return k, np.array(ids, "<u2").tobytes(), sum(logs[w] for w, i in zip(found, ids) if i >= WORDS)
+            words = t.lower().split()
+            ids, rare = vocabulary.encode(words)
+            # few distinct endings, but as many words as the corpus has: cells are cheaper to make than to remember
+            logs = 0.0 if given is None else float(given[cells_of(rare)].sum(dtype=np.float64))
+            return k, ids.tobytes(), logs
         return row
     return map_rows(docs.select(F.col(key).cast("long").alias(key), whole_text(text)), make, f"{key} long, ids binary, logs double")
 
@@ -216,24 +233,48 @@ def bucket_totals(encoded: DataFrame) -> np.ndarray:
     return out
 
 
-def _hidden(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    x = w.b + w.E[0][ids[at + OFFSETS[0]]]
-    for k, o in enumerate(OFFSETS[1:], 1):
-        x += w.E[k][ids[at + o]]
-    return np.tanh(x)
+_AWAY, _FIRST = np.array(OFFSETS)[:, None], np.arange(len(OFFSETS), dtype=np.int32)[:, None] * (TOKENS + 1)
+
+
+def _rows_near(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """(offset, position): row of the table of all offsets that each position's neighbour has."""
+    return ids.take(at + _AWAY) + _FIRST
+
+
+def _hidden(w: Weights, near: np.ndarray) -> np.ndarray:
+    x = w.E.reshape(-1, WIDTH).take(near, axis=0).sum(0)
+    x += w.b
+    return np.tanh(x, out=x)
+
+
+#: Logits that lie within so much can share one shift: no exponential of theirs leaves the range of float32.
+SPREAD = 80
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """Logits less what keeps their exponentials in range: one number if they all lie close enough, else each row's largest. In place."""
+    if len(x):
+        top = x.max()
+        x -= top if top - x.min() <= SPREAD else x.max(1, keepdims=True)
+    return x
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows; a product is several times as fast as sum(1)."""
+    return x @ np.ones(x.shape[1], x.dtype)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(x - x.max(1, keepdims=True))
-    x /= x.sum(1, keepdims=True)
+    """Softmax of every row, in place."""
+    np.exp(_shifted(x), out=x)
+    x /= _row_sums(x)[:, None]
     return x
 
 
 def _log_softmax_at(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log softmax of one column per row."""
-    top = x.max(1)
-    picked = x[np.arange(len(x)), at] - top
-    return picked - np.log(np.exp(x - top[:, None]).sum(1))
+    """Log softmax of one column per row; x is overwritten."""
+    picked = _shifted(x)[np.arange(len(x)), at]
+    return picked - np.log(_row_sums(np.exp(x, out=x)))
 
 
 def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -241,65 +282,91 @@ def log_probabilities(w: Weights, ids: np.ndarray, at: np.ndarray) -> np.ndarray
     out = np.empty(len(at))
     for s in range(0, len(at), CHUNK):
         part = at[s:s + CHUNK]
-        h, target = _hidden(w, ids, part), ids[part]
-        cluster = target // CLUSTER
-        out[s:s + CHUNK] = _log_softmax_at(h @ w.A + w.a, cluster)
-        order = np.argsort(cluster, kind="stable")
-        edges = np.searchsorted(cluster[order], np.arange(CLUSTERS + 1))
-        for k in range(CLUSTERS):
-            rows = order[edges[k]:edges[k + 1]]
-            if len(rows):
-                out[s + rows] += _log_softmax_at(h[rows] @ w.B[k] + w.c[k], target[rows] - k * CLUSTER)
+        order = np.argsort((ids[part] // CLUSTER).astype(np.uint8), kind="stable")
+        part = part[order]
+        h, (cluster, inside) = _hidden(w, _rows_near(ids, part)), np.divmod(ids[part], CLUSTER)
+        x = h @ w.A
+        x += w.a
+        logs = _log_softmax_at(x, cluster)
+        edges = np.searchsorted(cluster, np.arange(CLUSTERS + 1))
+        for k in range(CLUSTERS):  # x now takes the logits inside the clusters
+            rows = slice(edges[k], edges[k + 1])
+            np.dot(h[rows], w.B[k], out=x[rows])
+            x[rows] += w.c[k]
+        logs += _log_softmax_at(x, inside)
+        out[s + order] = logs
     return out
 
 
+def _sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the float32 rows from each index to the next. Pairs of numbers are added as complex ones, which halves numpy's inner loops."""
+    return np.add.reduceat(x.view(np.complex64), first).view(np.float32)
+
+
 def train(w: Weights, ids: np.ndarray, at: np.ndarray, memory: Weights) -> None:
     """One pass of Adagrad over the positions, in place; ``memory`` holds the sums of squared gradients.
 
-    A batch is sorted by cluster and laid out in lanes of ``LANES`` rows of one cluster, so one product serves all clusters.
+    A batch is sorted by cluster and laid out in lanes of ``LANES`` rows of one cluster, so one product serves all clusters. Biases are
+    the last rows of their matrices meanwhile, for a last hidden value of 1.
     """
-    table, sums = w.E.reshape(-1, WIDTH), memory.E.reshape(-1, WIDTH)
-
-    def step(v: np.ndarray, m: np.ndarray, rows: np.ndarray | slice, g: np.ndarray) -> None:
-        new = m[rows] + g * g
-        m[rows] = new
-        v[rows] -= RATE * g / (np.sqrt(new) + 1e-6)
-
+    def joined(x: Weights) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return x.E.reshape(-1, WIDTH), x.b, np.concatenate([x.A, x.a[None]]), np.concatenate([x.B, x.c[:, None]], 1)
+
+    def change(g: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """What to take from the weights, made in g; m gains the squares."""
+        root = g * g
+        m += root
+        np.sqrt(m, out=root)
+        root += 1e-6
+        g *= RATE
+        g /= root
+        return g
+
+    (table, b, A, B), (table_m, b_m, A_m, B_m) = joined(w), joined(memory)
+    clusters = np.arange(CLUSTERS)
     for s in range(0, len(at), BATCH):
         part = at[s:s + BATCH]
-        part = part[np.argsort((ids[part] // CLUSTER).astype(np.uint16), kind="stable")]
-        n, rows = len(part), np.arange(len(part))
-        cluster, inside = np.divmod(ids[part], CLUSTER)
-        h = _hidden(w, ids, part)
-        top = _softmax(h @ w.A + w.a)
-        top[rows, cluster] -= 1
+        part = part[np.argsort((ids.take(part) // CLUSTER).astype(np.uint8), kind="stable")]
+        n, near, target = len(part), _rows_near(ids, part), ids.take(part)
+        rows, cluster, inside = np.arange(n), target // CLUSTER, target % CLUSTER
+        h = np.ones((n, WIDTH + 1), np.float32)
+        h[:, :WIDTH] = _hidden(w, near)
+        top = _softmax(h @ A)
+        top.reshape(-1)[rows * CLUSTERS + cluster] -= 1
         count = np.bincount(cluster, minlength=CLUSTERS)
         lanes = -(-count // LANES)
-        of_lane, present = np.repeat(np.arange(CLUSTERS), lanes), np.flatnonzero(count)
-        slot = rows + ((np.cumsum(lanes) - lanes) * LANES - (np.cumsum(count) - count))[cluster]
-        H = np.zeros((len(of_lane) * LANES, WIDTH), np.float32)
+        of_lane = np.repeat(clusters, lanes)
+        slot = rows + ((np.cumsum(lanes) - lanes) * LANES - (np.cumsum(count) - count)).take(cluster)
+        H = np.zeros((len(of_lane) * LANES, WIDTH + 1), np.float32)
         H[slot] = h
-        H, B = H.reshape(-1, LANES, WIDTH), w.B[of_lane]
-        p = _softmax((H @ B).reshape(-1, CLUSTER)[slot] + w.c[cluster])
-        p[rows, inside] -= 1
+        H, near_B = H.reshape(-1, LANES, WIDTH + 1), B.take(of_lane, axis=0)
+        p = _softmax((H @ near_B).reshape(-1, CLUSTER).take(slot, axis=0))
+        p.reshape(-1)[rows * CLUSTER + inside] -= 1
+        # gradients of the mean over the batch
+        top /= n
+        p /= n
         low = np.zeros((len(of_lane) * LANES, CLUSTER), np.float32)
         low[slot] = p
         low = low.reshape(-1, LANES, CLUSTER)
-        first = (np.cumsum(lanes) - lanes)[present]
-        dh = top @ w.A.T + (low @ B.transpose(0, 2, 1)).reshape(-1, WIDTH)[slot]
-        dx = dh * (1 - h * h) / n
-        every = slice(None)
-        step(w.b, memory.b, every, dx.sum(0))
-        step(w.A, memory.A, every, h.T @ top / n)
-        step(w.a, memory.a, every, top.sum(0) / n)
-        step(w.B, memory.B, present, np.add.reduceat(H.transpose(0, 2, 1) @ low, first) / n)
-        step(w.c, memory.c, present, np.add.reduceat(low.sum(1), first) / n)
+        dx = (low @ near_B[:, :WIDTH].transpose(0, 2, 1)).reshape(-1, WIDTH).take(slot, axis=0)
+        dx += top @ A[:WIDTH].T
+        dx *= 1 - np.square(h[:, :WIDTH])
+        # a cluster's lanes are added up by a product as well; clusters without positions get gradients of 0, which change nothing
+        of_cluster = (clusters[:, None] == of_lane).astype(np.float32)
+        dB = (of_cluster @ (H.transpose(0, 2, 1) @ low).reshape(len(of_lane), -1)).reshape(B.shape)
+        for v, m, g in ((b, b_m, np.ones(n, np.float32) @ dx), (A, A_m, h.T @ top), (B, B_m, dB)):
+            v -= change(g, m)
         # only the rows of tokens that occur, of all offsets at once
-        near = np.concatenate([ids[part + o] + k * (TOKENS + 1) for k, o in enumerate(OFFSETS)]).astype(np.uint16)
+        near = near.astype(np.uint16).ravel()
         order = np.argsort(near, kind="stable")
         near = near[order]
-        first = np.flatnonzero(np.r_[True, near[1:] != near[:-1]])
-        step(table, sums, near[first], np.add.reduceat(dx[order % n], first))
+        first = np.concatenate([[0], np.flatnonzero(near[1:] != near[:-1]) + 1])
+        found = near[first]
+        m, v = table_m.take(found, axis=0), table.take(found, axis=0)
+        v -= change(_sums(dx.take(order % n, axis=0), first), m)
+        table_m[found], table[found] = m, v
+    for x, ab, BC in ((w, A, B), (memory, A_m, B_m)):
+        x.A[:], x.a[:], x.B[:], x.c[:] = ab[:-1], ab[-1], BC[:, :-1], BC[:, -1]
 
 
 def _documents(column: pa.Array) -> list[np.ndarray]:
