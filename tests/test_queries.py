@@ -3,6 +3,7 @@ import os
 import sys
 from pathlib import Path
 
+import duckdb
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
@@ -37,3 +38,21 @@ def test_twins_belong_to_queries():
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 20
+
+
+def _small_events(folder, rows):
+    """`events` of (event_id, us, event_type, value) in a folder, and a connection that sees them."""
+    con = duckdb.connect()
+    values = ", ".join(f"({i}, {us}, '{e}', {v}::DOUBLE)" for i, us, e, v in rows)
+    con.execute(f"""COPY (SELECT i::BIGINT AS event_id, make_timestamp(us) AS ts, 3::BIGINT AS user_id, e AS event_type, v AS value FROM (VALUES {values}) x(i, us, e, v))
+        TO '{folder}/events.parquet'""")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet')")
+    return con
+
+
+def test_action_energy_rounds_as_its_sql(spark, tmp_path):
+    """0.2599 mWh are 0.1234525 mg: up by SQL, whose rounding scales first, and down by the value's decimal form."""
+    con = _small_events(tmp_path, [(0, 0, "view", 10.0), (1, 10_000, "purchase", 0.5), (2, 20_000, "click", 52.97)])
+    ok, msg, _ = check.compare(spark, con, str(tmp_path), "action_energy")
+    assert ok, msg
+    assert entry.queries()["action_energy"](spark, str(tmp_path)).first().co2_mg == 0.123453

@@ -14,6 +14,15 @@ def ratio(k: Column, n: Column, empty: float = 0.0) -> Column:
     return F.when(n > 0, k.cast("double") / n.cast("double")).otherwise(F.lit(empty))
 
 
+def rounded(c: Column, digits: int) -> Column:
+    """A double rounded half away from zero after scaling in doubles, as SQL engines do: 0.1234525 gives 0.123453 although it lies just below.
+
+    `F.round` rounds the shortest decimal form of the unscaled value and gives 0.123452 where that form is 0.12345249999999999.
+    """
+    scale = F.lit(10.0 ** digits)
+    return F.round(c * scale, 0) / scale
+
+
 def wilson(k: Column, n: Column, z: float = Z_EXACT, empty: tuple[float, float] = (0.0, 0.0)) -> tuple[Column, Column]:
     """Lower and upper Wilson score bound, clamped to [0, 1] and unrounded."""
     nn = F.when(n > 0, n.cast("double"))

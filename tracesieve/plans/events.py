@@ -4,6 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracesieve.functions.stats import rounded
 from tracesieve.operators import eventlog as G
 from tracesieve.operators import stateful as H
 from tracesieve.plans.registry import Tables, query
@@ -129,7 +130,7 @@ def action_energy(t: Tables) -> DataFrame:
     """Seconds, energy and CO2 of every action."""
     m, actions = metered(t)
     e = G.action_energy(m, actions, "us", "event_id")
-    return e.select("label", "start", *[F.round(c, 6).alias(c) for c in ("seconds", "energy_mwh", "co2_mg")])
+    return e.select("label", "start", *[rounded(F.col(c), 6).alias(c) for c in ("seconds", "energy_mwh", "co2_mg")])
 
 
 @query("live_counts", "SELECT CAST(epoch(time_bucket(INTERVAL 6 HOUR, ts)) AS BIGINT) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
