@@ -56,3 +56,10 @@ def test_action_energy_rounds_as_its_sql(spark, tmp_path):
     ok, msg, _ = check.compare(spark, con, str(tmp_path), "action_energy")
     assert ok, msg
     assert entry.queries()["action_energy"](spark, str(tmp_path)).first().co2_mg == 0.123453
+
+
+def test_energy_integral_rounds_as_its_sql(spark, tmp_path):
+    con = _small_events(tmp_path, [(0, 0, "view", 0.01), (1, 20_000, "click", 0.33)])
+    ok, msg, _ = check.compare(spark, con, str(tmp_path), "energy_integral")
+    assert ok, msg
+    assert entry.queries()["energy_integral"](spark, str(tmp_path)).where("event_id = 1").first().co2_mg == 0.436098

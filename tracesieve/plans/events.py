@@ -119,7 +119,7 @@ def metered(t: Tables) -> tuple[DataFrame, DataFrame]:
 def energy_integral(t: Tables) -> DataFrame:
     """Running session energy with the action of each sample."""
     m, _ = metered(t)
-    return m.select("event_id", F.round("power_mw", 4).alias("power_mw"), F.round("energy_mwh", 4).alias("energy_mwh"), F.round("co2_mg", 6).alias("co2_mg"), "action")
+    return m.select("event_id", *[rounded(F.col(c), n).alias(c) for c, n in (("power_mw", 4), ("energy_mwh", 4), ("co2_mg", 6))], "action")
 
 
 @query("action_energy", ENERGY_SQL.rstrip() + """, p AS (SELECT action, action_start, sum(step_wh) * 1000.0::DOUBLE AS mwh, arg_max(power_mw, us) AS mw FROM met WHERE action <> 'idle' GROUP BY 1, 2),
