@@ -112,6 +112,40 @@ def test_patch_rules(spark):
     assert ("shell", "process_execution") in audit and ("guard", "guard_removal") in audit and not [a for a in audit if a[0] == "same"]
 
 
+def test_patch_gate_in_the_row_equals_the_whole_line_difference(spark, monkeypatch):
+    rnd = random.Random(7)
+    pool = ["a();", "// a();", "  a();", "//b();", "b();", "if (p == nullptr) return;", "assert(x > 0); ", "snprintf(b, 9, s);", "sprintf(b, s);", "scanf(\"%9s\", b);",
+            "scanf(\"%s\", b);", "x = 1; // NOLINT", "  x = 1; // NOLINT ", "system(\"x\");", "System (\"x\") ;", "SYSTEM(\"x\");", " system(\"x\");", "sys/**/tem(s);", ""]
+    rows = []
+    for i in range(300):
+        old = [rnd.choice(pool) for _ in range(rnd.randrange(14))]
+        new = list(old)
+        for _ in range(rnd.randrange(9)):
+            at = rnd.randrange(len(new) + 1)
+            new[at:at + rnd.randrange(2)] = [rnd.choice(pool)] * rnd.randrange(3)
+        if i % 5 == 0:
+            new = ["//  " + x for x in new]
+        rows.append((i, *(rnd.choice(["\n", "\r\n"]).join(x) if i else None for x in (old, new)), rnd.choice(["ai", "rule"])))
+    df = spark.createDataFrame(rows, "pair int, original string, patched string, origin string")
+    c = P.change_profile(df, "pair").join(df, "pair")
+    allowed = F.when(F.col("origin") == "ai", F.greatest(F.lit(10), F.floor(F.col("old_lines") * 0.25))).otherwise(12)
+    down = F.col("safe_scan") & F.col("bad_scan")
+    for i in range(len(P.DOWNGRADES)):
+        down = down | (F.col(f"safe_{i}") & F.col(f"bad_{i}"))
+    rules = {"patch_too_large": F.col("changed") > allowed, "patch_security_downgrade": down, "patch_removes_guard": F.col("guard_lost"),
+             "patch_suppresses_diagnostics": F.exists("suppressions", lambda s: ~F.lower("original").contains(s)), "patch_comments_out_code": F.col("commented_out") > 3}
+    want = {(r.pair, k) for r in c.select("pair", *[v.alias(k) for k, v in rules.items()]).collect() for k in rules if r[k]}
+    lines = P.line_changes(df, "pair").select("pair", F.col("line").alias("raw"), F.when(F.col("was") > 0, 0).otherwise(1).alias("s"))
+    want |= {(r.pair, f"patch_introduces_{r.category}") for r in P._judged_dangers(lines, "pair").collect()}
+    assert {k for _, k in want} == {*rules, "patch_introduces_process_execution"}
+
+    def no_rows(*_):
+        raise AssertionError("all lines of all pairs become rows")
+    monkeypatch.setattr(P, "line_changes", no_rows)
+    got = {(r.pair, r.category) for r in P.patch_gate(df, "pair").collect()}
+    assert {x for x in got if x[1] not in ("patch_new_include", "patch_injection_text", "patch_secret")} == want
+
+
 def test_merge_keeps_null_sets_apart(spark):
     rows = [(1, None, "c", "a", "attack", "Low", "", "allow", None), (1, None, "c", "b", "vulnerability", "High", "ev", "warn", None),
             (2, 3, "c", "a", "vulnerability", "Low", "x", "allow", []), (2, 3, "c", "b", "vulnerability", "Low", "", "allow", None)]

@@ -259,10 +259,14 @@ def redact(c: Column, limit: int | None = 80) -> Column:
 
 
 # ---------------------------------------------------------------------------------------------
+def visible_lower(c: Column) -> Column:
+    """Lower-cased text; zero-width characters dropped."""
+    return F.lower(F.when(F.octet_length(c) == F.length(c), c).otherwise(F.regexp_replace(c, r"[\x{200B}-\x{200F}\x{FEFF}]", "")))
+
+
 def injection_form(c: Column) -> Column:
     """Lower-case words separated by single blanks, padded; zero-width characters dropped."""
-    t = F.lower(F.regexp_replace(c, r"[\x{200B}-\x{200F}\x{FEFF}]", ""))
-    return F.concat(F.lit(" "), F.regexp_replace(t, "[^a-z0-9]+", " "), F.lit(" "))
+    return F.concat(F.lit(" "), F.regexp_replace(visible_lower(c), "[^a-z0-9]+", " "), F.lit(" "))
 
 
 def wrap_untrusted(c: Column, label: str, nonce: Column) -> Column:

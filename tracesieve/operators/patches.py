@@ -5,13 +5,15 @@ A moved line is no change here, where an alignment diff would count it twice.
 """
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracesieve.functions.rules import all_matches
-from tracesieve.functions.text import SECRET_KINDS, boundary_leak, injection_form, secret_hint, split_lines, strip, strip_code
-from tracesieve.operators.execution import execution_findings
-from tracesieve.operators.scans import NORMAL_RULES, RAW_RULES
+from tracesieve.functions.rules import all_matches, bound
+from tracesieve.functions.text import SECRET_KINDS, SECRET_WORDS, boundary_leak, has_any, injection_form, split_lines, strip, strip_code, visible_lower
+from tracesieve.operators.execution import CODE_HINTS, RAW_HINTS, execution_findings
+from tracesieve.operators.scans import NORMAL_RULES, RAW_RULES, RULE_HINTS, rule_hint
 from tracesieve.operators.weakness import LINE_RULES
 from tracesieve.session import share
 
@@ -33,6 +35,8 @@ WATCHED_HEADERS = ("filesystem", "thread")
 INCLUDE = r'(?m)^\s*#\s*include\s*[<"]([^>"\r\n]+)[>"]'
 SUPPRESS = (r"(?i)(?:#\s*pragma\s+GCC\s+diagnostic\s+ignored|#\s*pragma\s+warning\s*\(\s*disable|#\s*define\s+NDEBUG"
             r"|__attribute__\s*\(\s*\(\s*no_sanitize|//\s*NOLINT|-w\b)")
+#: Lower-case substrings without one of which nothing is suppressed.
+SUPPRESS_HINTS = ("pragma", "ndebug", "no_sanitize", "nolint", "-w")
 GUARD = (r"(?i)(?:assert\s*\(|static_assert\s*\(|if\s*\(.*?\)\s*(?:return|exit|abort|throw|break|continue)\b|if\s*\(.*?(?:!=|==)\s*nullptr\)"
          r"|if\s*\(.*?(?:<|<=|>|>=)\s*(?:size\b|len\b|n\b|count\b))")
 DOWNGRADES = (("strncpy", "strcpy"), ("strncat", "strcat"), ("snprintf", "sprintf"), ("fgets", "gets"), ("getline", "gets"))
@@ -61,6 +65,16 @@ def _is_comment(c: Column) -> Column:
     return c.startswith("//") | c.startswith("/*") | c.startswith("*")
 
 
+def _muted(changes: DataFrame, pid: str) -> DataFrame:
+    """(pid, commented_out): removed lines that come back as comments; both reduce to the same body."""
+    t, added, removed = F.col("t"), F.col("now") > F.col("was"), F.col("was") > F.col("now")
+    body = F.when(t.startswith("//"), F.regexp_replace(t, r"^//+\s*", "")).otherwise(t)
+    gone = F.when(~_is_comment(t) & removed, F.col("was") - F.col("now")).otherwise(0)
+    back = F.when(t.startswith("//") & added, 1).otherwise(0)
+    return (changes.withColumn("t", strip(F.col("line"))).withColumn("b", body).where("b <> ''").groupBy(pid, "b").agg(F.sum(gone).alias("g"), F.max(back).alias("k"))
+            .groupBy(pid).agg(F.sum(F.when(F.col("k") == 1, F.col("g")).otherwise(0)).alias("commented_out")))
+
+
 def change_profile(pairs: DataFrame, pid: str, changes: DataFrame | None = None) -> DataFrame:
     """One row per pair: line counts and the flags that every line rule needs, in one shuffle."""
     c = (changes if changes is not None else line_changes(pairs, pid)).withColumn("t", strip(F.col("line")))
@@ -89,13 +103,7 @@ def change_profile(pairs: DataFrame, pid: str, changes: DataFrame | None = None)
     trimmed = c.groupBy(pid, "t").agg(F.sum("was").alias("was"), F.sum("now").alias("now"))
     lost = trimmed.groupBy(pid).agg(F.coalesce(F.bool_or((F.col("was") > 0) & (F.col("now") == 0) & ~_is_comment(F.col("t")) & F.col("t").rlike(GUARD)),
                                                F.lit(False)).alias("guard_lost"))
-    # a removed line that comes back as a comment: both reduce to the same body
-    body = F.when(F.col("t").startswith("//"), F.regexp_replace("t", r"^//+\s*", "")).otherwise(F.col("t"))
-    gone = F.when(~_is_comment(F.col("t")) & removed, F.col("was") - F.col("now")).otherwise(0)
-    back = F.when(F.col("t").startswith("//") & added, 1).otherwise(0)
-    muted = (c.withColumn("b", body).where("b <> ''").groupBy(pid, "b").agg(F.sum(gone).alias("g"), F.max(back).alias("k"))
-             .groupBy(pid).agg(F.sum(F.when(F.col("k") == 1, F.col("g")).otherwise(0)).alias("commented_out")))
-    return per_line.join(lost, pid).join(muted, pid, "left")
+    return per_line.join(lost, pid).join(_muted(c, pid), pid, "left")
 
 
 def new_headers() -> Column:
@@ -120,61 +128,155 @@ def _rules_hit(side: str) -> dict[str, Column]:
     return out
 
 
-def _new_rules() -> Column:
-    old, new = _rules_hit("original"), _rules_hit("patched")
+def _new_rules(come: Column, low: Column) -> Column:
+    """Whether an injection rule fires on the patch and not on the original.
+
+    Substrings are tried before patterns, and the original is only read for rules that the patch breaks. ``come`` are the differing lines of the
+    patch: a payload lies within one line, so a new one is in one of these. ``low`` is `visible_lower` of the patch.
+    """
+    new, old = (F.coalesce(F.col(c), F.lit("")) for c in ("patched", "original"))
+    by_name: dict[str, list[tuple[str, bool]]] = {}
+    for rules, words in ((RAW_RULES, False), (NORMAL_RULES, True)):
+        for name, _, p in rules:
+            by_name.setdefault(name, []).append((p, words))
+
+    def fires(c: Column, forms: list[tuple[str, bool]]) -> Column:
+        hit = F.lit(False)
+        for p, words in forms:
+            hit = hit | (injection_form(c) if words else c).rlike(p)
+        return hit
+
     cond = F.lit(False)
-    for k in new:
-        cond = cond | (new[k] & ~old[k])
+    for name, forms in by_name.items():
+        hint = rule_hint(name, low) if name in RULE_HINTS else F.lit(True)
+        if name == "hidden_prompt_unicode":
+            hint = F.octet_length(new) > F.length(new)
+        if name == "encoded_payload":
+            hint = fires(come, forms)
+        # CASE, as Spark would make texts that several AND and OR share for every row
+        cond = cond | F.when(hint, F.when(fires(new, forms), ~fires(old, forms)).otherwise(False)).otherwise(False)
     return cond
 
 
 def _new_secrets() -> Column:
-    cond = F.lit(False)
+    new, cond = F.col("patched"), F.lit(False)
     for _, p, _ in SECRET_KINDS:
-        cond = cond | (F.col("patched").rlike(p) & ~F.col("original").rlike(p))
-    return secret_hint(F.col("patched")) & cond
+        start = re.match("[A-Za-z_ -]*", p).group()  # of every match; the pattern of assignments starts with a flag
+        hint = new.contains(start) if start else has_any(F.lower(new), SECRET_WORDS)
+        cond = cond | (hint & new.rlike(p) & ~F.col("original").rlike(p))
+    return cond
 
 
-def new_dangers(pairs: DataFrame, pid: str) -> DataFrame:
-    """(pid, category) of High execution risks whose evidence is new in the patch."""
-    # a line is judged once a pair; it is new if the original lacks it, and so is its evidence if no other line of the original shows it
-    lines = line_changes(pairs, pid).select(pid, F.col("line").alias("raw"), strip_code(F.col("line")).alias("code"), F.when(F.col("was") > 0, 0).otherwise(1).alias("s"))
-    f = execution_findings(lines, (pid, "s", "raw")).where("severity = 'High'")
+def _sides(pairs: DataFrame) -> DataFrame:
+    """Adds the lines of both sides (``__o``, ``__p``) and those that differ from the line at the same place of the other side (``__a``, ``__b``; as
+    texts ``__ta``, ``__tb``).
+
+    Lines left out stand once on either side, so what remains has the line difference of the whole.
+    """
+    lines = pairs.withColumns({n: F.coalesce(split_lines(F.col(c)), F.array().cast("array<string>")) for n, c in (("__o", "original"), ("__p", "patched"))})
+
+    def rest(one: str, other: str) -> Column:
+        return F.filter(one, lambda x, i: ~x.eqNullSafe(F.get(F.col(other), i)))
+    return lines.withColumns({"__a": rest("__o", "__p"), "__b": rest("__p", "__o")}).withColumns({"__ta": F.array_join("__a", "\n"), "__tb": F.array_join("__b", "\n")})
+
+
+def _danger_lines() -> Column:
+    """(raw, s) of `_sides`: lines new in the patch (1) and, where there are any, those of the original (0) that may break an execution rule too."""
+    def hinted(x: Column) -> Column:
+        return has_any(x, ('"', "'", "/*", *RAW_HINTS, *CODE_HINTS))  # what is stripped may join the rest of a line to a name
+
+    def tagged(lines: Column, s: int) -> Column:
+        return F.transform(lines, lambda x: F.struct(x.alias("raw"), F.lit(s).alias("s")))
+    some = bound(F.array_except(F.filter("__b", hinted), F.col("__o")),
+                 lambda new: F.when(F.size(new) > 0, F.concat(tagged(new, 1), tagged(F.filter("__o", hinted), 0))))
+    return F.when(hinted(F.col("__tb")), some)
+
+
+def _judged_dangers(lines: DataFrame, pid: str) -> DataFrame:
+    """(pid, category) of High execution risks of (pid, raw, s) whose evidence no line of the original (s = 0) shows."""
+    f = execution_findings(lines.withColumn("code", strip_code(F.col("raw"))), (pid, "s", "raw")).where("severity = 'High'")
     ev = F.lower(strip(F.regexp_replace("raw", r"\s+", " ")))
     g = f.groupBy(pid, "category", ev.alias("ev")).agg(F.min("s").alias("lo"))
     return g.where("lo = 1").select(pid, "category").distinct()
 
 
+def new_dangers(pairs: DataFrame, pid: str) -> DataFrame:
+    """(pid, category) of High execution risks whose evidence is new in the patch; one row per pid."""
+    return _judged_dangers(_sides(pairs).select(pid, F.explode(_danger_lines()).alias("l")).select(pid, "l.*"), pid)
+
+
 def patch_gate(pairs: DataFrame, pid: str) -> DataFrame:
     """(pid, category, severity) of every gate rule a patch breaks.
 
-    pairs: (pid, original, patched, origin); origin 'ai' has the relative size limit.
+    pairs: (pid, original, patched, origin), one row per pid; origin 'ai' has the relative size limit. Rules on whole texts, lost guards and
+    suppressed diagnostics are judged in the row. Rules that count lines become rows only for pairs whose differing lines could break one.
     """
-    pairs = share(pairs)
-    prof = change_profile(pairs, pid)
-    j = _with_words(pairs, "original", "patched").withColumn("__heads", new_headers()).join(prof, pid, "left")
-    allowed = F.when(F.col("origin") == "ai", F.greatest(F.lit(AI_MIN_LINES), F.floor(F.coalesce("old_lines", F.lit(0)) * AI_SHARE))).otherwise(F.lit(OFFLINE_LINES))
-    heads = F.col("__heads")
-    odd = F.filter(heads, lambda x: ~x.isin(*WATCHED_HEADERS))
-    watched = F.filter(heads, lambda x: x.isin(*WATCHED_HEADERS))
-    down = F.lit(False)
-    for i in range(len(DOWNGRADES)):
-        down = down | (F.col(f"safe_{i}") & F.col(f"bad_{i}"))
-    down = down | (F.col("safe_scan") & F.col("bad_scan"))
-    quiet = F.exists("suppressions", lambda s: ~F.lower(F.col("original")).contains(s))
+    d = _sides(pairs)
+    allowed = F.when(F.col("origin") == "ai", F.greatest(F.lit(AI_MIN_LINES), F.floor(F.size("__o") * AI_SHARE))).otherwise(F.lit(OFFLINE_LINES)).cast("bigint")
+    gone, come = F.col("__ta"), F.col("__tb")
+    down = gone.contains("scanf") & come.contains("scanf")
+    for safe, bad in DOWNGRADES:
+        down = down | (gone.contains(safe) & come.contains(bad))
+    unsure = (F.size("__a") + F.size("__b") > allowed) | down | ((F.size("__a") > COMMENT_LIMIT) & come.contains("//") & F.exists("__b", lambda x: strip(x).startswith("//")))
+
+    def guard(t: Column) -> Column:
+        return ~_is_comment(t) & t.rlike(GUARD)
+
+    # a guard is lost if no line of the patch is the same but for blanks at its ends
+    lost = has_any(F.lower(gone), ("assert", "if")) & (F.size(F.array_except(F.filter(F.transform("__a", strip), guard), F.transform("__p", strip))) > 0)
+    # what an added line suppresses is new if the original lacks its text; then the line is no line of the original
+    quiet = has_any(F.lower(come), SUPPRESS_HINTS) & F.exists("__b", lambda x: x.rlike(SUPPRESS) & ~F.lower(F.col("original")).contains(F.lower(F.regexp_extract(x, SUPPRESS, 0))))
 
     def f(cat: str, sev: str) -> Column:
         return F.struct(F.lit(cat).alias("category"), F.lit(sev).alias("severity"))
 
-    hits = all_matches([
-        (boundary_leak(F.col("patched")), f("patch_marker_leak", "High")), (F.col("changed") > allowed, f("patch_too_large", "High")),
-        (F.size(odd) > 0, f("patch_new_include", "High")), (F.size(watched) > 0, f("patch_new_include", "Medium")),
-        (down, f("patch_security_downgrade", "High")), (F.col("guard_lost"), f("patch_removes_guard", "High")),
-        (quiet, f("patch_suppresses_diagnostics", "High")), (_new_rules(), f("patch_injection_text", "Medium")),
-        (_new_secrets(), f("patch_secret", "High")), (F.col("commented_out") > COMMENT_LIMIT, f("patch_comments_out_code", "Medium"))])
-    base = j.select(pid, F.explode(hits).alias("h")).select(pid, "h.category", "h.severity")
-    danger = new_dangers(pairs, pid).select(pid, F.concat(F.lit("patch_introduces_"), F.col("category")).alias("category"), F.lit("High").alias("severity"))
-    return base.unionByName(danger)
+    heads = F.when(F.col("patched").contains("include"), new_headers())
+    j = d.withColumns({"__heads": heads, "__low": visible_lower(F.coalesce(F.col("patched"), F.lit("")))})
+    odd, watched = F.filter("__heads", lambda x: ~x.isin(*WATCHED_HEADERS)), F.filter("__heads", lambda x: x.isin(*WATCHED_HEADERS))
+    judged = [
+        (boundary_leak(F.col("patched")), f("patch_marker_leak", "High")), (F.size(odd) > 0, f("patch_new_include", "High")),
+        (F.size(watched) > 0, f("patch_new_include", "Medium")), (lost, f("patch_removes_guard", "High")),
+        (quiet, f("patch_suppresses_diagnostics", "High")), (_new_rules(come, F.col("__low")), f("patch_injection_text", "Medium")),
+        (_new_secrets(), f("patch_secret", "High"))]
+    broken = F.lit(0)  # a bit per rule: conditions inside of array functions would be interpreted
+    for i, (cond, _) in enumerate(judged):
+        broken = broken + F.when(cond, 1 << i).otherwise(0)
+    j = share(j.select(pid, broken.alias("__broken"), _danger_lines().alias("__lines"), F.when(unsure, F.struct("__a", "__b", allowed.alias("allowed"))).alias("__unsure")))
+    hits = all_matches([(F.col("__broken").bitwiseAND(F.lit(1 << i)) != 0, what) for i, (_, what) in enumerate(judged)])
+    base = j.where("__broken <> 0").select(pid, F.explode(hits).alias("h")).select(pid, "h.category", "h.severity")
+    danger = _judged_dangers(j.select(pid, F.explode("__lines").alias("l")).select(pid, "l.*"), pid)
+    return base.unionByName(_broken_by_lines(j, pid)).unionByName(danger.select(pid, F.concat(F.lit("patch_introduces_"), "category").alias("category"), F.lit("High").alias("severity")))
+
+
+def _broken_by_lines(j: DataFrame, pid: str) -> DataFrame:
+    """(pid, category, severity) of the gate rules that count differing lines: size, downgrades, code turned into comments."""
+    def side(c: str, was: int) -> Column:
+        return F.transform(f"__unsure.{c}", lambda x: F.struct(x.alias("line"), F.lit(was).alias("was"), F.lit(1 - was).alias("now")))
+
+    c = j.where("__unsure IS NOT NULL").select(pid, F.col("__unsure.allowed").alias("allowed"), F.explode(F.concat(side("__a", 1), side("__b", 0))).alias("l")) \
+        .groupBy(pid, "l.line").agg(F.max("allowed").alias("allowed"), F.sum("l.was").alias("was"), F.sum("l.now").alias("now"))
+    line, added, removed = F.col("line"), F.col("now") > F.col("was"), F.col("was") > F.col("now")
+
+    def seen(cond: Column) -> Column:
+        return F.bool_or(F.coalesce(cond, F.lit(False)))
+
+    def names(word: str) -> Column:
+        return line.contains(word) & line.rlike(rf"\b{word}\b")
+
+    rules = [(removed & names(safe), added & names(bad)) for safe, bad in DOWNGRADES]
+    rules.append((removed & line.contains("scanf") & line.rlike(BOUNDED_SCAN), added & line.contains("scanf") & line.rlike(OPEN_SCAN)))
+    down = F.lit(False)
+    for lost, got in rules:
+        down = down | (seen(lost) & seen(got))
+    per = c.groupBy(pid).agg((F.sum(F.abs(F.col("now") - F.col("was"))) > F.max("allowed")).alias("large"), down.alias("down"))
+
+    def f(cat: str) -> Column:
+        return F.struct(F.lit(cat).alias("category"), F.lit("High").alias("severity"))
+
+    counted = per.select(pid, F.explode(all_matches([(F.col("large"), f("patch_too_large")), (F.col("down"), f("patch_security_downgrade"))])).alias("h")) \
+        .select(pid, "h.category", "h.severity")
+    return counted.unionByName(_muted(c, pid).where(F.col("commented_out") > COMMENT_LIMIT)
+                               .select(pid, F.lit("patch_comments_out_code").alias("category"), F.lit("Medium").alias("severity")))
 
 
 def patch_audit(pairs: DataFrame, pid: str) -> DataFrame:

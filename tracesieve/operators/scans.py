@@ -45,6 +45,20 @@ NORMAL_RULES: tuple[tuple[str, str, str], ...] = (
      r"\b(?:you are now|new instructions|system prompt|developer message"
      r"|act as (?:a|an|the) (?:system|admin|administrator|root|assistant|ai|developer)|pretend to be|jailbreak|do anything now)\b"),
 )
+#: Literals of the lower-cased text without zero-width characters: a rule needs one of each group, an entry of its list being one way to match.
+RULE_HINTS: dict[str, tuple[tuple[tuple[str, ...], ...], ...]] = {
+    "role_marker": ((("system:", "assistant:", "user:", "###", "<|im_", "inst]", "<<sys>>", "</s>"),),),
+    "override_instructions": ((("ignore", "disregard", "forget", "override"),
+                               ("instruction", "rules", "polic", "guideline", "prompt", "restriction", "safety")),),
+    "disable_controls": ((("disable", "bypass", "skip", "turn", "remove", "circumvent"),
+                          ("validation", "security", "saniti", "guard", "filter", "check", "safety", "policy", "scan", "verification")),),
+    "mark_safe": ((("mark", "label", "report", "declare", "say", "tell"),
+                   ("safe", "secure", "clean", "verified", "harmless", "issues", "vulnerabilities", "errors")),
+                  (("not",), ("report", "flag", "mention", "warn", "log"))),
+    "secret_request": ((("reveal", "print", "show", "output", "leak", "send", "return", "display"),
+                        ("key", "secret", "password", "token", "credential", "prompt", "instructions", "environment")),),
+    "role_hijack": ((("you", "instructions", "prompt", "message", "act", "pretend", "jailbreak", "anything"),),),
+}
 RULE_CATEGORY = {
     "override_instructions": "prompt_injection", "role_hijack": "prompt_injection",
     "disable_controls": "policy_bypass_request", "mark_safe": "policy_bypass_request",
@@ -53,6 +67,17 @@ RULE_CATEGORY = {
 }
 
 
+def rule_hint(name: str, low: Column) -> Column:
+    """Cheap superset of a rule of `RULE_HINTS`: plain substring tests of the lower-cased text."""
+    ways = F.lit(False)
+    for groups in RULE_HINTS[name]:
+        way = F.lit(True)
+        for literals in groups:
+            way = way & T.has_any(low, literals)
+        ways = ways | way
+    return ways
+
+
 def injection_counts(text: Column) -> dict[str, Column]:
     """Number of hits per rule."""
     norm = T.injection_form(text)
