@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from tracesieve import session
 from tracesieve.operators import execution as EX
 from tracesieve.operators import findings as V
 from tracesieve.operators import patches as P
@@ -310,3 +311,11 @@ def test_weaknesses_are_counted_family_by_family(spark, lines_of):
     counted = W.weakness_counts(lines)
     assert found(counted, "file", "finding_type", "n") == found(whole, "file", "finding_type", "count") != []
     assert counted._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 0
+
+
+def test_counting_weaknesses_leaves_nothing_shared(spark, lines_of):
+    lines, kept, cleanup = lines_of(a="int main() {\ngets(b);\nfree(p);\nfree(p);\n}"), len(session._SHARED), spark.conf.get(session._SHUFFLE_CLEANUP, None)
+    cached = set(spark.sparkContext._jsc.getPersistentRDDs().keySet())
+    assert {r.finding_type for r in W.weakness_counts(lines).collect()} >= {"Buffer Overflow", "Double Free"}
+    assert len(session._SHARED) == kept and spark.conf.get(session._SHUFFLE_CLEANUP, None) == cleanup
+    assert set(spark.sparkContext._jsc.getPersistentRDDs().keySet()) <= cached

@@ -1,6 +1,7 @@
 """Weakness findings in source lines: stateless line rules and facts that hold across lines."""
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracesieve.functions.ordered import carry_forward, running, trailing
 from tracesieve.functions.rules import LineRule, any_of, scan_lines
-from tracesieve.session import cut_lineage, share
+from tracesieve.session import cut_lineage, scratch, share
 from tracesieve.operators.structure import body_text, chunk, count_within, innermost_scope, scopes, with_function
 
 # fixed values: stateless line rules (type, pattern, severity, column read)
@@ -311,23 +312,32 @@ def sign_mismatch(lines: DataFrame, fns: DataFrame | None = None) -> DataFrame:
     return _out(side(side(cmp, "a"), "b").where("__a <> __b"), "Signed/Unsigned Mismatch", "Medium")
 
 
-def weakness_parts(lines: DataFrame) -> list[DataFrame]:
-    """Every static finding as (file, line_no, finding_type, severity), a frame per family of rules."""
-    fns = share(with_function(lines.select("file", "line_no", "code")))
-    return [line_findings(lines), assert_findings(lines), proximity_findings(lines), uninitialised_uses(lines), null_uses(lines),
-            arithmetic_uses(lines), vector_bounds(lines), resource_leaks(lines), function_findings(lines, fns), sign_mismatch(lines, fns),
-            free_misuse(lines).select("file", "line_no", "finding_type", F.lit("High").alias("severity"))]
+def weakness_parts(lines: DataFrame) -> list[Callable[[], list[DataFrame]]]:
+    """Makers of every static finding as (file, line_no, finding_type, severity): a maker per group of rules, a frame per family of rules."""
+    def by_function() -> list[DataFrame]:
+        fns = share(with_function(lines.select("file", "line_no", "code")))
+        return [function_findings(lines, fns), sign_mismatch(lines, fns)]
+
+    def frees() -> list[DataFrame]:
+        return [free_misuse(lines).select("file", "line_no", "finding_type", F.lit("High").alias("severity"))]
+
+    alone = (line_findings, assert_findings, proximity_findings, uninitialised_uses, null_uses, arithmetic_uses, vector_bounds, resource_leaks)
+    return [*[lambda rule=rule: [rule(lines)] for rule in alone], by_function, frees]
 
 
 def all_weaknesses(lines: DataFrame) -> DataFrame:
     """Every static finding as (file, line_no, finding_type, severity)."""
-    return reduce(DataFrame.unionByName, weakness_parts(lines))
+    return reduce(DataFrame.unionByName, [frame for make in weakness_parts(lines) for frame in make()])
 
 
 def weakness_counts(lines: DataFrame) -> DataFrame:
     """(file, finding_type, n) over all static rules.
 
-    Each family is counted and written by itself: as one plan, all of it would be planned again after each of its stages.
+    Each family is counted and written by itself: as one plan, all of it would be planned again after each of its stages. What a group of
+    rules leaves in caches and shuffles goes before the next one starts, so disks hold that of one group at a time.
     """
-    per = [cut_lineage(p.groupBy("file", "finding_type").agg(F.count("*").alias("n"))) for p in weakness_parts(lines)]
+    per = []
+    for make in weakness_parts(lines):
+        with scratch(lines.sparkSession):
+            per += [cut_lineage(p.groupBy("file", "finding_type").agg(F.count("*").alias("n"))) for p in make()]
     return reduce(DataFrame.unionByName, per).groupBy("file", "finding_type").agg(F.sum("n").alias("n"))

@@ -1,9 +1,12 @@
 """Session construction and lineage cutting."""
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import StorageLevel
@@ -123,3 +126,28 @@ def release_shared() -> None:
     """Frees the intermediates of finished jobs; a frame still in use is recomputed on demand."""
     while _SHARED:
         _SHARED.pop().unpersist()
+
+
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is shared in the block and the shuffle files of its queries go when it ends; only checkpoints outlive it.
+
+    Spark keeps shuffle files until the driver's JVM collects the frames that wrote them, which a long query made of many steps
+    may never see: files of finished steps pile up on the executors' disks. Those below shared frames go with a collection at the end.
+    """
+    kept, before = len(_SHARED), spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        while len(_SHARED) > kept:
+            _SHARED.pop().unpersist()
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
+        gc.collect()  # frames nobody holds any more go here and in the driver's JVM
+        spark.sparkContext._jvm.System.gc()
